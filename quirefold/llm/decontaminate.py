@@ -15,28 +15,40 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, bounded_broadcast, cut, lower_az
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WIDTH, GRAM = 10, 5
+WIDTH, GRAM = 10, 4
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_az(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def _shifted(column: str, by: int) -> Column:
+    return F.slice(column, by + 1, F.greatest(F.size(column) - by, F.lit(0)))
+
+
+def _over_windows(df: DataFrame, column: str, length: int, join) -> DataFrame:
+    """Replace each element of an array by what join makes of the `length` elements from it on (of fewer at the end).
+
+    Windows of one size are joined from two of the next smaller sizes, which may overlap where length is no power of two.
+    """
+    have = 1
+    while have < length:
+        step = min(have, length - have)
+        df = df.withColumn(column, F.zip_with(column, _shifted(column, step), join))
+        have += step
+    return df
+
+
 def _with_minima(df: DataFrame, width: int, gram: int) -> DataFrame:
-    """From words: n_words, hashes and minima, the fingerprint of the window that starts at each word."""
-    df = df.withColumn("n_words", F.size("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("grams", F.transform("hashes", lambda h, i: F.xxhash64(F.slice("hashes", i + 1, gram))))
-    # grams is named twice, so that the optimizer doesn't move its definition into the lambda
-    return df.withColumn(
-        "minima",
-        F.when(
-            F.col("n_words") >= width,
-            F.transform(
-                F.slice("grams", 1, F.greatest(F.col("n_words") - width + 1, F.lit(0))),
-                lambda g, i: F.array_min(F.slice("grams", i + 1, width - gram + 1)),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
+    """From words: n_words and minima, the fingerprint of the window that starts at each word."""
+    df = df.withColumn("n_words", F.size("words")).withColumn("minima", F.transform("words", lambda w: F.xxhash64(w)))
+    df = _over_windows(df, "minima", gram, lambda a, b: F.xxhash64(a, b))
+    df = _over_windows(df, "minima", width - gram + 1, lambda a, b: F.least(a, b))
+    return df.withColumn("minima", F.slice("minima", 1, F.greatest(F.col("n_words") - width + 1, F.lit(0))))
+
+
+def _short_prints(length: int) -> Column:
+    return F.transform(F.slice("words", 1, F.greatest(F.col("n_words") - length + 1, F.lit(0))), lambda w, i: F.xxhash64(F.lit(length), F.slice("words", i + 1, length)))
 
 
 def _short_runs(length: int) -> Column:
@@ -83,7 +95,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, gra
     total = sum(by_length.values())
     prints = bounded_broadcast(windows.select("fingerprint").distinct(), total, broadcast_rows)
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
+    # first which documents share a fingerprint with the benchmark: of these alone are runs made and extended
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
+    lengths = sorted(x for x in by_length if x < width)
+    marks = F.concat(F.array(F.lit(None).cast("bigint")), F.array_distinct("minima"), *[F.array_distinct(_short_prints(x)) for x in lengths])
+    marked = (
+        _with_minima(texts, width, gram)
+        .select("doc_id", "text_hash", "n_words", F.explode_outer(marks).alias("fingerprint"))
+        .join(prints.withColumn("known", F.lit(True)), "fingerprint", "left")
+        .where(F.col("fingerprint").isNull() | F.col("known"))
+    )
+    base = cut(marked.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.coalesce(F.bool_or("known"), F.lit(False)).alias("known")))
+    candidates = base.where("known").select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"))
+    candidates = bounded_broadcast(candidates, candidates.count(), broadcast_rows)
+    rows = texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     rows = _with_minima(rows, width, gram)
     rows = rows.withColumn(
         "starts",
@@ -102,38 +127,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, gra
             F.slice("words", s + 1, F.coalesce(F.get("starts", j + 1), size) - s + width - 1).alias("context"),
         ),
     )
-    every = [
-        F.array(F.struct(F.lit(None).cast("bigint").alias("fingerprint"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("context"))),
-        runs,
-    ]
-    every += [_short_runs(length) for length in sorted(x for x in by_length if x < width)]
-    found = (
-        rows.select("doc_id", "text_hash", "n_words", F.explode(F.concat(*every)).alias("run"))
-        .select("doc_id", "text_hash", "n_words", "run.*")
-        .join(prints.withColumn("known", F.lit(True)), "fingerprint", "left")
-        .where(F.col("fingerprint").isNull() | F.col("known"))
-    )
-    # each document's row without a fingerprint keeps the document; it matches no window
+    every = F.concat(runs, *[_short_runs(x) for x in lengths])
+    found = rows.select("doc_id", "text_hash", F.explode_outer(every).alias("run")).select("doc_id", "text_hash", "run.*").join(prints, "fingerprint", "left_semi")
     tried = found.select(
         "doc_id",
         "text_hash",
-        "n_words",
         "length",
-        F.explode(
-            F.when(
-                F.col("length") > 0,
-                F.transform(
-                    F.slice("context", 1, F.size("context") - F.col("length") + 1),
-                    lambda w, i: F.struct((F.col("start") + i).alias("start"), F.array_join(F.slice("context", i + 1, F.col("length")), " ").alias("window")),
-                ),
-            ).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("window"))))
+        F.explode_outer(
+            F.transform(
+                F.slice("context", 1, F.size("context") - F.col("length") + 1),
+                lambda w, i: F.struct((F.col("start") + i).alias("start"), F.array_join(F.slice("context", i + 1, F.col("length")), " ").alias("window")),
+            )
         ).alias("at"),
-    ).select("doc_id", "text_hash", "n_words", "length", "at.*")
-    texts = bounded_broadcast(windows.select("window", F.col("length").alias("of_length"), "item_id").withColumn("hit", F.lit(True)), total, broadcast_rows)
-    hits = tried.join(texts, (tried["window"] == texts["window"]) & (tried["length"] == texts["of_length"]), "left").select(
-        "doc_id", "text_hash", "n_words", F.when(F.col("hit"), F.struct("start", "length")).alias("span"), F.when(F.col("hit"), F.col("item_id").cast("string")).alias("item")
+    ).select("doc_id", "text_hash", "length", "at.*")
+    known = bounded_broadcast(windows.select("window", F.col("length").alias("of_length"), "item_id"), total, broadcast_rows)
+    hits = tried.join(known, (tried["window"] == known["window"]) & (tried["length"] == known["of_length"]))
+    hits = hits.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).agg(
+        F.array_sort(F.collect_set(F.struct("start", "length"))).alias("windows"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")
     )
-    per_doc = hits.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("windows"), F.array_sort(F.collect_set("item")).alias("items"))
+    per_doc = base.join(hits, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left")
+    per_doc = per_doc.withColumn("windows", F.coalesce("windows", F.array().cast("array<struct<start:int,length:int>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     spans = F.aggregate(
         "windows",
         F.array().cast("array<struct<start:int,length:int>>"),
@@ -151,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, gra
         ).otherwise(F.concat(done, F.array(F.struct(w["start"].alias("start"), w["length"].alias("length"))))),
     )
     return (
-        per_doc.withColumn("spans", F.when(F.size("windows") > 0, spans).otherwise(F.array().cast("array<struct<start:int,length:int>>")))
+        per_doc.withColumn("spans", spans)
         .withColumn("n_hit", F.aggregate("spans", F.lit(0), lambda a, s: a + s["length"]))
         .select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), "spans", "items")
     )

@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text's pieces (its lines, cut at sentence ends too) are hashed to 64-bit digests. Each digest is added to one cell of each of
+A text's paragraphs (its lines, where long ones are cut at some of their sentence ends) are hashed to 64-bit digests. Each digest is added to one cell of each of
 three small tables; a cell holds a count and the exclusive or of its digests and of their check hashes. Subtracting the cells of
 two versions leaves the digests that differ. Cells that hold one digest are peeled until nothing is left. Where a sketch is
 too small for the difference, the digests are dealt into blocks by their check hash, and each block is sketched, subtracted
@@ -17,16 +17,21 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SLOTS = 8  # of each of the three tables of a sketch; powers of two up to 64
-PER_BLOCK, RETRIES = 4, (4, 8, 16, 32, 64)
-ROUNDS = 8
+#: Digests of both versions in a block, and the slots of its tables: more after each failure.
+PER_BLOCK, RETRIES = 3, (4, 8, 16, 32, 64)
+ROUNDS = 7
 ID_CELLS, BUCKET_ROWS = 1 << 16, 2048
 _KEYS = "array<struct<n:int,key:bigint,check:bigint>>"
 _DEALT = "array<struct<block:bigint,n:int,key:bigint,check:bigint>>"
 
 
 def digests(text: Column) -> Column:
-    """The distinct digests of a text's pieces with their check hashes."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0))
+    """The distinct digests of a text's paragraphs with their check hashes.
+
+    A paragraph ends at a line break, or at a sentence end after one of the letters d to h: a choice that depends on the
+    sentence alone, so that an edit changes the paragraphs around it and no others.
+    """
+    pieces = F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([d-h][.!?]) ", "$1\n"), "\n"), "")
     return F.transform(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))), lambda k: F.struct(F.lit(1).alias("n"), k.alias("key"), F.xxhash64(k).alias("check")))
 
 
@@ -67,7 +72,7 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def peel(cells: Column, slots: int = SLOTS) -> Column:
     """Struct of what is left in the cells and of the digests that they give up (n is 1 for the first version's, -1 for the second's)."""
-    start = F.struct(cells.alias("cells"), F.array().cast(_KEYS).alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast(_KEYS).alias("found"), F.lit(False).alias("done"))
 
     def without(cells: Column, pure: Column) -> Column:
         def one_table(place: int) -> Column:
@@ -82,9 +87,11 @@ def peel(cells: Column, slots: int = SLOTS) -> Column:
         pure = F.array_distinct(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"]) == c["check"])))
 
         def less(p: Column) -> Column:
-            return F.when(F.size(p) == 0, state).otherwise(F.struct(without(state["cells"], p).alias("cells"), F.concat(state["found"], p).alias("found")))
+            return F.when(F.size(p) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("done"))).otherwise(
+                F.struct(without(state["cells"], p).alias("cells"), F.concat(state["found"], p).alias("found"), F.lit(False).alias("done"))
+            )
 
-        return _let(pure, less)
+        return F.when(state["done"], state).otherwise(_let(pure, less))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
@@ -195,7 +202,7 @@ def fingerprints(docs: DataFrame, **parameters) -> DataFrame:
     )
     keys = ["bucket", "row_number"]
     drawn = drawn.select(*keys, told.alias("told"), two.alias("pairs"))
-    pairs = drawn.select(*keys, "told", F.explode("pairs").alias("pair")).select(*keys, F.when(F.col("pair.which") == 2, F.col("told")).alias("told"), "pair.*")
+    pairs = drawn.select(*keys, "told", F.explode_outer("pairs").alias("pair")).select(*keys, F.when(F.col("pair.which") == 2, F.col("told")).alias("told"), "pair.*")
     near = likenesses(pairs, [*keys, "which"], ("told",))
     # everything is still partitioned by bucket, so these groups need no shuffle
     rows = near.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("likeness"))).alias("near_edited"), F.max(F.when(F.col("which") == 1, F.col("likeness"))).alias("near_next"), F.first("told", ignorenulls=True).alias("told"))

@@ -38,12 +38,12 @@ def repeated_lines(docs: DataFrame, width: int = WIDTH, broadcast_rows: int = BR
             F.slice("hashes", b + 1, F.coalesce(F.get("begins", j + 1), F.size("minima")) - b + width - 1).alias("context"),
         ),
     )
-    runs = cut(rows.select("doc_id", "text_hash", F.explode(runs).alias("run")).select("doc_id", "text_hash", "run.*"))
+    runs = cut(rows.select("doc_id", "text_hash", F.explode_outer(runs).alias("run")).where("run IS NOT NULL").select("doc_id", "text_hash", "run.*"))
     again = runs.groupBy("fingerprint").agg(F.sum(F.size("context") - width + 1).alias("windows")).where("windows > 1").select("fingerprint")
     again = cut(again)
     windows = (
         runs.join(bounded_broadcast(again, again.count(), broadcast_rows), "fingerprint", "left_semi")
-        .select("doc_id", "text_hash", F.explode(F.transform(F.slice("context", 1, F.size("context") - width + 1), lambda h, i: F.struct((F.col("start") + i).alias("start"), F.xxhash64(F.slice("context", i + 1, width)).alias("content")))).alias("at"))
+        .select("doc_id", "text_hash", F.explode_outer(F.transform(F.slice("context", 1, F.size("context") - width + 1), lambda h, i: F.struct((F.col("start") + i).alias("start"), F.xxhash64(F.slice("context", i + 1, width)).alias("content")))).alias("at"))
         .select("doc_id", "text_hash", "at.*")
     )
     windows = cut(windows)
