@@ -6,9 +6,10 @@ at least 1+spare hold the same shingles in both. Each set's signatures are the h
 set count only where the set has more empty parts than `spare`, so that no linked pair is lost to them.
 
 Sets with a common signature are candidates. All of a signature's sets are first compared with the smallest id among them
-(one comparison a set), so that groups of near copies collapse without listing their pairs. What is still apart within a
-signature is compared pair by pair where few sets are left, and is dealt out again by signatures of another partitioning
-where many are: a linked pair shares one of those too. Every candidate is verified on its whole shingle sets.
+(one comparison a set), then with the largest, so that groups of near copies collapse without listing their pairs. What is
+still apart within a signature is compared pair by pair where such pairs are few for its sets, and is dealt out again by
+signatures of another partitioning where they are many: a linked pair shares one of those too. Every candidate is verified on
+its whole shingle sets.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from .components import connected_components
 from .shingles import mix, shingle_sets
 
 K, PERCENT = 4, 85
-#: A signature's sets are compared pair by pair up to this many, and dealt out by further signatures beyond.
-SMALL_GROUP = 8
-MAX_LEVELS = 6
+#: A signature's sets that are still apart are compared pair by pair if that makes at most so many pairs for each of them, and dealt
+#: out by further signatures otherwise.
+PAIRS_EACH = 64
+MAX_LEVELS = 2  # of dealing out; what is still apart on the last is compared pair by pair
 
 _KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_shingles", "key1", "key2")])
 _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
@@ -112,13 +114,13 @@ def _sign(texts: DataFrame, k: int, percent: int, level: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (signature, doc_id, leader) of signatures that several documents have; leader is the smallest of them."""
+    """Rows (signature, doc_id) of signatures that several documents have."""
     w = Window.partitionBy("signature").orderBy("doc_id")
     rows = rows.select("signature", "doc_id", F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"), F.lead("doc_id").over(w).alias("following"))
-    return rows.where((F.col("doc_id") != F.col("leader")) | (F.col("following") != F.col("doc_id"))).select("signature", "doc_id", "leader")
+    return rows.where((F.col("doc_id") != F.col("leader")) | (F.col("following") != F.col("doc_id"))).select("signature", "doc_id")
 
 
-def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, small_group: int = SMALL_GROUP, broadcast_rows: int | None = None) -> DataFrame:
+def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, pairs_each: int = PAIRS_EACH, broadcast_rows: int | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their k-word shingle sets. Words are runs without
@@ -134,13 +136,20 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, smal
 
     links: DataFrame | None = None
     shared = cut(_shared(_sign(nodes, k, percent, 0)))
-    ids = cut(shared.select("doc_id").distinct())
-    held = cut(nodes.join(bounded_broadcast(ids, ids.count(), **limit), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sizes = keys.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    sizes = bounded_broadcast(sizes, keys.count(), **limit)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(partial(_linked, k=k, percent=percent), _PAIRS)
+        """The pairs (a, b) that link. Of the texts only those of a pair are moved: each b once to where its a is."""
+        x = sizes.select(F.col("doc_id").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"))
+        y = sizes.select(F.col("doc_id").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+        fits = pairs.select("a", "b").join(x, "a").join(y, "b").where((100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la")))
+        fits = cut(fits.select("a", "b"))
+        n = fits.count()
+        right = nodes.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(bounded_broadcast(fits, n, **limit), "b")
+        firsts = bounded_broadcast(fits.select("a").distinct(), n, **limit)
+        left = nodes.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(firsts, "a", "left_semi")
+        return right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(partial(_linked, k=k, percent=percent), _PAIRS)
 
     def added(pairs: DataFrame) -> None:
         nonlocal links
@@ -152,23 +161,28 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, smal
         return rows.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
     for level in range(MAX_LEVELS):
-        # one comparison a document: with the leader that most of its signatures have
-        stars = shared.where("doc_id != leader").groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
-        best = stars.groupBy("doc_id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-        added(best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
+        # one comparison a document: with the smallest, then the largest of those that most of its signatures name
+        for end in (F.min, F.max):
+            rows = shared if links is None else labelled(shared)
+            ends = rows.groupBy("signature").agg(end("doc_id").alias("leader"), *([] if links is None else [F.min("component").alias("low"), F.max("component").alias("high")]))
+            stars = rows.join(ends if links is None else ends.where("low != high"), "signature").where("doc_id != leader").groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
+            best = stars.groupBy("doc_id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
+            added(best.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")))
         rows = cut(labelled(shared))
-        groups = rows.groupBy("signature").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        apart = cut(rows.join(groups.select("signature", "members"), "signature"))
-        few = apart.where(F.col("members") <= (small_group if level < MAX_LEVELS - 1 else 2**62))
+        parts = rows.groupBy("signature", "component").agg(F.count("*").alias("n"))
+        groups = parts.groupBy("signature").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("parts")).where("parts > 1")
+        pairs = (F.col("members") * F.col("members") - F.col("within")) / 2
+        groups = groups.select("signature", (pairs <= pairs_each * F.col("members")).alias("few"))
+        apart = cut(rows.join(groups, "signature"))
+        few = apart if level == MAX_LEVELS - 1 else apart.where("few")
         x = few.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
         y = few.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-        pairs = x.join(y, "signature").where("a < b AND ca != cb").select("a", "b").distinct()
-        added(pairs)
-        many = apart.where(F.col("members") > small_group).select("signature", "doc_id")
+        added(x.join(y, "signature").where("a < b AND ca != cb").select("a", "b").distinct())
+        many = apart.where("NOT few").select("signature", "doc_id")
         if level == MAX_LEVELS - 1 or many.isEmpty():
             break
         left = cut(many.select("doc_id").distinct())
-        again = _sign(held.join(left, "doc_id", "left_semi"), k, percent, level + 1).withColumnRenamed("signature", "finer")
+        again = _sign(nodes.join(left, "doc_id", "left_semi"), k, percent, level + 1).withColumnRenamed("signature", "finer")
         shared = cut(_shared(many.join(again, "doc_id").select("doc_id", F.xxhash64("signature", "finer").alias("signature"))))
 
     components = connected_components(links)
