@@ -1,3 +1,110 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Not here: fingerprints (64-bit hashes of Spark's own), toxicity (a trained model) and sharding (a tree); the tests compare these
+with brute force, held-out accuracy and the law that they promise.
+"""
+
+from __future__ import annotations
+
+from . import chat, licenses, url_filters
+from .common import LOWER, UPPER
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _az(c: str) -> str:
+    return f"translate(coalesce({c}, ''), '{UPPER}', '{LOWER}')"
+
+
+_ITEM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+OP1 = r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*') AS l FROM documents),
+n AS (SELECT doc_id, list_transform(l, lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) AS h FROM p),
+w AS (SELECT doc_id, s, h[s:s + 2] AS c FROM (SELECT doc_id, h, unnest(range(1, len(h) - 1)) AS s FROM n)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY c ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS i FROM later),
+kept AS (SELECT e.doc_id, string_agg(e.x, '' ORDER BY e.i) AS text FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM p) e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i WHERE g.i IS NULL GROUP BY e.doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT p.doc_id, len(l)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_deleted, sha256(CASE WHEN c.n IS NULL THEN p.text ELSE coalesce(k.text, '') END) AS text_sha256 FROM p LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)"""
+
+OP2 = f"""WITH dw AS (SELECT doc_id, regexp_extract_all({_az('text')}, {_ITEM_WORDS}) AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({_az('text')}, {_ITEM_WORDS}) AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS l, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM iw WHERE len(w) > 0)),
+ls AS (SELECT DISTINCT l FROM win),
+tried AS (SELECT doc_id, l, s, array_to_string(w[s:s + l - 1], ' ') AS t FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM dw, ls)),
+hits AS (SELECT doc_id, l, s, item_id FROM tried JOIN win USING (l, t)),
+cover AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(s, s + l)) AS p FROM hits) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(cover.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(cover.n, 0) > 0 AS contaminated FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+OP3 = f"""WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_az('text')}, {_WORDS}) AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM dw WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2) p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+SELECT dw.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(dw.doc_id, coalesce(m.low, dw.doc_id)) AS component_id FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) m USING (doc_id)"""
+
+
+def _op4() -> str:
+    name = verdict = "NULL"
+    for host, path, says in sorted(url_filters.RULES, key=lambda r: (len(r[0] + r[1]), r)):
+        fits = f"((host = {_q(host)} OR ends_with(host, {_q('.' + host)})) AND starts_with(path, {_q(path)}))"
+        name, verdict = f"CASE WHEN {fits} THEN {_q(host + path)} ELSE {name} END", f"CASE WHEN {fits} THEN {_q(says)} ELSE {verdict} END"
+    u = url_filters
+    return rf"""WITH r0 AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, {name} AS rule, {verdict} AS says FROM r0),
+p AS (SELECT host, path, count(*) AS pages, count_if(says = 'block') AS bad, count(says) AS labelled FROM r GROUP BY host, path),
+g AS (SELECT *, CASE WHEN path = '' THEN []::VARCHAR[] ELSE list_transform(string_split(path, '/'), lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) END AS seg FROM p),
+steps AS (SELECT host, path, pages, bad, labelled, d, array_to_string(seg[1:d - 1], '/') AS parent, seg[d] AS name FROM (SELECT *, unnest(range(1, len(seg) + 1)) AS d FROM g)),
+branch AS (SELECT host, d, parent, name, sum(pages) AS pages, sum(bad) AS bad, sum(labelled) AS labelled FROM steps GROUP BY ALL),
+up AS (SELECT host, d, parent, sum(pages) AS ap, sum(bad) AS ab, sum(labelled) AS al, count(*) AS branches FROM branch GROUP BY ALL),
+chosen AS (SELECT host, d, parent, name, CASE WHEN branches = 1 OR (pages >= {u.MIN_PAGES} AND pages >= {u.MIN_SHARE}::DOUBLE * ap AND labelled >= {u.MIN_LABELS} AND abs(bad::DOUBLE / labelled - ab::DOUBLE / al) > {u.Z}::DOUBLE * sqrt((ab::DOUBLE / al) * (1 - ab::DOUBLE / al) / labelled)) THEN name ELSE '*' END AS shown FROM branch JOIN up USING (host, d, parent)),
+shaped AS (SELECT p.host, p.path, p.bad, p.labelled, coalesce(t.template, '') AS template FROM p LEFT JOIN (SELECT s.host, s.path, string_agg(c.shown, '/' ORDER BY s.d) AS template FROM steps s JOIN chosen c USING (host, d, parent, name) GROUP BY s.host, s.path) t USING (host, path)),
+prior AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(labelled), 0), 0) AS prior FROM shaped),
+judged AS (SELECT host, template, (sum(bad) + {u.PRIOR_WEIGHT}::DOUBLE * any_value(prior)) / (sum(labelled) + {u.PRIOR_WEIGHT}::DOUBLE) AS share FROM shaped, prior GROUP BY host, template)
+SELECT page_id, r.host, r.path, rule, s.template, coalesce(says, CASE WHEN share >= {u.REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN shaped s ON s.host = r.host AND s.path = r.path JOIN judged j ON j.host = s.host AND j.template = s.template"""
+
+
+def _op5() -> str:
+    known = ", ".join(f"({_q(i)}, {_q(s)})" for i, s in licenses.SENTENCES)
+    match = [f"regexp_matches(',' || sequence || ',', {_q(',' + ',(.*,)?'.join(rule) + ',')})" for _, rule, _ in licenses.RULES]
+    found = []
+    for r, (name, _, _) in enumerate(licenses.RULES):
+        better = [f" AND NOT {match[n]}" for n, (_, _, less) in enumerate(licenses.RULES) if name in less]
+        found.append(f"CASE WHEN {match[r]}{''.join(better)} THEN {_q(name)} END")
+    return rf"""WITH k(id, sentence) AS (VALUES {known}),
+s AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([^.!?:;\n])\r?\n[ \t]*([a-z(])', '\1 \2', 'g'), '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents)),
+m AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS sequence FROM s JOIN k ON trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) = sentence GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(sequence, '') AS sequence FROM documents LEFT JOIN m USING (doc_id)),
+f AS (SELECT *, list_sort(list_distinct(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL))) AS names FROM d)
+SELECT doc_id, sequence, CASE WHEN sequence = '' THEN '' WHEN len(names) = 0 THEN 'unrecognised' ELSE array_to_string(names, ',') END AS licenses FROM f"""
+
+
+OP8 = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(r % 3 + 1)::BIGINT] AS wt, ss::DOUBLE * 3 AS most FROM s),
+f AS (SELECT *, sum(ss) OVER ()::DOUBLE AS total, coalesce(sum(most) OVER o, 0.0::DOUBLE) AS stopped, sum(wt) OVER () - coalesce(sum(wt) OVER o, 0.0::DOUBLE) AS sharing FROM w WINDOW o AS (ORDER BY most / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, max(CASE WHEN (total - stopped) / sharing * wt <= most THEN (total - stopped) / sharing END) OVER () AS level FROM f),
+t AS (SELECT source, ss, least(most, coalesce(level * wt, most)) AS target FROM l),
+j AS (SELECT d.*, t.ss, t.target, least(floor(CASE WHEN t.ss > 0 THEN t.target / t.ss ELSE 0 END), 3)::BIGINT AS certain, (('0x' || substr(md5('mix' || d.doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, target - certain * ss AS wanted, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM j)
+SELECT doc_id, size, ss AS source_size, target, (least(certain + (before + size / 2.0::DOUBLE <= wanted)::BIGINT, 3) * size)::BIGINT AS taken FROM b"""
+
+_SAID = _q(f"{chat.END}{chat.START}assistant ok")
+OP10 = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', {_SAID} UNION ALL SELECT -1, 1, 'assistant', {_SAID})
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat.START + chat.SEP + chat.END)} + length(role) + length(text) + len(regexp_extract_all(role, '<\|+')) + len(regexp_extract_all(text, '<\|+')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1,
+    "op2_decontamination": OP2,
+    "op3_ngram_join": OP3,
+    "op4_url_filters": _op4(),
+    "op5_license_scan": _op5(),
+    "op8_mixing": OP8,
+    "op10_chat_formatting": OP10,
+}
