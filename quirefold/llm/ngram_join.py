@@ -2,7 +2,7 @@
 
 Sets are dealt into size bands in which a linked pair always lies in one band or two neighbours. In a band whose largest set
 has u shingles, linked sets differ in at most d = floor(2u(1-j)/(1+j)) shingles, so of d+1+spare parts of the feature domain
-at least 1+spare hold the same shingles in both. Each set's signatures are the hashes of its parts; parts that are empty in a
+at least 1+spare hold the same shingles in both: candidates with fewer signatures in common are not compared. Each set's signatures are the hashes of its parts; parts that are empty in a
 set count only where the set has more empty parts than `spare`, so that no linked pair is lost to them.
 
 Sets with a common signature are candidates. All of a signature's sets are first compared with the smallest id among them
@@ -35,7 +35,7 @@ PAIRS_EACH = 64
 MAX_LEVELS = 2  # of dealing out; what is still apart on the last is compared pair by pair
 
 _KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_shingles", "key1", "key2")])
-_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
+_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("need", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
 _PAIRS = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
 
 
@@ -47,9 +47,12 @@ def band_bounds(percent: int, most: int) -> np.ndarray:
     return np.array(bounds, np.int64)
 
 
-def signatures(shingles: np.ndarray, percent: int, level: int) -> list[np.ndarray]:
-    """Signatures of one set in its own band and the next."""
-    n, out = len(shingles), []
+def counted_signatures(shingles: np.ndarray, percent: int, level: int) -> tuple[list[np.ndarray], int]:
+    """Signatures of one set in its own band and the next, and how many of them it shares with every linked set at least.
+
+    Linked sets hold the same in 1 + spare parts or more; of these only parts that are empty in both can go without signature.
+    """
+    n, out, need = len(shingles), [], []
     bounds = band_bounds(percent, max(n * 100 // percent + 2, 2))
     own = int(np.searchsorted(bounds, n))
     for band in (own, own + 1):
@@ -66,8 +69,13 @@ def signatures(shingles: np.ndarray, percent: int, level: int) -> list[np.ndarra
                 full, all_parts = np.zeros(parts, np.uint64), np.arange(parts)
                 full[present] = sums
                 sums, present = full, all_parts
+            need.append(1 + spare - (parts - len(present)))
             out.append(mix(sums + mix(present.astype(np.uint64), band), 77 + level))
-    return out
+    return out, min(need)
+
+
+def signatures(shingles: np.ndarray, percent: int, level: int) -> list[np.ndarray]:
+    return counted_signatures(shingles, percent, level)[0]
 
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -85,11 +93,15 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int, level: int)
         texts = batch.column(1).to_pylist()
         step = 256
         for first in range(0, len(texts), step):
-            lists = [np.concatenate(signatures(s, percent, level)) if len(s) else s for s in shingle_sets(texts[first : first + step], k)]
+            lists, need = [], []
+            for s in shingle_sets(texts[first : first + step], k):
+                found, least = counted_signatures(s, percent, level) if len(s) else ([s], 1)
+                lists.append(np.concatenate(found))
+                need.append(least)
             offsets = np.zeros(len(lists) + 1, np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
             values = np.concatenate(lists).view(np.int64)
-            yield pa.record_batch([batch.column(0).slice(first, step), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=_SIGNED.names)
+            yield pa.record_batch([batch.column(0).slice(first, step), pa.array(need, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=_SIGNED.names)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -110,14 +122,14 @@ def _linked(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
 
 def _sign(texts: DataFrame, k: int, percent: int, level: int) -> DataFrame:
     signed = texts.select("doc_id", "text").mapInArrow(partial(_signed, k=k, percent=percent, level=level), _SIGNED)
-    return signed.select("doc_id", F.explode("signatures").alias("signature"))
+    return signed.select("doc_id", "need", F.explode("signatures").alias("signature"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (signature, doc_id) of signatures that several documents have."""
+    """Rows (signature, doc_id, need) of signatures that several documents have."""
     w = Window.partitionBy("signature").orderBy("doc_id")
-    rows = rows.select("signature", "doc_id", F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"), F.lead("doc_id").over(w).alias("following"))
-    return rows.where((F.col("doc_id") != F.col("leader")) | (F.col("following") != F.col("doc_id"))).select("signature", "doc_id")
+    rows = rows.select("signature", "doc_id", "need", F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"), F.lead("doc_id").over(w).alias("following"))
+    return rows.where((F.col("doc_id") != F.col("leader")) | (F.col("following") != F.col("doc_id"))).select("signature", "doc_id", "need")
 
 
 def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, pairs_each: int = PAIRS_EACH, broadcast_rows: int | None = None) -> DataFrame:
@@ -175,15 +187,17 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, pair
         groups = groups.select("signature", (pairs <= pairs_each * F.col("members")).alias("few"))
         apart = cut(rows.join(groups, "signature"))
         few = apart if level == MAX_LEVELS - 1 else apart.where("few")
-        x = few.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-        y = few.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-        added(x.join(y, "signature").where("a < b AND ca != cb").select("a", "b").distinct())
+        x = few.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("need").alias("na"))
+        y = few.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("need").alias("nb"))
+        # a linked pair that has too few of these signatures in common shares another one that is dealt out again
+        common = x.join(y, "signature").where("a < b AND ca != cb").groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("na", "nb")).alias("need"))
+        added(common.where("n >= need").select("a", "b"))
         many = apart.where("NOT few").select("signature", "doc_id")
         if level == MAX_LEVELS - 1 or many.isEmpty():
             break
         left = cut(many.select("doc_id").distinct())
         again = _sign(nodes.join(left, "doc_id", "left_semi"), k, percent, level + 1).withColumnRenamed("signature", "finer")
-        shared = cut(_shared(many.join(again, "doc_id").select("doc_id", F.xxhash64("signature", "finer").alias("signature"))))
+        shared = cut(_shared(many.join(again, "doc_id").select("doc_id", "need", F.xxhash64("signature", "finer").alias("signature"))))
 
     components = connected_components(links)
     firsts = sets.join(components, sets["first_id"] == components["node"], "left").select("key1", "key2", F.coalesce("component", "first_id").alias("component"))

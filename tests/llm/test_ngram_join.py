@@ -82,6 +82,21 @@ def test_signatures_meet_for_every_linked_pair():
             assert x & y
 
 
+def test_linked_pairs_share_as_many_signatures_as_promised():
+    r = np.random.default_rng(4)
+    for n in (1, 2, 5, 13, 40, 200, 900):
+        for level in (0, 1):
+            for _ in range(20):
+                a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+                other = int(r.integers(0, n * 15 // 200 + 1))
+                b = np.unique(np.r_[a[other:], r.integers(0, 2**63, other, dtype=np.uint64)])
+                both = len(np.intersect1d(a, b))
+                if 100 * both < 85 * (len(a) + len(b) - both):
+                    continue
+                (x, need_x), (y, need_y) = (N.counted_signatures(s, 85, level) for s in (a, b))
+                assert len(np.intersect1d(np.concatenate(x), np.concatenate(y))) >= min(need_x, need_y) >= 1
+
+
 def test_words_and_shingles():
     a, b, c, d = shingle_sets(["A b  C d\te", "a B c D e", "", None], 4)
     assert a.tolist() == b.tolist() and len(a) == 2 and len(c) == len(d) == 0
