@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text's paragraphs (its lines, where long ones are cut at some of their sentence ends) are hashed to 64-bit digests. Each digest is added to one cell of each of
-three small tables; a cell holds a count and the exclusive or of its digests and of their check hashes. Subtracting the cells of
+A text's paragraphs (its lines, cut at every sentence end, and long runs without one at words that their hash chooses) are
+hashed to 64-bit digests. Each digest is added to one cell of each of three small tables; a cell holds a count and the exclusive or of its digests and of their check hashes. Subtracting the cells of
 two versions leaves the digests that differ. Cells that hold one digest are peeled until nothing is left. Where a sketch is
 too small for the difference, the digests are dealt into blocks by their check hash, and each block is sketched, subtracted
 and peeled by itself, with more cells after each failure.
@@ -21,17 +21,53 @@ SLOTS = 8  # of each of the three tables of a sketch; powers of two up to 64
 PER_BLOCK, RETRIES = 3, (4, 8, 16, 32, 64)
 ROUNDS = 7
 ID_CELLS, BUCKET_ROWS = 1 << 16, 2048
+#: Longer runs (code points) without a sentence end are cut after one word in RUN_WORDS, chosen by content; what has no such word for LONGEST, there.
+LONG, RUN_WORDS, LONGEST = 240, 16, 960
+_SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_CLOSERS = r"[\p{Pe}\p{Pf}\p{Pi}\"']*"
+#: Sentence ends of other scripts (Unicode's Sentence_Terminal and the Tibetan shad), which need no white space after them.
+_STOPS = (
+    r"\u0589\u061D-\u061F\u06D4\u0700-\u0702\u07F9\u0837\u0839\u083D\u083E\u0964\u0965\u0F0D\u0F0E\u104A\u104B\u1362\u1367\u1368\u166E\u1735\u1736\u17D4\u17D5\u1803\u1809\u1944\u1945"
+    r"\u1AA8-\u1AAB\u1B5A\u1B5B\u1B5E\u1B5F\u1C3B\u1C3C\u1C7E\u1C7F\u203C\u203D\u2047-\u2049\u2E2E\u2E3C\u3002\uA4FF\uA60E\uA60F\uA6F3\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F\uA9C8\uA9C9"
+    r"\uAA5D-\uAA5F\uAAF0\uAAF1\uABEB\uFE52\uFE56\uFE57\uFF01\uFF0E\uFF1F\uFF61"
+)
+_SENTENCE_END = rf"([.!?\u2026]+{_CLOSERS}){_SPACE}+|([{_STOPS}][{_STOPS}.!?\u2026]*{_CLOSERS}){_SPACE}*"
+#: A character of a script without spaces, a word of at most 64 characters, or a character of a longer one; with the white space after it.
+_SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+_WORD = rf"[{_SPACELESS}]\s*|(?<![^\s{_SPACELESS}])[^\s{_SPACELESS}]{{1,64}}(?![^\s{_SPACELESS}])\s*|\S\s*|\s+"
 _KEYS = "array<struct<n:int,key:bigint,check:bigint>>"
 _DEALT = "array<struct<block:bigint,n:int,key:bigint,check:bigint>>"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _runs(piece: Column) -> Column:
+    """A long piece cut after the words whose hash, with that of the word before, says so; the choice moves with the words."""
+
+    def marked(words: Column) -> Column:
+        ends = lambda w, i: F.pmod(F.xxhash64(F.coalesce(F.get(words, i - 1), F.lit("")), w), F.lit(RUN_WORDS)) == 0
+        return F.array_join(F.transform(words, lambda w, i: F.when(ends(w, i), F.concat(w, F.lit("\n"))).otherwise(w)), "")
+
+    parts = F.split(_let(F.regexp_extract_all(piece, F.lit(_WORD), F.lit(0)), marked), "\n")
+    return F.flatten(F.transform(parts, lambda p: F.when(F.char_length(p) <= LONGEST, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{LONGEST}}}"), F.lit(0)))))
+
+
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs with their check hashes.
 
-    A paragraph ends at a line break, or at a sentence end after one of the letters d to h: a choice that depends on the
-    sentence alone, so that an edit changes the paragraphs around it and no others.
+    A paragraph ends at a line break and at every sentence end: stops before white space, and those of other scripts anywhere.
+    What is still long is cut at word boundaries that depend on the words beside them alone, so that an edit changes the
+    paragraphs around it and no others.
     """
-    pieces = F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([d-h][.!?]) ", "$1\n"), "\n"), "")
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), _SENTENCE_END, "$1$2\n"), "\n")
+    pieces = _let(
+        lines,
+        lambda ls: F.when(F.exists(ls, lambda p: F.char_length(p) > LONG), F.flatten(F.transform(ls, lambda p: F.when(F.char_length(p) <= LONG, F.array(p)).otherwise(_runs(p))))).otherwise(ls),
+    )
+    pieces = F.array_remove(pieces, "")
     return F.transform(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))), lambda k: F.struct(F.lit(1).alias("n"), k.alias("key"), F.xxhash64(k).alias("check")))
 
 
@@ -65,11 +101,6 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _plus(x, y, -1))
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def peel(cells: Column, slots: int = SLOTS) -> Column:
     """Struct of what is left in the cells and of the digests that they give up (n is 1 for the first version's, -1 for the second's)."""
     start = F.struct(cells.alias("cells"), F.array().cast(_KEYS).alias("found"), F.lit(False).alias("done"))

@@ -108,3 +108,22 @@ def test_fingerprints(spark, bucket_rows):
         assert abs(x["near_next"] - alike(units(text), units(following))) < 1e-9
     assert got[7]["fingerprint"] == got[8]["fingerprint"]
     assert fingerprints.fingerprints(frame(spark, rows).where("doc_id < 0")).count() == 0
+
+
+def test_fingerprints_of_one_line(spark):
+    texts = [
+        "".join(units)
+        for units in (
+            ["Sentence %d of MANY. " % i for i in range(60)],
+            ["Это предложение номер %d! " % i for i in range(60)],
+            ["这是第%d句话。" % i for i in range(60)],
+            ["هذه هي الجملة رقم %d؟ " % i for i in range(60)],
+            ["word%d and " % (i * i) for i in range(400)],
+            [chr(0x4E00 + i * i % 3001) for i in range(2000)],
+            [hashlib.md5(b"%d" % i).hexdigest() for i in range(80)],
+        )
+    ]
+    rows = [(2 * i + 1, t) for i, t in enumerate(texts)] + [(2 * i, "x" + t) for i, t in enumerate(texts)]
+    for x in fingerprints.fingerprints(frame(spark, rows)).where("doc_id % 2 = 1").collect():
+        # a third is replaced; the next text has one more character in front, which changes the paragraphs around it alone
+        assert 0.5 < x["near_edited"] < 0.85 and x["near_next"] > 0.85
