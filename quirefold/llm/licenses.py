@@ -1,6 +1,7 @@
 """Licence scan by sentence rules, with DataFrame functions only.
 
-Sentences are normalised and mapped to the identifiers of known licence sentences; the sequence of identifiers in a document
+The text is normalised to words and breaks (line breaks and sentence ends). A known sentence is found where its words stand
+between two breaks, whatever breaks are inside it (wraps, comment marks, "v. 2.0"), and gives its identifier; the sequence of identifiers in a document
 is matched against rules, each an ordered list of identifiers between which others may stand.
 """
 
@@ -77,14 +78,15 @@ RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
 )
 
 
-def sentences_of(text: Column) -> Column:
-    """Sentences and lines; a line break before a lower-case letter or a bracket, after no sentence end, is a wrap."""
-    unwrapped = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^.!?:;\n])\r?\n[ \t]*([a-z(])", "$1 $2")
-    return F.split(F.regexp_replace(unwrapped, r"([.!?:;])[ \t\r]+", "$1\n"), "\n")
+def broken_words(text: Column) -> Column:
+    """Lower-case words (letters and digits) with single spaces, and a line break at each break, also at both ends.
 
-
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
+    A line break before a lower-case letter or a bracket, after no sentence end, is a wrap and no break.
+    """
+    unwrapped = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^.!?:;\n])\r?\n[ \t]*(?:(?:dnl|rem)[ \t]+)?+([a-z(])", "$1 $2")
+    words = F.regexp_replace(F.lower(F.regexp_replace(unwrapped, r"([.!?:;])[ \t\r]+", "$1\n")), r"[^a-z0-9\n]+", " ")
+    # what begins comments in letters goes; other comment marks are gone already
+    return F.regexp_replace(F.concat(F.lit("\n"), words, F.lit("\n")), r" *\n[ \n]*(?:(?:dnl|rem) )?", "\n")
 
 
 def scan_licenses(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
@@ -95,10 +97,11 @@ def scan_licenses(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFram
     The sentence table and the rules are parameters of a few dozen rows and part of the plan.
     """
     ids: dict[str, str] = {s: i for i, s in sentences}
-    longest = max(map(len, ids))
     known = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
-    marks = F.transform(sentences_of(F.col("text")), lambda s: F.element_at(known, F.substring(normalised(s), 1, longest + 1)))
-    rows = docs.select("doc_id", F.filter(marks, lambda m: m.isNotNull()).alias("marks"))
+    # where two known sentences begin at one place, the longer one counts
+    either = "|".join(s.replace(" ", r"[ \n]") for s in sorted(ids, key=len, reverse=True))
+    found = F.regexp_extract_all(broken_words(F.col("text")), F.lit(rf"(?<=\n)(?:{either})(?=\n)"), F.lit(0))
+    rows = docs.select("doc_id", F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " "))).alias("marks"))
     rows = rows.select("doc_id", F.array_join("marks", ",").alias("sequence"))
     within = F.concat(F.lit(","), F.col("sequence"), F.lit(","))
     match = {r: within.rlike(",.*,".join(rule).join((",", ",")).replace(",.*,", ",(.*,)?")) for r, (_, rule, _) in enumerate(rules)}

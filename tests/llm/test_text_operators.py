@@ -127,3 +127,72 @@ def test_fingerprints_of_one_line(spark):
     for x in fingerprints.fingerprints(frame(spark, rows)).where("doc_id % 2 = 1").collect():
         # a third is replaced; the next text has one more character in front, which changes the paragraphs around it alone
         assert 0.5 < x["near_edited"] < 0.85 and x["near_next"] > 0.85
+
+
+_GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+_NOTICES = {
+    "GPL-2.0-or-later": _GPL % (";", ";", 2),
+    "GPL-3.0-or-later": _GPL % (":", ",", 3),
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "BSD-2-Clause": _BSD,
+    "BSD-3-Clause": _BSD
+    + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "GPL-3.0-only": "This work is licensed under the GNU General Public License,\nVersion 3.",
+    "GPL-2.0-only": "Licensed under the GNU\nGeneral Public License version 2.",
+    "LGPL-3.0-only": "Licensed under the GNU\nLesser General Public License version 3.",
+    "AGPL-3.0-only": "Licensed under the GNU\nAffero General Public License version 3.",
+    "CC-BY-4.0": "This work is licensed under a\nCreative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "Licensed under\nCC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under\nCC BY-NC-SA 4.0.",
+    "CC0-1.0": "Licensed under\nCC0 1.0.",
+}
+
+
+def test_licenses_of_real_notices(spark):
+    assert set(_NOTICES) == {name for name, _, _ in licenses.RULES}
+    names = sorted(_NOTICES)
+    marks = ["", "# ", " * ", "// ", "dnl "]
+    rows = [(100 * m + i, "\n".join(mark + line for line in _NOTICES[n].split("\n"))) for m, mark in enumerate(marks) for i, n in enumerate(names)]
+    got = {x["doc_id"]: x["licenses"] for x in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {d: [names[d % 100]] for d, _ in rows}
+    # a known sentence that is only part of a longer one doesn't count
+    assert licenses.scan_licenses(frame(spark, [(1, "This isn't\nlicensed under the MIT license.")])).first()["licenses"] == []
