@@ -2,8 +2,8 @@
 
 A word's vector is the sum of the hashed vectors of the word and of its first four and five bytes. Filters of width 1, 2 and 3
 slide over the word vectors of the whole text; each filter's maximum feeds a logistic unit. The model is fitted on the driver
-to a bounded sample of labelled rows, its scores are calibrated on rows it hasn't seen, and a rejection threshold is set for
-each language. Scoring runs over Arrow batches on the executors.
+to a bounded sample of labelled rows. All other labelled rows outside the held-out fold are scored on the executors; histograms of
+these scores calibrate the model and set a rejection threshold for each language. Scoring runs over Arrow batches on the executors.
 """
 
 from __future__ import annotations
@@ -18,11 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import BROADCAST_ROWS, cut
+
 #: The classifier is fitted to at most this many labelled rows of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 18, 16, 8, (1, 2, 3), (4, 5)
 CUT = 0.7
 PIECE_BYTES = 1 << 20
+#: Cells of the score histograms: CELLS to a unit of the logit, within -SPAN to SPAN.
+CELLS, SPAN = 256, 64
+LOGITS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text_hash", T.LongType()), T.StructField("z", T.DoubleType())])
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 _BYTE = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64)
@@ -98,9 +103,12 @@ class Model:
     def logits(self, buckets: np.ndarray, begins: np.ndarray) -> np.ndarray:
         return np.maximum(self.pooled(buckets, begins)[0] + self.bias, 0) @ self.out + self.offset
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def raw(self, texts: list[str | None]) -> np.ndarray:
         found = [self.logits(*f) for f in features(texts)]
-        z = np.concatenate(found).astype(np.float64) if found else np.zeros(0)
+        return np.concatenate(found).astype(np.float64) if found else np.zeros(0)
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        z = self.raw(texts)
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * z + self.scale[1], -40, 40)))
 
 
@@ -171,9 +179,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 64,
     return m
 
 
-def calibrate(model: Model, texts: list[str], labels: np.ndarray, langs: list[str | None], weights: np.ndarray, precision: float = 0.95) -> None:
-    """Scale the scores (Platt) on rows that weren't trained on, and set each language's rejection threshold: the least score at or above which the weighted precision holds, at least 0.3; 0.7 for languages with under 20 toxic rows."""
-    z = np.concatenate([model.logits(*f) for f in features(texts)]).astype(np.float64)
+def _scale(z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Platt's scale for weighted logits."""
     a, b = 1.0, 0.0
     pos, neg = (weights * labels).sum(), (weights * (1 - labels)).sum()
     target = np.where(labels == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
@@ -184,16 +191,33 @@ def calibrate(model: Model, texts: list[str], labels: np.ndarray, langs: list[st
         hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
         step = np.linalg.solve(hess, g)
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -2, 2))
-    model.scale = (max(a, 1e-3), b)
-    p = 1 / (1 + np.exp(-np.clip(model.scale[0] * z + b, -40, 40)))
-    for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([x == lang for x in langs])
-        if (labels[own] == 1).sum() < 20:
-            continue
-        order = np.argsort(-p[own], kind="stable")
-        s, y, w = p[own][order], labels[own][order], weights[own][order]
-        good = np.cumsum(w * y) / np.cumsum(w) >= precision
-        model.thresholds[lang] = float(max(0.3, min(s[good].min() if good.any() else CUT, CUT)))
+    return max(a, 1e-3), b
+
+
+def calibrate(model: Model, scored: DataFrame, counts: dict[int, int], precision: float = 0.95) -> None:
+    """Scale the scores (Platt) on scored rows that weren't trained on (lang, toxic, z), and set each language's rejection threshold: the least score at or above which the weighted precision holds, at least 0.3; 0.7 for languages with under 20 toxic rows.
+
+    Only histograms of the logits come to the driver. counts: all rows of each label, which those of scored stand for.
+    """
+    z = F.round(F.least(F.greatest("z", F.lit(-float(SPAN))), F.lit(float(SPAN))) * 1e6).cast("long")
+    cells = scored.select("lang", "toxic", z.alias("z")).withColumn("cell", F.floor(F.col("z") * CELLS / 1e6)).groupBy("lang", "toxic", "cell")
+    cells = cut(cells.agg(F.count("*").alias("n"), F.sum("z").alias("sum"), F.min("z").alias("low")))
+    whole = cells.groupBy("toxic", "cell").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")).orderBy("cell", "toxic").collect()
+    if not whole:
+        return
+    labels, n = np.array([float(r["toxic"]) for r in whole]), np.array([float(r["n"]) for r in whole])
+    weight = {y: counts.get(y, 0) / max(1.0, n[labels == y].sum()) for y in (0, 1)}
+    model.scale = _scale(np.array([r["sum"] / r["n"] / 1e6 for r in whole]), labels, n * np.where(labels == 1, weight[1], weight[0]))
+    enough = cells.where("lang IS NOT NULL AND toxic = 1").groupBy("lang").agg(F.sum("n").alias("toxic_rows")).where("toxic_rows >= 20").select("lang")
+    rows = cells.join(enough, "lang", "left_semi").groupBy("lang", "cell").agg(F.min("low").alias("low"), *[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
+    own: dict[str, list] = {}
+    for r in rows.orderBy("lang", F.desc("cell")).collect():
+        own.setdefault(r["lang"], []).append((r["low"] / 1e6, r["n0"] * weight[0], r["n1"] * weight[1]))
+    for lang, found in own.items():
+        low, clean, toxic = np.array(found).T
+        p = 1 / (1 + np.exp(-np.clip(model.scale[0] * low + model.scale[1], -40, 40)))
+        good = np.cumsum(toxic) / np.maximum(np.cumsum(clean + toxic), 1e-12) >= precision
+        model.thresholds[lang] = float(max(0.3, min(p[good].min() if good.any() else CUT, CUT)))
 
 
 def in_fold(doc_id) -> F.Column:
@@ -202,7 +226,7 @@ def in_fold(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model | None:
-    """Fit and calibrate on labelled rows whose fold isn't 1: of each label the rows of the smallest id hashes, as many as the parameters say at most. None if one of the labels has no rows."""
+    """Fit on labelled rows whose fold isn't 1: three quarters of a sample (of each label the rows of the smallest id hashes, as many as the parameters say at most); calibrate on all others. None if one of the labels has no rows."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(in_fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picks = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, sample_toxic), (0, sample_clean))]
@@ -216,11 +240,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     back = np.arange(len(y)) % 4 == 3
     pick = lambda xs, mask: [x for x, m in zip(xs, mask, strict=True) if m]
     model = fit(pick(texts, ~back), y[~back])
-    weights = np.where(y == 1, counts.get(1, 0) / max(1, (y == 1).sum()), counts.get(0, 0) / max(1, (y == 0).sum()))
-    calibrate(model, pick(texts, back), y[back], pick(langs, back), weights[back])
+    fitted = docs.sparkSession.createDataFrame([(int(d),) for d in np.array(rows["doc_id"].to_pylist())[~back]], "doc_id long")
+    others = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).join(F.broadcast(fitted), "doc_id", "left_anti")
+    calibrate(model, _scored(docs, others, sum(counts.values()), model), counts)
     return model
 
 
+def _scored(docs: DataFrame, labelled: DataFrame, n: int, model: Model, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """lang, toxic and logit z of labelled (doc_id, toxic) documents, one row an id. Texts don't move: with too many ids to broadcast, all texts outside the held-out fold are scored and the logits are joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.where("text IS NOT NULL").where(in_fold(F.col("doc_id")) != 1)
+    own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_hash"), "text")
+    if n <= broadcast_rows:
+        own = own.join(F.broadcast(labelled.select("doc_id")), "doc_id", "left_semi")
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*batch.columns[:3], pa.array(shared.value.raw(batch.column(3).to_pylist()))], names=LOGITS.names)
+
+    # of repeated ids one row counts
+    best = own.mapInArrow(logits, LOGITS).join(labelled, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text_hash", "lang", "z")).alias("row"))
+    return best.select("row.lang", "toxic", "row.z")
+
+
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.record_batch([batch.column(0), pa.array(model.value.score(batch.column(1).to_pylist()))], names=SCORES.names)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirefold.llm import chat, mixing, sharding, toxicity, url_filters
 
@@ -146,3 +147,24 @@ def test_pipeline(spark):
     for x in rows:
         slots.setdefault(x["shard"], []).append(x["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_toxicity_thresholds_cover_all_labelled_rows(spark, monkeypatch, broadcast_rows):
+    r = random.Random(9)
+    # 60 toxic rows of a rare language, of which a sample of 40 toxic rows in 500 holds few
+    rows = [(i, _toxic(r, i % 5 == 0, 20), "xx" if i % 40 == 0 else "en", "s", 0) for i in range(2400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(2400)], "doc_id long, quality int, toxic int")
+    scored = []
+    whole = toxicity._scored
+
+    def spy(docs, labelled, n, model):
+        scored.append(whole(docs, labelled, n, model, broadcast_rows))
+        return scored[0]
+
+    monkeypatch.setattr(toxicity, "_scored", spy)
+    model = toxicity.train(docs, labels, sample_toxic=40, sample_clean=60)
+    assert set(model.thresholds) == {"en", "xx"}
+    used = labels.where(toxicity.in_fold(F.col("doc_id")) != 1).count()
+    assert scored[0].count() == used - 75
