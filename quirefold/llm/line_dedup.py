@@ -4,7 +4,8 @@ A line here is a piece of text up to a line break or the end of a sentence. In e
 hash is the fingerprint; windows in a row with one minimum form a run, which is all that is joined. A run of `width` or more
 lines that two places share always shares a fingerprint, so only runs whose fingerprint occurs again are extended: each of
 their windows is compared with all windows of the same content, before and after, and the maximal repeats are the unions of
-the windows that occurred earlier. Later repeats are deleted; what occurs first in the order of doc_id and line stays.
+the windows that occurred earlier. One or two lines that hold FLOOR words or more are windows as well, each with its own hash
+as the fingerprint, so that a long passage of few lines isn't missed. Later repeats are deleted; what occurs first in the order of doc_id and line stays.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, bounded_broadcast, cut
 
 WIDTH = 3
+FLOOR = 50  # words from which fewer lines than WIDTH are a window; a character of a script without spaces counts as a word
+_SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 _PIECE = r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*"
 
 
@@ -23,41 +26,59 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECE), F.lit(0))
 
 
-def repeated_lines(docs: DataFrame, width: int = WIDTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, text_hash, starts): where windows of width lines start (from 1) that occurred earlier, for documents that have any."""
+def _words(line: Column) -> Column:
+    """Words of a line with single spaces."""
+    spaced = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.when(F.octet_length(line) == F.char_length(line), spaced).otherwise(spaced + F.regexp_count(line, F.lit(_SPACELESS)))
+
+
+def repeated_lines(docs: DataFrame, width: int = WIDTH, broadcast_rows: int = BROADCAST_ROWS, floor: int = FLOOR) -> DataFrame:
+    """(doc_id, text_hash, starts): structs of start (from 1) and width of the windows that occurred earlier, for documents that have any."""
     once = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = once.select("doc_id", "text_hash", F.transform(lines_of(F.col("text")), lambda p: F.xxhash64(F.lower(F.trim(F.regexp_replace(p, r"\s+", " "))))).alias("hashes"))
+    lines = F.transform(lines_of(F.col("text")), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    rows = once.select("doc_id", "text_hash", F.transform(lines, lambda p: F.struct(F.xxhash64(F.lower(p)).alias("hash"), _words(p).alias("words"))).alias("lines"))
+    rows = rows.select("doc_id", "text_hash", F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"))
     n = F.size("hashes")
-    rows = rows.where(n >= width).withColumn("minima", F.transform(F.slice("hashes", 1, n - width + 1), lambda h, i: F.array_min(F.slice("hashes", i + 1, width))))
+    rows = rows.where(n > 0).withColumn("minima", F.transform(F.slice("hashes", 1, F.greatest(n - width + 1, F.lit(0))), lambda h, i: F.array_min(F.slice("hashes", i + 1, width))))
     rows = rows.withColumn("begins", F.filter(F.transform("minima", lambda m, i: F.when((i == 0) | (m != F.get("minima", i - 1)), i)), lambda i: i.isNotNull()))
+
+    def few(w: int) -> Column:
+        """Windows of w lines, fewer than width, with floor words or more."""
+        held = lambda i: sum((F.get("words", i + j) for j in range(1, w)), F.get("words", i))
+        starts = F.filter(F.transform("words", lambda _, i: F.when(held(i) >= floor, i)), lambda i: i.isNotNull())
+        window = lambda i: F.slice("hashes", i + 1, w)
+        return F.transform(starts, lambda i: F.struct(F.xxhash64(window(i)).alias("fingerprint"), (i + 1).alias("start"), window(i).alias("context"), F.lit(w).alias("width")))
+
     runs = F.transform(
         "begins",
         lambda b, j: F.struct(
             F.get("minima", b).alias("fingerprint"),
             (b + 1).alias("start"),
             F.slice("hashes", b + 1, F.coalesce(F.get("begins", j + 1), F.size("minima")) - b + width - 1).alias("context"),
+            F.lit(width).alias("width"),
         ),
     )
+    runs = F.concat(runs, *[few(w) for w in range(1, width)])
     runs = cut(rows.select("doc_id", "text_hash", F.explode_outer(runs).alias("run")).where("run IS NOT NULL").select("doc_id", "text_hash", "run.*"))
-    again = runs.groupBy("fingerprint").agg(F.sum(F.size("context") - width + 1).alias("windows")).where("windows > 1").select("fingerprint")
+    again = runs.groupBy("fingerprint").agg(F.sum(F.size("context") - F.col("width") + 1).alias("windows")).where("windows > 1").select("fingerprint")
     again = cut(again)
     windows = (
         runs.join(bounded_broadcast(again, again.count(), broadcast_rows), "fingerprint", "left_semi")
-        .select("doc_id", "text_hash", F.explode_outer(F.transform(F.slice("context", 1, F.size("context") - width + 1), lambda h, i: F.struct((F.col("start") + i).alias("start"), F.xxhash64(F.slice("context", i + 1, width)).alias("content")))).alias("at"))
+        .select("doc_id", "text_hash", F.explode_outer(F.transform(F.slice("context", 1, F.size("context") - F.col("width") + 1), lambda h, i: F.struct((F.col("start") + i).alias("start"), F.col("width").alias("width"), F.xxhash64(F.slice("context", i + 1, F.col("width"))).alias("content")))).alias("at"))
         .select("doc_id", "text_hash", "at.*")
     )
     windows = cut(windows)
     place = F.struct("doc_id", "text_hash", "start")
     first = cut(windows.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first"))
     later = windows.join(bounded_broadcast(first, first.count(), broadcast_rows), "content").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "width"))).alias("starts"))
 
 
 def line_dedup(docs: DataFrame, width: int = WIDTH, **parameters) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_deleted, runs (deleted runs: start, length), text (without them).
 
-    A line is compared without its outer and repeated white space, in lower case. Texts of fewer than width lines stay as
-    they are; a null text has no lines and stays null, an empty one stays empty. A repeated row (same doc_id and text) is the same
+    A line is compared without its outer and repeated white space, in lower case. Texts of fewer than width lines and
+    FLOOR words stay as they are; a null text has no lines and stays null, an empty one stays empty. A repeated row (same doc_id and text) is the same
     place as its twin, so twins don't delete each other's lines and are treated alike. Other columns are ignored.
     """
     later = repeated_lines(docs, width, **parameters)
@@ -65,7 +86,7 @@ def line_dedup(docs: DataFrame, width: int = WIDTH, **parameters) -> DataFrame:
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     rows = rows.join(later, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left")
     lines = rows.select("doc_id", "text", "starts", lines_of(F.col("text")).alias("lines"))
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + width - 1)))))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["start"], s["start"] + s["width"] - 1)))))
     lines = lines.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
     # of a sorted list of line numbers, those that don't follow their predecessor begin a run
     begins = F.filter(F.transform("gone", lambda g, i: F.when((i == 0) | (g != F.get("gone", i - 1) + 1), i)), lambda i: i.isNotNull())

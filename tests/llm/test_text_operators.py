@@ -196,3 +196,14 @@ def test_licenses_of_real_notices(spark):
     assert got == {d: [names[d % 100]] for d, _ in rows}
     # a known sentence that is only part of a longer one doesn't count
     assert licenses.scan_licenses(frame(spark, [(1, "This isn't\nlicensed under the MIT license.")])).first()["licenses"] == []
+
+
+def test_line_dedup_of_few_long_lines(spark):
+    one = " ".join(f"a{i}" for i in range(60)) + ". "
+    two = " ".join(f"b{i}" for i in range(30)) + ". " + " ".join(f"c{i}" for i in range(30)) + ". "
+    cjk = "".join(chr(0x4E00 + i) for i in range(80)) + "。"
+    short = "only a few words. "
+    rows = [(1, "First. " + one + "End."), (2, "Second. " + one + "Other end."), (3, two), (4, two), (5, cjk), (6, cjk), (7, short), (8, short)]
+    got = {x["doc_id"]: (x["n_deleted"], x["text"]) for x in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert got[2] == (1, "Second. Other end.") and got[4] == (2, "") and got[6] == (1, "")
+    assert all(got[d] == (0, t) for d, t in rows if d not in (2, 4, 6))
