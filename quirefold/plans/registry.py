@@ -100,6 +100,28 @@ def f06_f16_t06_guards(docs):
     return docs.select("doc_id", T.has_proper_nouns(col("text")).alias("proper"), F.substring(T.guarded(col("text")), 1, 30).alias("guarded"), F.substring("text", 1, 500).alias("first"))
 
 
+# the same on whole texts; the queries above keep their prefixes and SQL
+
+
+@query(
+    "dv_versions",
+    sql=ctes("dv_versions")
+    + rf"""SELECT doc_id, page_num, kind, CASE WHEN m = 0 THEN false WHEN n = 0 THEN m = 0 ELSE m >= 0.3::DOUBLE * n AND m <= 2.0::DOUBLE * n END AS refined,
+  m > 0 AND m / greatest(length(original), 1)::DOUBLE >= 0.7::DOUBLE AND m / greatest(length(original), 1)::DOUBLE <= 1.3::DOUBLE AND NOT regexp_matches(b, {_q('^(' + '|'.join(V.BAD_CORRECTION_STARTS) + ')')}) AS corrected
+FROM (SELECT *, length({STRIP.format('original')}) AS n, length({STRIP.format('v')}) AS m, {STRIP.format('v')} AS b
+FROM (SELECT doc_id, page_num, original, unnest(['whole', 'short', 'long']) AS kind, unnest([v0, left(v0, 40), v0 || v0 || v0]) AS v FROM dv_versions))""",
+)
+def f07_f08_validity_whole(versions):
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in (("whole", col("v0")), ("short", F.substring("v0", 1, 40)), ("long", F.concat("v0", "v0", "v0")))])
+    rows = versions.select("doc_id", "page_num", "original", F.explode(kinds).alias("k")).select("doc_id", "page_num", "original", "k.*")
+    return rows.select("doc_id", "page_num", "kind", T.is_valid_refinement(col("v"), col("original")).alias("refined"), T.is_valid_correction(col("v"), col("original")).alias("corrected"))
+
+
+@query("documents", sql=rf"SELECT doc_id, md5(CASE WHEN {BLANK.format('text')} OR length({STRIP.format('text')}) < 5 OR (NOT regexp_matches(text, '[가-힣]') AND (regexp_matches(text, {_q('(?i)' + '|'.join(V.LEAKAGE_PHRASES))}) OR regexp_matches(text, '\\#\s*\\#\s*\\#'))) THEN '' ELSE text END) AS guarded FROM documents")
+def f06_guards_whole(docs):
+    return docs.select("doc_id", F.md5(T.guarded(col("text"))).alias("guarded"))
+
+
 # ---- rewriting
 
 
@@ -176,6 +198,17 @@ def l05_l06_braces_spaces(docs):
     return rows.select("doc_id", (F.char_length(latex.close_braces(col("t"))) - F.char_length("t")).cast("long").alias("missing"), F.md5(latex.spaces(col("t"))).alias("digest"))
 
 
+@query(
+    "documents",
+    sql=r"""SELECT doc_id, least(greatest(len(regexp_extract_all(u, '\{')) - len(regexp_extract_all(u, '\}')), 0), 10)::BIGINT AS missing, md5(regexp_replace(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest
+FROM (SELECT doc_id, t, regexp_replace(t, '\\[{}]', '', 'g') AS u FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{{a' WHEN 1 THEN '{' ELSE '' END || text AS t FROM documents))""",
+)
+def l05_l06_braces_spaces_whole(docs):
+    t = F.concat(F.when(col("doc_id") % 3 == 0, "{{a").when(col("doc_id") % 3 == 1, "{").otherwise(""), "text")
+    rows = docs.select("doc_id", t.alias("t"))
+    return rows.select("doc_id", (F.char_length(latex.close_braces(col("t"))) - F.char_length("t")).cast("long").alias("missing"), F.md5(latex.spaces(col("t"))).alias("digest"))
+
+
 @query("part", sql="SELECT p_partkey, CASE WHEN n < 1024 THEN printf('%d B', n::BIGINT) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) ELSE printf('%.1f MB', n / 1048576) END AS size, CASE WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took FROM (SELECT p_partkey, (p_partkey * 1000 + 7)::DOUBLE AS n, p_partkey * 7 % 4000 AS s FROM part)")
 def x17_display(part):
     n = (col("p_partkey") * 1000 + 7).cast("double")

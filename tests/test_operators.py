@@ -147,3 +147,15 @@ def test_job_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = {r["job_id"]: (r["app_state"], r["phase"], r["progress"], r["skipped"], r["events"]) for r in spark.sql("SELECT * FROM job_states").collect()}
     assert got == {1: ("done", "ocr", 1, 1, 4), 2: ("error", None, 0, 0, 3)}
+
+
+def test_whole_texts(spark):
+    from quirefold.plans import registry
+
+    text = "a sentence of words that goes on " * 20
+    versions = spark.createDataFrame([(1, 1, text, text)], "doc_id long, page_num int, original string, v0 string")
+    got = {r["kind"]: (r["refined"], r["corrected"]) for r in registry.f07_f08_validity_whole(versions).collect()}
+    assert got == {"whole": (True, True), "short": (False, False), "long": (False, False)}
+    docs = spark.createDataFrame([(2, text + "{{  x")], "doc_id long, text string")
+    assert registry.l05_l06_braces_spaces_whole(docs).first()["missing"] == 2
+    assert registry.f06_guards_whole(docs).first()["guarded"] != registry.f06_guards_whole(docs.selectExpr("doc_id", "concat(text, 'y') AS text")).first()["guarded"]
