@@ -1,81 +1,94 @@
 """Exact n-gram Jaccard join by PartEnum signatures, and the classes that its links form.
 
-Sets are dealt into size bands in which a linked pair always lies in one band or two neighbours. In a band whose largest set
-has u shingles, linked sets differ in at most d = floor(2u(1-j)/(1+j)) shingles, so of d+1+spare parts of the feature domain
-at least 1+spare hold the same shingles in both: candidates with fewer signatures in common are not compared. Each set's signatures are the hashes of its parts; parts that are empty in a
-set count only where the set has more empty parts than `spare`, so that no linked pair is lost to them.
-
-Sets with a common signature are candidates. All of a signature's sets are first compared with the smallest id among them
-(one comparison a set), then with the largest, so that groups of near copies collapse without listing their pairs. What is
-still apart within a signature is compared pair by pair where such pairs are few for its sets, and is dealt out again by
-signatures of another partitioning where they are many: a linked pair shares one of those too. Every candidate is verified on
-its whole shingle sets.
+Sets are dealt into size bands. In a band whose largest set has u shingles, linked sets differ in at most
+d = floor(2u(100-p)/(100+p)) shingles. The feature domain is partitioned into n1 = floor(d/2) + 1 + spare parts, each of these
+into three, and of the three every subset of two is enumerated: each subset's shingles give one signature. At least 1 + spare
+of the n1 parts differ in no more than one shingle, so that two of their three subparts are equal: linked sets of a band have
+1 + spare signatures in common. A set that can be linked to one of the next band signs there as well. A signature without
+shingles is left out of a set that has no more than `spare` of them.
+
+Sets with a common signature are candidates. They are not listed as pairs:
+
+1. Each set is compared with one hub, the set with the most company among those that share its signatures. Groups of near
+   copies collapse there, one comparison a set.
+2. Of the signatures whose sets are still apart, the shingles are counted: those that only one set has can't be common.
+   That and the numbers of the other shingles by buckets bound how much two sets differ from below. Only pairs of separate
+   classes that keep this bound leave the join on the signature.
+3. Every pair that is left is verified on its whole shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from .common import bounded_broadcast, cut, keep_where
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
 K, PERCENT = 4, 85
-#: A signature's sets that are still apart are compared pair by pair if that makes at most so many pairs for each of them, and dealt
-#: out by further signatures otherwise.
-PAIRS_EACH = 64
-MAX_LEVELS = 2  # of dealing out; what is still apart on the last is compared pair by pair
+#: Ratio of a band's largest set to its smallest; buckets by which the shingles of a set are counted.
+WIDEN, BUCKETS = 1.4, 32
 
 _KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_shingles", "key1", "key2")])
 _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("need", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
+_LISTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("shingles", T.ArrayType(T.LongType()))])
 _PAIRS = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
 
 
-def band_bounds(percent: int, most: int) -> np.ndarray:
-    """Upper sizes of the bands: a linked set of a set within one band is within that band or a neighbour."""
-    bounds = [1]
-    while bounds[-1] < most:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 100 // percent))
-    return np.array(bounds, np.int64)
-
-
-def counted_signatures(shingles: np.ndarray, percent: int, level: int) -> tuple[list[np.ndarray], int]:
-    """Signatures of one set in its own band and the next, and how many of them it shares with every linked set at least.
-
-    Linked sets hold the same in 1 + spare parts or more; of these only parts that are empty in both can go without signature.
-    """
+@lru_cache(maxsize=None)
+def bands(most: int) -> tuple[int, ...]:
+    """Smallest sizes of the bands, up to the first beyond most."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, int(out[-1] * WIDEN)))
+    return tuple(out)
+
+
+def plan_of(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(band, n1, spare) of the bands in which a set of n shingles signs: its own, and the next where a linked set can lie in it."""
+    starts = bands(2 * n + 2)
+    own = int(np.searchsorted(starts, n, side="right")) - 1
+    out = []
+    for band in (own, own + 1) if n else ():
+        if band == own or 100 * n >= percent * starts[band]:
+            largest = starts[band + 1] - 1
+            differ = 2 * largest * (100 - percent) // (100 + percent)
+            spare = 1 + differ // 32
+            # sets that can't differ are equal, and equal sets are one
+            if differ:
+                out.append((band, differ // 2 + 1 + spare, spare))
+    return out
+
+
+def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The signatures of a set, and how many of them it shares with every linked set at least."""
     n, out, need = len(shingles), [], []
-    bounds = band_bounds(percent, max(n * 100 // percent + 2, 2))
-    own = int(np.searchsorted(bounds, n))
-    for band in (own, own + 1):
-        differ = int(2 * bounds[band] * (100 - percent)) // (100 + percent)
-        spare = (3 + differ // 100) if differ else 0
-        parts = differ + 1 + spare
-        part = (mix(shingles, 2 * level + 11) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, values = part[order], mix(shingles, 2 * level + 12)[order]
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    place, value = mix(shingles, 11), mix(shingles, 12)
+    for band, n1, spare in plan_of(n, percent):
+        cell = (place % np.uint64(3 * n1)).astype(np.int64)
+        sums, counts = np.zeros(3 * n1, np.uint64), np.bincount(cell, minlength=3 * n1)
         with np.errstate(over="ignore"):
-            sums, present = np.add.reduceat(values, first), part[first]
-            if parts - len(present) > spare:
-                full, all_parts = np.zeros(parts, np.uint64), np.arange(parts)
-                full[present] = sums
-                sums, present = full, all_parts
-            need.append(1 + spare - (parts - len(present)))
-            out.append(mix(sums + mix(present.astype(np.uint64), band), 77 + level))
-    return out, min(need)
-
-
-def signatures(shingles: np.ndarray, percent: int, level: int) -> list[np.ndarray]:
-    return counted_signatures(shingles, percent, level)[0]
+            np.add.at(sums, cell, value)
+            sums, counts = sums.reshape(n1, 3), counts.reshape(n1, 3)
+            # the subset without subpart j is the part less that subpart
+            sums = (sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums).ravel()
+            held = (counts.sum(axis=1, keepdims=True) - counts).ravel() > 0
+            found = mix(sums + mix(np.arange(3 * n1, dtype=np.uint64), band), 77)
+        empty = 3 * n1 - int(held.sum())
+        if empty <= spare:
+            found = found[held]
+            need.append(1 + spare - empty)
+        else:
+            need.append(1 + spare)
+        out.append(found)
+    return (np.concatenate(out), min(need)) if out else (shingles[:0], 1)
 
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -88,27 +101,36 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([ids, pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=_KEYS.names)
 
 
-def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int, level: int) -> Iterator[pa.RecordBatch]:
+def _longs(lists: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(lists) + 1, np.int32)
+    np.cumsum([len(x) for x in lists], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).view(np.int64)))
+
+
+def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         step = 256
         for first in range(0, len(texts), step):
-            lists, need = [], []
-            for s in shingle_sets(texts[first : first + step], k):
-                found, least = counted_signatures(s, percent, level) if len(s) else ([s], 1)
-                lists.append(np.concatenate(found))
-                need.append(least)
-            offsets = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum([len(x) for x in lists], out=offsets[1:])
-            values = np.concatenate(lists).view(np.int64)
-            yield pa.record_batch([batch.column(0).slice(first, step), pa.array(need, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=_SIGNED.names)
+            lists, need = zip(*[signatures(s, percent) for s in shingle_sets(texts[first : first + step], k)], strict=True)
+            yield pa.record_batch([batch.column(0).slice(first, step), pa.array(need, pa.int64()), _longs(lists)], names=_SIGNED.names)
+
+
+def _listed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        step = 256
+        for first in range(0, len(texts), step):
+            lists = list(shingle_sets(texts[first : first + step], k))
+            counts = [np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).tolist() for s in lists]
+            yield pa.record_batch([batch.column(0).slice(first, step), pa.array(counts, pa.list_(pa.int32())), _longs(lists)], names=_LISTED.names)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         keep = np.zeros(len(left), bool)
-        last, s = None, None
+        last, s = "", np.zeros(0, np.uint64)
         for i, (x, y) in enumerate(zip(left, right, strict=True)):
             if x != last:
                 last, s = x, next(shingle_sets([x], k))
@@ -120,89 +142,118 @@ def _linked(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
         yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=_PAIRS.names)
 
 
-def _sign(texts: DataFrame, k: int, percent: int, level: int) -> DataFrame:
-    signed = texts.select("doc_id", "text").mapInArrow(partial(_signed, k=k, percent=percent, level=level), _SIGNED)
-    return signed.select("doc_id", "need", F.explode("signatures").alias("signature"))
+def shared_signatures(nodes: DataFrame, k: int, percent: int, **limit) -> DataFrame:
+    """Rows (signature, doc_id, need) of the signatures that several rows have, for documents with enough of them for a link.
+
+    Signatures are counted by partial aggregation, so a hot one moves one row a task.
+    """
+    signed = cut(nodes.select("doc_id", "text").mapInArrow(partial(_signed, k=k, percent=percent), _SIGNED).where(F.size("signatures") > 0))
+    again = cut(signed.select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"))
+    rows = signed.select("doc_id", "need", F.explode("signatures").alias("signature"))
+    rows = cut(rows.join(bounded_broadcast(again, again.count(), **limit), "signature").select("signature", "doc_id", "need"))
+    # a pair shares as many as the lesser need of its two sets
+    least = rows.groupBy("signature").agg(F.min("need").alias("least"), F.count("*").alias("n"))
+    rows = rows.join(least, "signature")
+    own = rows.groupBy("doc_id").agg(F.count("*").alias("own"), F.min("least").alias("least"), F.sum(F.col("n") - 1).alias("company")).where("own >= least")
+    return cut(rows.select("signature", "doc_id", "need").join(own.select("doc_id", "company"), "doc_id"))
+
+
+def hubs(rows: DataFrame) -> DataFrame:
+    """One pair (a, b) for each document of rows: with the hub of most of its signatures. A signature's hub is its document with the most company."""
+    best = F.max(F.struct("company", (-F.col("doc_id")).alias("minus"))).alias("best")
+    named = rows.groupBy("signature").agg(best).select("signature", (-F.col("best.minus")).alias("hub"), F.col("best.company").alias("weight"))
+    stars = rows.join(named, "signature").where("doc_id != hub").groupBy("doc_id", "hub").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
+    chosen = stars.groupBy("doc_id").agg(F.max_by("hub", F.struct("n", "weight", -F.col("hub"))).alias("hub"))
+    return chosen.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
+
 
+def _still_apart(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """rows with their component, of the signatures that have several components; and how many rows the signature has."""
+    rows = rows.join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    groups = rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high")
+    return rows.join(groups.select("signature", "members"), "signature")
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (signature, doc_id, need) of signatures that several documents have."""
-    w = Window.partitionBy("signature").orderBy("doc_id")
-    rows = rows.select("signature", "doc_id", "need", F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"), F.lead("doc_id").over(w).alias("following"))
-    return rows.where((F.col("doc_id") != F.col("leader")) | (F.col("following") != F.col("doc_id"))).select("signature", "doc_id", "need")
 
+def _bounds(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(doc_id, alone, counts): how many shingles no other document of rows has, and the others by bucket.
 
-def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, pairs_each: int = PAIRS_EACH, broadcast_rows: int | None = None) -> DataFrame:
+    Only documents of rows are counted, so the bound holds between these.
+    """
+    ids = rows.select("doc_id").distinct()
+    listed = cut(nodes.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_listed, k=k), _LISTED))
+    each = listed.select("doc_id", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    # the bucket of a hash without its sign
+    bucket = F.col("shingle").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+    alone = alone.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").cast("int").alias("n"))
+    alone = alone.groupBy("doc_id").agg(F.sum("n").alias("alone"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("by_bucket"))  # BUCKETS entries at most
+    left = F.transform("counts", lambda c, i: (c - F.coalesce(F.element_at("by_bucket", i), F.lit(0))).cast("smallint"))
+    return listed.drop("shingles").join(alone, "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"), F.when(F.col("by_bucket").isNull(), F.col("counts").cast("array<smallint>")).otherwise(left).alias("counts"))
+
+
+def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broadcast_rows: int | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their k-word shingle sets. Words are runs without
     ASCII white space after lower-casing A-Z; a text of fewer words than k is one shingle. A text without words, or null, has
     an empty set, links with nothing and is its own component. A document with a null doc_id links with nothing and has a
-    null component. Repeated rows of one doc_id are one node; each row is returned. Shingles are compared by 64-bit hashes.
+    null component. Repeated rows of one doc_id are one node, also with different texts; each row is returned, and is its own
+    component where its text is empty. Shingles are compared by 64-bit hashes.
     """
     limit = {} if broadcast_rows is None else {"limit": broadcast_rows}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = cut(texts.mapInArrow(partial(_keys, k=k), _KEYS))
-    sets = cut(keys.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2").agg(F.min("doc_id").alias("first_id")))
+    some = keys.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    sets = cut(some.groupBy("key1", "key2").agg(F.min("doc_id").alias("first_id")))
     nodes = texts.join(bounded_broadcast(sets.select(F.col("first_id").alias("doc_id")).distinct(), sets.count(), **limit), "doc_id", "left_semi")
-
-    links: DataFrame | None = None
-    shared = cut(_shared(_sign(nodes, k, percent, 0)))
-    sizes = keys.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    sizes = bounded_broadcast(sizes, keys.count(), **limit)
+    sizes = some.groupBy("doc_id").agg(F.max("n_shingles").alias("size"), (F.min("key1") != F.max("key1")).alias("several"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link. Of the texts only those of a pair are moved: each b once to where its a is."""
-        x = sizes.select(F.col("doc_id").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"))
-        y = sizes.select(F.col("doc_id").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-        fits = pairs.select("a", "b").join(x, "a").join(y, "b").where((100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la")))
-        fits = cut(fits.select("a", "b"))
-        n = fits.count()
-        right = nodes.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(bounded_broadcast(fits, n, **limit), "b")
-        firsts = bounded_broadcast(fits.select("a").distinct(), n, **limit)
-        left = nodes.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(firsts, "a", "left_semi")
-        return right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(partial(_linked, k=k, percent=percent), _PAIRS)
-
-    def added(pairs: DataFrame) -> None:
-        nonlocal links
-        new = verify(pairs)
-        links = cut(new if links is None else links.unionByName(new))
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        found = connected_components(links).withColumnRenamed("node", "doc_id")
-        return rows.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-    for level in range(MAX_LEVELS):
-        # one comparison a document: with the smallest, then the largest of those that most of its signatures name
-        for end in (F.min, F.max):
-            rows = shared if links is None else labelled(shared)
-            ends = rows.groupBy("signature").agg(end("doc_id").alias("leader"), *([] if links is None else [F.min("component").alias("low"), F.max("component").alias("high")]))
-            stars = rows.join(ends if links is None else ends.where("low != high"), "signature").where("doc_id != leader").groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
-            best = stars.groupBy("doc_id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-            added(best.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")))
-        rows = cut(labelled(shared))
-        parts = rows.groupBy("signature", "component").agg(F.count("*").alias("n"))
-        groups = parts.groupBy("signature").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("parts")).where("parts > 1")
-        pairs = (F.col("members") * F.col("members") - F.col("within")) / 2
-        groups = groups.select("signature", (pairs <= pairs_each * F.col("members")).alias("few"))
-        apart = cut(rows.join(groups, "signature"))
-        few = apart if level == MAX_LEVELS - 1 else apart.where("few")
-        x = few.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("need").alias("na"))
-        y = few.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("need").alias("nb"))
-        # a linked pair that has too few of these signatures in common shares another one that is dealt out again
-        common = x.join(y, "signature").where("a < b AND ca != cb").groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("na", "nb")).alias("need"))
-        added(common.where("n >= need").select("a", "b"))
-        many = apart.where("NOT few").select("signature", "doc_id")
-        if level == MAX_LEVELS - 1 or many.isEmpty():
-            break
-        left = cut(many.select("doc_id").distinct())
-        again = _sign(nodes.join(left, "doc_id", "left_semi"), k, percent, level + 1).withColumnRenamed("signature", "finer")
-        shared = cut(_shared(many.join(again, "doc_id").select("doc_id", "need", F.xxhash64("signature", "finer").alias("signature"))))
-
-    components = connected_components(links)
-    firsts = sets.join(components, sets["first_id"] == components["node"], "left").select("key1", "key2", F.coalesce("component", "first_id").alias("component"))
-    with_ids = keys.join(firsts, ["key1", "key2"], "left")
-    return with_ids.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
+        pairs = cut(pairs)
+        n = pairs.count()
+        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(bounded_broadcast(pairs, n, **limit), "b")
+        firsts = bounded_broadcast(pairs.select("a").distinct(), n, **limit)
+        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(firsts, "a", "left_semi")
+        return cut(right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(partial(_linked, k=k, percent=percent), _PAIRS).distinct())
+
+    rows = shared_signatures(nodes, k, percent, **limit)
+    links = verify(hubs(rows))
+    several = cut(sizes.where("several").select("doc_id"))
+    if not several.isEmpty():
+        # the sets of one document are one node
+        own = some.join(several, "doc_id", "left_semi").join(sets, ["key1", "key2"]).select("doc_id", "first_id")
+        own = own.join(own.groupBy("doc_id").agg(F.min("first_id").alias("a")), "doc_id").where("a != first_id")
+        links = cut(links.unionByName(own.select("a", F.col("first_id").alias("b"))))
+    component = connected_components(links)
+    apart = cut(_still_apart(rows, component))
+    crowded = apart.where("members > 2")
+    facts = _bounds(crowded, nodes, k).join(sizes.where("NOT several").select("doc_id", "size"), "doc_id")
+    apart = apart.join(facts, "doc_id", "left")
+    # one document alone that holds more shingles of its own than a link allows has none
+    hopeless = 100 * F.col("alone") > (100 - percent) * F.col("size")
+    apart = apart.where((F.col("members") == 2) | F.coalesce(~hopeless, F.lit(True))).select("signature", "doc_id", "component", "need", "alone", "size", "counts")
+
+    def side(s: str) -> DataFrame:
+        return apart.select("signature", *[F.col(c).alias(f"{c}_{s}") for c in apart.columns[1:]])
+
+    total = F.col("size_a") + F.col("size_b")
+    apart_by = lambda differ: (100 + percent) * differ <= (100 - percent) * total
+    both: Column = F.col("alone_a") + F.col("alone_b")
+    buckets = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
+    # unknown where a document has several texts or no crowded signature: then there is no bound
+    near = F.coalesce(apart_by(both), F.lit(True)) & F.coalesce(apart_by(both + buckets), F.lit(True))
+    joined = side("a").join(side("b"), "signature").where(F.expr("doc_id_a < doc_id_b AND component_a != component_b") & near)
+    pairs = joined.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("need_a", "need_b")).alias("need")).where("n >= need").select("a", "b")
+    more = verify(pairs)
+    if not more.isEmpty():
+        links = cut(links.unionByName(more).distinct())
+        component = connected_components(links)
+
+    found = sets.join(component, sets["first_id"] == component["node"], "left").select("key1", "key2", F.coalesce("component", "first_id").alias("component"))
+    with_ids = keys.join(found, ["key1", "key2"], "left")
+    of_id = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
+    return with_ids.select("doc_id", "n_shingles", of_id.alias("component_id"))
 
 
 def keep_one_of_each_class(docs: DataFrame, **parameters) -> DataFrame:

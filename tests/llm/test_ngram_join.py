@@ -60,41 +60,60 @@ def corpus(seed, n=160):
     return rows + [(n, None), (n + 1, ""), (n + 2, "One"), (n + 3, "one"), (n + 4, "a b c"), (None, rows[0][1]), (3, rows[3][1])]
 
 
-@pytest.mark.parametrize(("seed", "pairs_each", "broadcast_rows"), [(1, 64, None), (2, 0, 0)])
-def test_all_links_are_found(spark, seed, pairs_each, broadcast_rows):
-    """pairs_each 0 deals every group that is apart out again; broadcast_rows 0 shuffles every join."""
+@pytest.mark.parametrize(("seed", "broadcast_rows"), [(1, None), (2, 0)])
+def test_all_links_are_found(spark, seed, broadcast_rows):
+    """broadcast_rows 0 shuffles every join."""
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], SCHEMA)
-    got = N.similarity_classes(docs, 4, 85, pairs_each, broadcast_rows)
+    got = N.similarity_classes(docs, 4, 85, broadcast_rows)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 4, 85)
 
 
-def test_signatures_meet_for_every_linked_pair():
-    r = np.random.default_rng(3)
-    for n in (1, 2, 5, 13, 40, 200, 900):
-        for _ in range(30):
-            a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
-            drop = int(r.integers(0, n * 15 // 100 + 1))
-            b = a[drop:]
-            if 100 * len(b) < 85 * len(a) or not len(b):
-                continue
-            x, y = (set(np.concatenate(N.signatures(s, 85, 0)).tolist()) for s in (a, b))
-            assert x & y
+def test_large_group_of_near_copies(spark):
+    """Copies with few and with many changed words: some link with the original, some only with each other, most with none."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.choice((1, 2, 3, 4, 5, 6, 9, 14))):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    for i in range(60):
+        w = rows[r.randrange(len(rows))][1].split()
+        w[r.randrange(len(w))] = "y"
+        rows.append((1000 - i, " ".join(w)))
+    got = N.similarity_classes(spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], SCHEMA), 4, 85)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 4, 85)
+
 
+def test_one_id_with_several_texts_is_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (7, b), (7, a), (9, b), (9, c), (11, c + " end"), (7, None), (12, "lone text of five words"), (5, "")]
+    got = N.similarity_classes(spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], SCHEMA))
+    assert sorted(map(tuple, got.collect())) == [(5, 0, 5), (5, 37, 5), (7, 0, 7), (7, 37, 5), (7, 37, 5), (9, 37, 5), (9, 37, 5), (11, 38, 5), (12, 2, 12)]
 
-def test_linked_pairs_share_as_many_signatures_as_promised():
+
+def test_very_long_text(spark):
+    w = [f"w{i * i % 9973}" for i in range(150_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:-9000])), (3, " ".join(w[: len(w) // 2]))]
+    got = N.similarity_classes(spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], SCHEMA))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_linked_pairs_share_as_many_signatures_as_promised(percent):
     r = np.random.default_rng(4)
-    for n in (1, 2, 5, 13, 40, 200, 900):
-        for level in (0, 1):
-            for _ in range(20):
-                a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
-                other = int(r.integers(0, n * 15 // 200 + 1))
-                b = np.unique(np.r_[a[other:], r.integers(0, 2**63, other, dtype=np.uint64)])
-                both = len(np.intersect1d(a, b))
-                if 100 * both < 85 * (len(a) + len(b) - both):
-                    continue
-                (x, need_x), (y, need_y) = (N.counted_signatures(s, 85, level) for s in (a, b))
-                assert len(np.intersect1d(np.concatenate(x), np.concatenate(y))) >= min(need_x, need_y) >= 1
+    for n in (1, 2, 5, 7, 8, 13, 40, 41, 200, 900):
+        for _ in range(40):
+            a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+            lost, changed = int(r.integers(0, n * 17 // 100 + 1)), int(r.integers(0, n // 12 + 1))
+            b = np.unique(np.r_[a[lost + changed :], r.integers(0, 2**63, changed, dtype=np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if not len(b) or 100 * both < percent * (len(a) + len(b) - both) or both == len(a) == len(b):
+                continue
+            (x, need_x), (y, need_y) = N.signatures(a, percent), N.signatures(b, percent)
+            assert len(np.intersect1d(x, y)) >= min(need_x, need_y) >= 1
 
 
 def test_words_and_shingles():
