@@ -1,21 +1,24 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A line here is a piece of text up to a line break or the end of a sentence. In every window of `width` lines the minimum line
-hash is the fingerprint; windows in a row with one minimum form a run, which is all that is joined. A run of `width` or more
-lines that two places share always shares a fingerprint, so only runs whose fingerprint occurs again are extended: each of
-their windows is compared with all windows of the same content, before and after, and the maximal repeats are the unions of
-the windows that occurred earlier. One or two lines that hold FLOOR words or more are windows as well, each with its own hash
-as the fingerprint, so that a long passage of few lines isn't missed. Later repeats are deleted; what occurs first in the order of doc_id and line stays.
+A line here is a piece of text up to a line break or the end of a sentence. The hashes of two lines in a row are winnowed: in
+every window of `width` lines the least of them is the fingerprint. A run of `width` or more lines that two places share always
+shares a fingerprint, so the positions of fingerprints that occur again are joined, and their matches extended window by window
+both ways: the maximal repeats are the unions of the windows of equal content that occurred earlier. One or two lines that hold
+FLOOR words or more are windows as well, each its own fingerprint, so that a long passage of few lines isn't missed. Later
+repeats are deleted; what occurs first in the order of doc_id and line stays.
+
+Lines are hashed once; what is shuffled are fingerprints, window contents and places, as fixed-width numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, bounded_broadcast, cut
 
-WIDTH = 3
+WIDTH, GRAM = 3, 2
+_FIRST = -(2**63)  # in place of a null id
 FLOOR = 50  # words from which fewer lines than WIDTH are a window; a character of a script without spaces counts as a word
 _SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 _PIECE = r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*"
@@ -32,60 +35,77 @@ def _words(line: Column) -> Column:
     return F.when(F.octet_length(line) == F.char_length(line), spaced).otherwise(spaced + F.regexp_count(line, F.lit(_SPACELESS)))
 
 
-def repeated_lines(docs: DataFrame, width: int = WIDTH, broadcast_rows: int = BROADCAST_ROWS, floor: int = FLOOR) -> DataFrame:
-    """(doc_id, text_hash, starts): structs of start (from 1) and width of the windows that occurred earlier, for documents that have any."""
-    once = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+def _hashed(docs: DataFrame, width: int, floor: int) -> DataFrame:
+    """(doc_id, text_hash, hashes, few): the line hashes of each row, and the windows (start from 1, width) of fewer lines than width that hold floor words."""
     lines = F.transform(lines_of(F.col("text")), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
-    rows = once.select("doc_id", "text_hash", F.transform(lines, lambda p: F.struct(F.xxhash64(F.lower(p)).alias("hash"), _words(p).alias("words"))).alias("lines"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(lines, lambda p: F.struct(F.xxhash64(F.lower(p)).alias("hash"), _words(p).alias("words"))).alias("lines"))
     rows = rows.select("doc_id", "text_hash", F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"))
-    n = F.size("hashes")
-    rows = rows.where(n > 0).withColumn("minima", F.transform(F.slice("hashes", 1, F.greatest(n - width + 1, F.lit(0))), lambda h, i: F.array_min(F.slice("hashes", i + 1, width))))
-    rows = rows.withColumn("begins", F.filter(F.transform("minima", lambda m, i: F.when((i == 0) | (m != F.get("minima", i - 1)), i)), lambda i: i.isNotNull()))
 
     def few(w: int) -> Column:
-        """Windows of w lines, fewer than width, with floor words or more."""
         held = lambda i: sum((F.get("words", i + j) for j in range(1, w)), F.get("words", i))
-        starts = F.filter(F.transform("words", lambda _, i: F.when(held(i) >= floor, i)), lambda i: i.isNotNull())
-        window = lambda i: F.slice("hashes", i + 1, w)
-        return F.transform(starts, lambda i: F.struct(F.xxhash64(window(i)).alias("fingerprint"), (i + 1).alias("start"), window(i).alias("context"), F.lit(w).alias("width")))
-
-    runs = F.transform(
-        "begins",
-        lambda b, j: F.struct(
-            F.get("minima", b).alias("fingerprint"),
-            (b + 1).alias("start"),
-            F.slice("hashes", b + 1, F.coalesce(F.get("begins", j + 1), F.size("minima")) - b + width - 1).alias("context"),
-            F.lit(width).alias("width"),
-        ),
-    )
-    runs = F.concat(runs, *[few(w) for w in range(1, width)])
-    runs = cut(rows.select("doc_id", "text_hash", F.explode_outer(runs).alias("run")).where("run IS NOT NULL").select("doc_id", "text_hash", "run.*"))
-    again = runs.groupBy("fingerprint").agg(F.sum(F.size("context") - F.col("width") + 1).alias("windows")).where("windows > 1").select("fingerprint")
-    again = cut(again)
-    windows = (
-        runs.join(bounded_broadcast(again, again.count(), broadcast_rows), "fingerprint", "left_semi")
-        .select("doc_id", "text_hash", F.explode_outer(F.transform(F.slice("context", 1, F.size("context") - F.col("width") + 1), lambda h, i: F.struct((F.col("start") + i).alias("start"), F.col("width").alias("width"), F.xxhash64(F.slice("context", i + 1, F.col("width"))).alias("content")))).alias("at"))
-        .select("doc_id", "text_hash", "at.*")
-    )
-    windows = cut(windows)
-    place = F.struct("doc_id", "text_hash", "start")
-    first = cut(windows.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first"))
-    later = windows.join(bounded_broadcast(first, first.count(), broadcast_rows), "content").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "width"))).alias("starts"))
+        return F.filter(F.transform("words", lambda _, i: F.when(held(i) >= floor, F.struct((i + 1).alias("start"), F.lit(w).alias("width")))), lambda x: x.isNotNull())
+
+    return rows.select("doc_id", "text_hash", "hashes", F.concat(*[few(w) for w in range(1, width)]).alias("few") if width > 1 else F.array().cast("array<struct<start:int,width:int>>").alias("few"))
 
 
-def line_dedup(docs: DataFrame, width: int = WIDTH, **parameters) -> DataFrame:
+def repeated_lines(rows: DataFrame, width: int = WIDTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, text_hash, starts): the windows (start from 1, width) of _hashed() rows that occurred earlier, for documents that have any.
+
+    Earlier is a smaller doc_id (null first), then a smaller text_hash, then a smaller start. Each row is another place.
+    """
+    gram = min(GRAM, width)
+    inside = width - gram + 1
+    n = F.size("hashes")
+    grams = F.transform(F.slice("hashes", 1, F.greatest(n - gram + 1, F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get("hashes", i + j) for j in range(1, gram)]))
+    rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text_hash", "hashes", "few", grams.alias("grams"))
+    starts = F.slice("hashes", 1, F.greatest(n - width + 1, F.lit(0)))
+    at = lambda i: [F.get("grams", i + j) for j in range(inside)]
+    minimum = lambda i: F.least(*at(i)) if inside > 1 else at(i)[0]
+    # where in its window the minimum is
+    place = lambda i: F.coalesce(*[F.when(g == minimum(i), i + j) for j, g in enumerate(at(i))])
+    picks = F.transform(starts, lambda _, i: F.when((i == 0) | (place(i) != place(i - 1)), minimum(i)))
+    again = rows.select(F.explode(picks).alias("fingerprint")).where("fingerprint IS NOT NULL").groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    again = cut(again)
+    whole = lambda i, w: F.struct((i + 1).alias("start"), F.lit(width).alias("width"), F.xxhash64(F.slice("hashes", i + 1, w)).alias("content"))
+    every = rows.select("doc", "text_hash", F.explode(F.transform(starts, lambda _, i: F.struct(minimum(i).alias("fingerprint"), whole(i, width).alias("window")))).alias("x")).select("doc", "text_hash", "x.*")
+    every = every.join(bounded_broadcast(again, again.count(), broadcast_rows), "fingerprint", "left_semi").select("doc", "text_hash", "window.*")
+    short = rows.where(F.size("few") > 0).select("doc", "text_hash", "hashes", F.explode("few").alias("few")).select("doc", "text_hash", "few.*", F.xxhash64(F.slice("hashes", F.col("few.start"), F.col("few.width"))).alias("content"))
+    windows = every.unionByName(short)
+    # the least id by partial aggregation: a hot window moves one row a task
+    first = cut(windows.groupBy("content").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1").select("content", "first_doc"))
+    found = windows.join(bounded_broadcast(first, first.count(), broadcast_rows), "content").select("doc", "text_hash", "content", "start", "width", (F.col("doc") > F.col("first_doc")).alias("later"))
+    several = cut(rows.groupBy("doc").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low != high").select("doc"))
+    if not several.isEmpty():
+        # texts of one id: the smaller text_hash is the earlier one
+        of_id = found.join(several, "doc", "left_semi").groupBy("doc", "content").agg(F.min("text_hash").alias("first_hash"))
+        found = found.join(of_id, ["doc", "content"], "left").withColumn("later", F.col("later") | F.coalesce(F.col("text_hash") > F.col("first_hash"), F.lit(False))).drop("first_hash")
+    # within a text, all but the first of equal windows; a document's own windows are what is gathered here
+    own = found.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("content", "start", "width", "later"))).alias("w"))
+    starts = F.transform("w", lambda x, i: F.when(x["later"] | ((i > 0) & (x["content"] == F.get("w", i - 1)["content"])), F.struct(x["start"].alias("start"), x["width"].alias("width"))))
+    return own.select("doc", "text_hash", F.filter(starts, lambda x: x.isNotNull()).alias("starts")).where(F.size("starts") > 0)
+
+
+def line_dedup(docs: DataFrame, width: int = WIDTH, floor: int = FLOOR, **parameters) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_deleted, runs (deleted runs: start, length), text (without them).
 
-    A line is compared without its outer and repeated white space, in lower case. Texts of fewer than width lines and
-    FLOOR words stay as they are; a null text has no lines and stays null, an empty one stays empty. A repeated row (same doc_id and text) is the same
-    place as its twin, so twins don't delete each other's lines and are treated alike. Other columns are ignored.
+    A line is compared without its outer and repeated white space, in lower case, and by its 64-bit hash. Texts of fewer than
+    width lines and floor words stay as they are; a null text has no lines and stays null, an empty one stays empty. A
+    repeated row (same doc_id and text) is the same place as its twin, so twins don't delete each other's lines and are
+    treated alike. Null ids come first. Other columns are ignored; an empty table gives an empty result.
     """
-    later = repeated_lines(docs, width, **parameters)
-    later = later.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "starts")
+    rows = cut(_hashed(docs, width, floor))
+    twins = cut(rows.groupBy("doc_id", "text_hash").count().where("count > 1").drop("count"))
+    if not twins.isEmpty():
+        twin = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
+        same = [rows[c].eqNullSafe(twins[c]) for c in ("doc_id", "text_hash")]
+        rows = cut(rows.join(twins, same, "left_anti").unionByName(rows.join(twins, same, "left_semi").withColumn("twin", twin).where("twin = 1").drop("twin")))
+    later = repeated_lines(rows, width, **parameters)
+    facts = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("of"), F.col("text_hash").alias("of_hash"), F.size("hashes").alias("n_lines"))
+    facts = facts.join(later, (F.col("of") == F.col("doc")) & (F.col("of_hash") == F.col("text_hash")), "left").select("of", "of_hash", "n_lines", "starts")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    rows = rows.join(later, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left")
-    lines = rows.select("doc_id", "text", "starts", lines_of(F.col("text")).alias("lines"))
+    rows = rows.join(facts, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)) == F.col("of")) & (F.col("text_hash") == F.col("of_hash")))
+    # only texts that lose lines are taken apart again
+    lines = rows.select("doc_id", "text", "n_lines", "starts", F.when(F.col("starts").isNotNull(), lines_of(F.col("text"))).alias("lines"))
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["start"], s["start"] + s["width"] - 1)))))
     lines = lines.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
     # of a sorted list of line numbers, those that don't follow their predecessor begin a run
@@ -99,7 +119,7 @@ def line_dedup(docs: DataFrame, width: int = WIDTH, **parameters) -> DataFrame:
     kept = F.array_join(F.flatten(F.transform(F.arrays_zip(after.alias("from"), bounds.alias("to")), lambda z: F.slice("lines", z["from"], z["to"] - z["from"]))), "")
     return lines.select(
         "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
+        F.col("n_lines").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_deleted"),
         "runs",
         F.when(F.size("gone") == 0, F.col("text")).otherwise(kept).alias("text"),

@@ -143,35 +143,38 @@ def _linked(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
 
 
 def shared_signatures(nodes: DataFrame, k: int, percent: int, **limit) -> DataFrame:
-    """Rows (signature, doc_id, need) of the signatures that several rows have, for documents with enough of them for a link.
+    """Rows (doc_id, need, company, signatures): the signatures that several rows have, for documents with enough of them for a link.
 
-    Signatures are counted by partial aggregation, so a hot one moves one row a task.
+    Signatures are counted by partial aggregation, so a hot one moves one row a task. company is how many other rows the
+    signatures have in all.
     """
     signed = cut(nodes.select("doc_id", "text").mapInArrow(partial(_signed, k=k, percent=percent), _SIGNED).where(F.size("signatures") > 0))
-    again = cut(signed.select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"))
     rows = signed.select("doc_id", "need", F.explode("signatures").alias("signature"))
-    rows = cut(rows.join(bounded_broadcast(again, again.count(), **limit), "signature").select("signature", "doc_id", "need"))
+    again = cut(rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("need").alias("least")).where("n > 1"))
+    shared = rows.join(bounded_broadcast(again, again.count(), **limit), "signature")
     # a pair shares as many as the lesser need of its two sets
-    least = rows.groupBy("signature").agg(F.min("need").alias("least"), F.count("*").alias("n"))
-    rows = rows.join(least, "signature")
-    own = rows.groupBy("doc_id").agg(F.count("*").alias("own"), F.min("least").alias("least"), F.sum(F.col("n") - 1).alias("company")).where("own >= least")
-    return cut(rows.select("signature", "doc_id", "need").join(own.select("doc_id", "company"), "doc_id"))
+    by_doc = shared.groupBy("doc_id", "need").agg(F.count("*").alias("own"), F.min("least").alias("least"), F.sum(F.col("n") - 1).alias("company"), F.collect_list("signature").alias("signatures"))
+    return cut(by_doc.where("own >= least").drop("own", "least"))
 
 
-def hubs(rows: DataFrame) -> DataFrame:
-    """One pair (a, b) for each document of rows: with the hub of most of its signatures. A signature's hub is its document with the most company."""
+def hubs(docs: DataFrame, **limit) -> DataFrame:
+    """One pair (a, b) for each document: with the hub of most of its signatures. A signature's hub is its document with the most company."""
+    rows = docs.select("doc_id", "company", F.explode("signatures").alias("signature"))
     best = F.max(F.struct("company", (-F.col("doc_id")).alias("minus"))).alias("best")
-    named = rows.groupBy("signature").agg(best).select("signature", (-F.col("best.minus")).alias("hub"), F.col("best.company").alias("weight"))
-    stars = rows.join(named, "signature").where("doc_id != hub").groupBy("doc_id", "hub").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
+    named = rows.groupBy("signature").agg(best, F.count("*").alias("n")).where("n > 1")
+    named = cut(named.select("signature", (-F.col("best.minus")).alias("hub"), F.col("best.company").alias("weight")))
+    stars = rows.join(bounded_broadcast(named, named.count(), **limit), "signature").where("doc_id != hub").groupBy("doc_id", "hub").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
     chosen = stars.groupBy("doc_id").agg(F.max_by("hub", F.struct("n", "weight", -F.col("hub"))).alias("hub"))
     return chosen.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
 
 
-def _still_apart(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """rows with their component, of the signatures that have several components; and how many rows the signature has."""
-    rows = rows.join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    groups = rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high")
-    return rows.join(groups.select("signature", "members"), "signature")
+def _still_apart(docs: DataFrame, component: DataFrame, **limit) -> DataFrame:
+    """Rows (signature, doc_id, need, component, members) of the signatures that several components have."""
+    component = component.select(F.col("node").alias("doc_id"), "component")
+    docs = docs.join(bounded_broadcast(component, component.count(), **limit), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = docs.select("doc_id", "need", "component", F.explode("signatures").alias("signature"))
+    groups = cut(rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high").select("signature", "members"))
+    return rows.join(bounded_broadcast(groups, groups.count(), **limit), "signature")
 
 
 def _bounds(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -217,8 +220,8 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broa
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(firsts, "a", "left_semi")
         return cut(right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(partial(_linked, k=k, percent=percent), _PAIRS).distinct())
 
-    rows = shared_signatures(nodes, k, percent, **limit)
-    links = verify(hubs(rows))
+    shared = shared_signatures(nodes, k, percent, **limit)
+    links = verify(hubs(shared, **limit))
     several = cut(sizes.where("several").select("doc_id"))
     if not several.isEmpty():
         # the sets of one document are one node
@@ -226,9 +229,9 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broa
         own = own.join(own.groupBy("doc_id").agg(F.min("first_id").alias("a")), "doc_id").where("a != first_id")
         links = cut(links.unionByName(own.select("a", F.col("first_id").alias("b"))))
     component = connected_components(links)
-    apart = cut(_still_apart(rows, component))
+    apart = cut(_still_apart(shared, component, **limit))
     crowded = apart.where("members > 2")
-    facts = _bounds(crowded, nodes, k).join(sizes.where("NOT several").select("doc_id", "size"), "doc_id")
+    facts = _bounds(crowded, texts, k).join(sizes.where("NOT several").select("doc_id", "size"), "doc_id")
     apart = apart.join(facts, "doc_id", "left")
     # one document alone that holds more shingles of its own than a link allows has none
     hopeless = 100 * F.col("alone") > (100 - percent) * F.col("size")

@@ -198,6 +198,21 @@ def test_licenses_of_real_notices(spark):
     assert licenses.scan_licenses(frame(spark, [(1, "This isn't\nlicensed under the MIT license.")])).first()["licenses"] == []
 
 
+def test_line_dedup_of_repeated_rows_and_ids(spark):
+    a, b = ("".join(f"{x} line {i}. " for i in range(5)) for x in "ab")
+    rows = [(3, a), (3, a), (4, a), (None, b), (5, b), (6, "x. y. " + b + "z. " + b), (7, a + "one."), (7, a + "two."), (8, "u. u. u. u. u.")]
+    got = sorted((x["doc_id"] or 0, x["n_lines"], x["n_deleted"]) for x in line_dedup.line_dedup(frame(spark, rows)).collect())
+    assert got == [(0, 5, 0), (3, 5, 0), (3, 5, 0), (4, 5, 5), (5, 5, 5), (6, 13, 10), (7, 6, 5), (7, 6, 5), (8, 5, 4)]
+    assert line_dedup.line_dedup(frame(spark, rows).where("doc_id > 99")).count() == 0
+
+
+def test_line_dedup_of_one_id_with_two_texts(spark):
+    a = "".join(f"line {i}. " for i in range(5))
+    rows = [(7, a + "one."), (7, a + "two.")]
+    got = sorted(x["n_deleted"] for x in line_dedup.line_dedup(frame(spark, rows)).collect())
+    assert got == [0, 5]
+
+
 def test_line_dedup_of_few_long_lines(spark):
     one = " ".join(f"a{i}" for i in range(60)) + ". "
     two = " ".join(f"b{i}" for i in range(30)) + ". " + " ".join(f"c{i}" for i in range(30)) + ". "
