@@ -29,6 +29,14 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECE), F.lit(0))
 
 
+def _single_spaced(line: Column) -> Column:
+    """A line without outer white space, and with single spaces inside; the pattern runs only where there is something to replace."""
+    odd = line.contains("  ")
+    for c in "\n\t\r\f\x0b":
+        odd = odd | line.contains(c)
+    return F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+
+
 def _words(line: Column) -> Column:
     """Words of a line with single spaces."""
     spaced = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
@@ -37,9 +45,10 @@ def _words(line: Column) -> Column:
 
 def _hashed(docs: DataFrame, width: int, floor: int) -> DataFrame:
     """(doc_id, text_hash, hashes, few): the line hashes of each row, and the windows (start from 1, width) of fewer lines than width that hold floor words."""
-    lines = F.transform(lines_of(F.col("text")), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(lines, lambda p: F.struct(F.xxhash64(F.lower(p)).alias("hash"), _words(p).alias("words"))).alias("lines"))
-    rows = rows.select("doc_id", "text_hash", F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"))
+    lines = F.transform(lines_of(F.col("text")), _single_spaced)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines"))
+    # two plain arrays: a field of an array of structs would be taken out anew for every element below
+    rows = rows.select("doc_id", "text_hash", F.transform("lines", lambda p: F.xxhash64(F.lower(p))).alias("hashes"), F.transform("lines", _words).alias("words"))
 
     def few(w: int) -> Column:
         held = lambda i: sum((F.get("words", i + j) for j in range(1, w)), F.get("words", i))
@@ -64,10 +73,10 @@ def repeated_lines(rows: DataFrame, width: int = WIDTH, broadcast_rows: int = BR
     # where in its window the minimum is
     place = lambda i: F.coalesce(*[F.when(g == minimum(i), i + j) for j, g in enumerate(at(i))])
     picks = F.transform(starts, lambda _, i: F.when((i == 0) | (place(i) != place(i - 1)), minimum(i)))
-    again = rows.select(F.explode(picks).alias("fingerprint")).where("fingerprint IS NOT NULL").groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    again = rows.select(F.explode_outer(picks).alias("fingerprint")).where("fingerprint IS NOT NULL").groupBy("fingerprint").count().where("count > 1").select("fingerprint")
     again = cut(again)
     whole = lambda i, w: F.struct((i + 1).alias("start"), F.lit(width).alias("width"), F.xxhash64(F.slice("hashes", i + 1, w)).alias("content"))
-    every = rows.select("doc", "text_hash", F.explode(F.transform(starts, lambda _, i: F.struct(minimum(i).alias("fingerprint"), whole(i, width).alias("window")))).alias("x")).select("doc", "text_hash", "x.*")
+    every = rows.select("doc", "text_hash", F.explode_outer(F.transform(starts, lambda _, i: F.struct(minimum(i).alias("fingerprint"), whole(i, width).alias("window")))).alias("x")).where("x IS NOT NULL").select("doc", "text_hash", "x.*")
     every = every.join(bounded_broadcast(again, again.count(), broadcast_rows), "fingerprint", "left_semi").select("doc", "text_hash", "window.*")
     short = rows.where(F.size("few") > 0).select("doc", "text_hash", "hashes", F.explode("few").alias("few")).select("doc", "text_hash", "few.*", F.xxhash64(F.slice("hashes", F.col("few.start"), F.col("few.width"))).alias("content"))
     windows = every.unionByName(short)

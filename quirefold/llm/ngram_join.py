@@ -177,13 +177,13 @@ def _still_apart(docs: DataFrame, component: DataFrame, **limit) -> DataFrame:
     return rows.join(bounded_broadcast(groups, groups.count(), **limit), "signature")
 
 
-def _bounds(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _bounds(rows: DataFrame, texts: DataFrame, k: int, **limit) -> DataFrame:
     """(doc_id, alone, counts): how many shingles no other document of rows has, and the others by bucket.
 
     Only documents of rows are counted, so the bound holds between these.
     """
-    ids = rows.select("doc_id").distinct()
-    listed = cut(nodes.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_listed, k=k), _LISTED))
+    ids = cut(rows.select("doc_id").distinct())
+    listed = cut(texts.join(bounded_broadcast(ids, ids.count(), **limit), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_listed, k=k), _LISTED))
     each = listed.select("doc_id", F.explode("shingles").alias("shingle"))
     alone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
     # the bucket of a hash without its sign
@@ -231,7 +231,7 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broa
     component = connected_components(links)
     apart = cut(_still_apart(shared, component, **limit))
     crowded = apart.where("members > 2")
-    facts = _bounds(crowded, texts, k).join(sizes.where("NOT several").select("doc_id", "size"), "doc_id")
+    facts = _bounds(crowded, texts, k, **limit).join(sizes.where("NOT several").select("doc_id", "size"), "doc_id")
     apart = apart.join(facts, "doc_id", "left")
     # one document alone that holds more shingles of its own than a link allows has none
     hopeless = 100 * F.col("alone") > (100 - percent) * F.col("size")

@@ -23,9 +23,11 @@ _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 OP1 = r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*') AS l FROM documents),
 n AS (SELECT doc_id, list_transform(l, lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) AS h FROM p),
-w AS (SELECT doc_id, s, h[s:s + 2] AS c FROM (SELECT doc_id, h, unnest(range(1, len(h) - 1)) AS s FROM n)),
-later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY c ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS i FROM later),
+q AS (SELECT doc_id, h, list_transform(h, lambda x: length(x) - length(replace(x, ' ', '')) + 1 + CASE WHEN strlen(x) = length(x) THEN 0 ELSE len(regexp_extract_all(x, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]')) END) AS c FROM n),
+spans AS (SELECT doc_id, h, c, v AS wide, unnest(range(1, len(h) - v + 2)) AS s FROM q, (SELECT unnest([1, 2, 3]) AS v) WHERE len(h) >= v),
+w AS (SELECT doc_id, s, wide, h[s:s + wide - 1] AS c FROM spans WHERE wide = 3 OR list_sum(c[s:s + wide - 1]) >= 50),
+later AS (SELECT doc_id, s, wide FROM (SELECT doc_id, s, wide, row_number() OVER (PARTITION BY c ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + wide)) AS i FROM later),
 kept AS (SELECT e.doc_id, string_agg(e.x, '' ORDER BY e.i) AS text FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM p) e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i WHERE g.i IS NULL GROUP BY e.doc_id),
 counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT p.doc_id, len(l)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_deleted, sha256(CASE WHEN c.n IS NULL THEN p.text ELSE coalesce(k.text, '') END) AS text_sha256 FROM p LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)"""
