@@ -13,6 +13,7 @@ from . import values as V
 
 BLANK = r"(?U)^\s*$"
 HANGUL = "[가-힣]"
+_BLOCKS = "array<struct<text:string,kind:string,x1:int,y1:int,x2:int,y2:int>>"
 
 
 def once(value: Column, then) -> Column:
@@ -80,15 +81,46 @@ def has_proper_nouns(c: Column, markers=V.PROPER_NOUNS) -> Column:
 
 
 def is_truncated(c: Column, max_tokens: int) -> Column:
-    """an open tag at the end, far too long, or long and cut inside a sentence.
+    """an open tag at the end, far too long, or, with four closed tags or more, long and ending without a terminator. Empty texts aren't cut."""
+    limit = 2.5 * max_tokens
+    parts = F.split(c, r"<\|/det\|>", -1)
+    tail = strip(F.element_at(parts, -1))
+    cut = (F.size(parts) > 4) & (tail != "") & ~F.contains(F.lit(V.TERMINATORS), F.right(tail, F.lit(1)))
+    return F.when(F.coalesce(c, F.lit("")) == "", False).otherwise(c.rlike(r"(<\|ref\|>[^<]*$)|(<\|det\|>[^<]*$)") | (F.char_length(c) > limit) | ((F.char_length(c) > 0.6 * limit) & cut))
+
 
-    Ends that aren't cuts: a terminator, a closing bracket or quote, a closing tag. Empty texts aren't cut.
+def grounded_blocks(raw: Column, max_tokens: int = 16384) -> Column:
+    """The blocks (text, kind, x1, y1, x2, y2, truncated) of a recogniser's answer, in order; those without text go.
+
+    Corners are held within 0 to 999 and have at least one step between them where there is room. Text before the first whole
+    mark is a block where it begins like one. The last block says whether the answer was cut off; null and unmarked answers
+    give no blocks.
     """
-    limit = 2.5 * max_tokens
-    tail = F.element_at(F.split(c, r"<\|/det\|>"), -1)
-    closed = F.regexp_count(c, F.lit(r"<\|/det\|>"))
-    cut = ~strip(tail).rlike(r"[.!?。！？)\]}」』\"'…>]$") & ~is_blank(tail)
-    return F.when(F.coalesce(c, F.lit("")) == "", False).otherwise(c.rlike(r"(<\|ref\|>[^<]*$)|(<\|det\|>[^<]*$)") | (F.char_length(c) > limit) | ((F.char_length(c) > 0.6 * limit) & (closed >= 4) & cut))
+    pattern, first = "(?Ud)" + V.GROUNDED_BLOCK, "(?Ud)" + V.GROUNDED_START
+
+    def corner(mark: Column, p: str, group: int) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(mark, p, group), "^0+(?=.)", "")
+        return F.when(F.char_length(digits) > 3, 999).otherwise(digits.cast("int"))
+
+    def block(mark: Column, p: str, text: Column) -> Column:
+        def sized(c: Column) -> Column:
+            after = lambda low, high: F.when(c[high] <= c[low], F.least(c[low] + 1, F.lit(999))).otherwise(c[high])
+            return F.struct(strip(text).alias("text"), strip(F.regexp_extract(mark, p, 1)).alias("kind"), c["x1"].alias("x1"), c["y1"].alias("y1"), after("x1", "x2").alias("x2"), after("y1", "y2").alias("y2"))
+
+        return once(F.struct(*[corner(mark, p, i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"), 2)]), sized)
+
+    def of_parts(parts: Column) -> Column:
+        marks = F.regexp_extract_all(raw, F.lit(pattern), F.lit(0))
+        lead = F.get(parts, 0)
+        start = F.when(lead.rlike(first), F.array(block(F.regexp_extract(lead, first, 0), first, F.regexp_replace(lead, first, "")))).otherwise(F.array().cast(_BLOCKS))
+        rest = F.zip_with(marks, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda m, t: block(m, pattern, t))
+        return F.filter(F.concat(F.when(F.size(parts) > 1, start).otherwise(F.array().cast(_BLOCKS)), rest), lambda x: x["text"] != "")
+
+    def flagged(found: Column) -> Column:
+        cut = is_truncated(raw, max_tokens)
+        return F.transform(found, lambda x, i: F.struct(*[x[n].alias(n) for n in ("text", "kind", "x1", "y1", "x2", "y2")], ((i == F.size(found) - 1) & cut).alias("truncated")))
+
+    return once(once(F.split(raw, pattern, -1), of_parts), flagged)
 
 
 # ---- repetition
@@ -203,8 +235,10 @@ CLASSES = ("korean", "english", "math", "code", "table")
 def content_scores(c: Column) -> Column:
     """Struct of the share of Hangul and Latin letters and the capped counts of formulas, code and table marks."""
     n = F.char_length(c)
+    # the letters are counted by what is left without them: listing each one is several times slower
+    letters_of = lambda letters: n - F.char_length(F.regexp_replace(c, letters + "+", ""))
     count = lambda patterns: F.regexp_count(c, F.lit("(?Um)" + "|".join(patterns)))
-    share = lambda letters: F.when(n > 0, F.regexp_count(c, F.lit(letters)) / n).otherwise(0.0)
+    share = lambda letters: F.when(n > 0, letters_of(letters) / n).otherwise(0.0)
     capped = lambda k, x: F.least(F.lit(k) * x, F.lit(1.0))
     scores = (share("[가-힣ㄱ-ㅎㅏ-ㅣ]"), share("[a-zA-Z]"), capped(0.15, count(V.MATH)), capped(0.15, count(V.CODE)), capped(0.2, count(V.TABLE)))
     return F.struct(*[s.alias(name) for name, s in zip(CLASSES, scores, strict=True)])
@@ -215,15 +249,17 @@ def _of_scores(c: Column, then) -> Column:
     return F.get(F.transform(F.array(content_scores(c)), lambda s: then({name: s[name] for name in CLASSES})), 0)
 
 
-def classify(c: Column) -> Column:
-    """The class of the highest score; mixed on a tie, korean without any score."""
+def class_of_scores(c: Column, s: Column) -> Column:
+    """A05 of a text and its scores (a column that holds them): the class of the highest; mixed on a tie, korean without any score."""
+    top = F.greatest(*[s[name] for name in CLASSES])
+    ties = sum(((s[name] == top).cast("int") for name in CLASSES), F.lit(0))
+    best = F.when(top == 0, "korean").when(ties > 1, "mixed").otherwise(F.coalesce(*[F.when(s[name] == top, F.lit(name)) for name in CLASSES]))
+    return F.when(is_blank(c), "korean").otherwise(best)
 
-    def best(scores: dict[str, Column]) -> Column:
-        top = F.greatest(*scores.values())
-        ties = sum(((s == top).cast("int") for s in scores.values()), F.lit(0))
-        return F.when(top == 0, "korean").when(ties > 1, "mixed").otherwise(F.coalesce(*[F.when(s == top, F.lit(name)) for name, s in scores.items()]))
 
-    return F.when(is_blank(c), "korean").otherwise(_of_scores(c, best))
+def classify(c: Column) -> Column:
+    """The class of the highest score; mixed on a tie, korean without any score."""
+    return F.when(is_blank(c), "korean").otherwise(once(content_scores(c), lambda s: class_of_scores(c, s)))
 
 
 def dominant_types(c: Column, least: float = 0.2) -> Column:
@@ -238,10 +274,14 @@ def dominant_types(c: Column, least: float = 0.2) -> Column:
 
 
 def classify_line(c: Column) -> Column:
-    """X14, for one line."""
-    hangul, latin = F.regexp_count(c, F.lit("[가-힣ㄱ-ㅎㅏ-ㅣ]")), F.regexp_count(c, F.lit("[a-zA-Z]"))
-    matches = lambda patterns: c.rlike("(?Um)" + "|".join(patterns))
-    return F.when(is_blank(c), "korean").when(matches(V.TABLE), "table").when(matches(V.CODE), "code").when(matches(V.MATH), "math").when(latin > hangul, "english").otherwise("korean")
+    """X14, for one line, which is looked at without its outer white space."""
+
+    def of_line(x: Column) -> Column:
+        letters = lambda kind: F.char_length(F.regexp_replace(x, f"[^{kind}]+", ""))
+        matches = lambda patterns: x.rlike("(?Um)" + "|".join(patterns))
+        return F.when(x == "", "korean").when(matches(V.TABLE), "table").when(matches(V.CODE), "code").when(matches(V.MATH), "math").when(letters("a-zA-Z") > letters("가-힣ㄱ-ㅎㅏ-ㅣ"), "english").otherwise("korean")
+
+    return F.when(c.isNull(), "korean").otherwise(once(strip(c), of_line))
 
 
 # ---- splitting

@@ -74,6 +74,12 @@ EXPLANATIONS = (
     r"^\d+\.\s*(.*?→.*?)$",
 )
 
+# The characters that end a text which isn't cut off.
+TERMINATORS = ".?!다요음함됨임것수등0123456789①②③④⑤⑥⑦⑧⑨⑩)]\""
+# A block of a recogniser's answer (kind and corners, 0 to 999), and one whose first mark is missing.
+GROUNDED_BLOCK = r"<\|ref\|>(.*?)<\|/ref\|>\s*<\|det\|>\[\[(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\]\]<\|/det\|>"
+GROUNDED_START = r"^([\w_]+)<\|/ref\|>\s*<\|det\|>\[\[(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\]\]<\|/det\|>"
+
 # Formula commands.
 DOUBLED_COMMANDS = ("frac", "sum", "int", "prod", "sqrt", "alpha", "beta", "gamma", "delta", "theta", "pi", "sigma", "lambda", "mu", "infty", "lim", "log", "sin", "cos", "tan")
 SUBSCRIPT_COMMANDS = ("sum", "prod", "int", "lim", "min", "max", "inf", "sup", "bigcup", "bigcap", "bigoplus")

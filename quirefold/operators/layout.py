@@ -132,8 +132,9 @@ def gap_tolerance(lines: DataFrame, keys: list[str], height: int) -> DataFrame:
     """Half the median gap between grid lines (pos) on the 0 to 999 grid, 1 at least; 15 without gaps."""
     w = Window.partitionBy(*keys).orderBy("pos")
     gaps = lines.withColumn("gap", F.lead("pos").over(w) - F.col("pos"))
-    tolerance = F.greatest(F.floor(F.median(F.when(F.col("gap") > 0, F.col("gap"))) / F.lit(float(height)) * 999 / 2), F.lit(1))
-    return gaps.groupBy(*keys).agg(F.coalesce(tolerance if height > 0 else F.lit(None), F.lit(15)).cast("long").alias("tolerance"))
+    middle = F.median(F.when(F.col("gap") > 0, F.col("gap")))
+    tolerance = F.when(middle.isNotNull(), F.greatest(F.floor(middle / F.lit(float(height)) * 999 / 2), F.lit(1))) if height > 0 else F.lit(None)
+    return gaps.groupBy(*keys).agg(F.coalesce(tolerance, F.lit(15)).cast("long").alias("tolerance"))
 
 
 def table_rows(boxes: DataFrame, keys: list[str], tolerance: Column | int = 15) -> DataFrame:

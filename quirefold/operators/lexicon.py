@@ -34,6 +34,10 @@ def compose(initial: Column, vowel: Column, final: Column) -> Column:
 
 def strip_particle(c: Column, particles=V.PARTICLES) -> Column:
     """(stem, particle) by the first particle in order that leaves two characters; null if none does."""
+    if all(len(p) >= len(q) for p, q in zip(particles, particles[1:], strict=False)):
+        # longer ones come first, so the first that fits is the one that leaves the shortest stem
+        pattern = "(?s)^(.{2,}?)(" + "|".join(particles) + ")$"
+        return F.when(c.rlike(pattern), F.struct(F.regexp_extract(c, pattern, 1).alias("stem"), F.regexp_extract(c, pattern, 2).alias("particle")))
     fits = [F.when(c.endswith(p) & (F.char_length(c) - len(p) >= 2), F.struct(F.substr(c, F.lit(1), F.char_length(c) - len(p)).alias("stem"), F.lit(p).alias("particle"))) for p in particles]
     return F.coalesce(*fits)
 
@@ -74,42 +78,61 @@ def _unique(made: DataFrame, terms: DataFrame) -> DataFrame:
     return single.join(terms.select(F.col("term").alias("spelling")).distinct(), "spelling", "left_anti")
 
 
-def tokens(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys..., at, token): words and delimiters in turn."""
-    pieces = F.split(text, f"(?U)(?<={V.DELIMITERS})|(?={V.DELIMITERS})", -1)
-    return docs.select(*keys, F.posexplode(pieces).alias("at", "token"))
+_BETWEEN = f"(?U)(?<={V.DELIMITERS})|(?={V.DELIMITERS})"
 
 
-def correct(docs: DataFrame, keys: list[str], terms: DataFrame, spellings: DataFrame, text: str = "text", direct: dict[str, str] | None = None) -> DataFrame:
-    """D01 or D02 by its table of spellings: keys and the corrected text.
+def tokens(text: Column) -> Column:
+    """Words and delimiters in turn; joined they are the text."""
+    return F.split(text, _BETWEEN, -1)
+
+
+def corrected_words(words: DataFrame, terms: DataFrame, spellings: DataFrame) -> DataFrame:
+    """words with their column `now` corrected by a table of spellings (D01 or D02).
 
     A word that isn't a term becomes the one term of its spelling; failing that, its stem is looked up the same way, and the
     particle stays. Joins are on the word; Spark broadcasts a dictionary that is small and shuffles otherwise.
     """
-    source = F.col(text)
-    for wrong, right in (direct or {}).items():
-        source = F.replace(source, F.lit(wrong), F.lit(right))
     known = terms.select(F.col("term").alias("_known")).distinct()
     stems = terms.select(F.col("term").alias("_stem_known")).distinct()
-    words = tokens(docs.select(*keys, source.alias(text)), keys, text).withColumn("_cut", strip_particle(F.col("token")))
     joined = (
-        words.join(known, words["token"] == F.col("_known"), "left")
-        .join(spellings.select(F.col("spelling").alias("_s1"), F.col("term").alias("_t1")), F.col("token") == F.col("_s1"), "left")
+        words.withColumn("_cut", strip_particle(F.col("now")))
+        .join(known, F.col("now") == F.col("_known"), "left")
+        .join(spellings.select(F.col("spelling").alias("_s1"), F.col("term").alias("_t1")), F.col("now") == F.col("_s1"), "left")
         .join(stems, F.col("_cut.stem") == F.col("_stem_known"), "left")
         .join(spellings.select(F.col("spelling").alias("_s2"), F.col("term").alias("_t2")), F.col("_cut.stem") == F.col("_s2"), "left")
     )
-    fixed = F.when(F.col("_known").isNotNull(), F.col("token")).when(F.col("_t1").isNotNull(), F.col("_t1")).when(F.col("_stem_known").isNotNull(), F.col("token")).when(F.col("_t2").isNotNull(), F.concat("_t2", "_cut.particle")).otherwise(F.col("token"))
-    items = F.array_sort(F.collect_list(F.struct("at", fixed.alias("word"))))
-    return joined.groupBy(*keys).agg(F.array_join(F.transform(items, lambda i: i["word"]), "").alias(text))
+    by_stem = F.when(F.col("_stem_known").isNull() & F.col("_t2").isNotNull(), F.concat("_t2", "_cut.particle"))
+    return joined.select(*[c for c in words.columns if c != "now"], F.when(F.col("_known").isNotNull(), F.col("now")).otherwise(F.coalesce("_t1", by_stem, "now")).alias("now"))
+
+
+def correct(docs: DataFrame, keys: list[str], terms: DataFrame, steps: list[tuple[DataFrame, dict[str, str]]], text: str = "text") -> DataFrame:
+    """Keys and corrected text of each row; steps are tables of spellings, each with words that are replaced before it.
+
+    The distinct words of all texts go through the steps, and each text gets the changes of its own words as a map. No text is
+    taken apart across rows: null texts stay null, and rows that share their keys stay apart. An empty dictionary changes
+    nothing. Words that are replaced, and what they become, must not hold delimiters.
+    """
+    if terms.where("term IS NOT NULL").isEmpty():
+        return docs.select(*keys, text)
+    # two hashes stand for a text: equal texts have equal corrections
+    rows = docs.select(*keys, text, F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2"))
+    parts = rows.select("_h1", "_h2", F.explode_outer(F.array_distinct(tokens(F.col(text)))).alias("token")).where(~F.col("token").rlike(f"(?U)^{V.DELIMITERS}?$"))
+    words = parts.select("token").distinct().withColumn("now", F.col("token"))
+    for spellings, direct in steps:
+        now = F.col("now")
+        for wrong, right in direct.items():
+            now = F.replace(now, F.lit(wrong), F.lit(right))
+        words = corrected_words(words.withColumn("now", now), terms, spellings)
+    own = parts.distinct().join(words.where("now != token"), "token").groupBy(F.col("_h1").alias("_one"), F.col("_h2").alias("_two")).agg(F.map_from_entries(F.collect_list(F.struct("token", "now"))).alias("_fixed"))
+    joined = rows.join(own, (F.col("_h1") == F.col("_one")) & (F.col("_h2") == F.col("_two")), "left")
+    whole = F.array_join(F.transform(tokens(F.col(text)), lambda t: F.coalesce(F.element_at("_fixed", t), t)), "")
+    return joined.select(*keys, F.when(F.col("_fixed").isNull(), F.col(text)).otherwise(whole).alias(text))
 
 
 def correct_all(docs: DataFrame, keys: list[str], terms: DataFrame, text: str = "text", rounds: int = 1) -> DataFrame:
     """D06 (one round) and D05 (three): misread characters, then confused letters."""
-    one, two = confusable_spellings(terms), letter_spellings(terms)
-    out = docs.select(*keys, text)
-    for _ in range(rounds):
-        out = correct(correct(out, keys, terms, one, text, V.DIRECT_WORDS), keys, terms, two, text)
-    return out
+    steps = [(confusable_spellings(terms), V.DIRECT_WORDS), (letter_spellings(terms), {})]
+    return correct(docs, keys, terms, steps * rounds, text)
 
 
 def known_words(words: DataFrame, terms: DataFrame) -> DataFrame:

@@ -83,24 +83,29 @@ def f03_f04_line_filters(lines):
     sql=ctes("dv_versions")
     + rf"""SELECT doc_id, page_num, CASE WHEN m = 0 THEN false WHEN n = 0 THEN m = 0 ELSE m >= 0.3::DOUBLE * n AND m <= 2.0::DOUBLE * n END AS refined,
   m > 0 AND m / greatest(length(original), 1)::DOUBLE >= 0.7::DOUBLE AND m / greatest(length(original), 1)::DOUBLE <= 1.3::DOUBLE AND NOT regexp_matches(b, {_q('^(' + '|'.join(V.BAD_CORRECTION_STARTS) + ')')}) AS corrected
-FROM (SELECT *, length({STRIP.format('original')}) AS n, length({STRIP.format('left(v0, 40)')}) AS m, {STRIP.format('left(v0, 40)')} AS b FROM dv_versions)""",
+FROM (SELECT *, length({STRIP.format('original')}) AS n, length({STRIP.format('v0')}) AS m, {STRIP.format('v0')} AS b FROM dv_versions)""",
 )
 def f07_f08_validity(versions):
-    cut = F.substring("v0", 1, 40)
-    return versions.select("doc_id", "page_num", T.is_valid_refinement(cut, col("original")).alias("refined"), T.is_valid_correction(cut, col("original")).alias("corrected"))
+    return versions.select("doc_id", "page_num", T.is_valid_refinement(col("v0"), col("original")).alias("refined"), T.is_valid_correction(col("v0"), col("original")).alias("corrected"))
 
 
-@query("documents", sql=r"""SELECT doc_id, CASE WHEN text = '' THEN false ELSE regexp_matches(text, '(<\|ref\|>[^<]*$)|(<\|det\|>[^<]*$)') OR length(text) > 5000 END AS truncated FROM documents""")
+@query(
+    "documents",
+    sql=rf"""SELECT doc_id, CASE WHEN t = '' THEN false ELSE regexp_matches(t, '(<\|ref\|>[^<]*$)|(<\|det\|>[^<]*$)') OR length(t) > 2000 OR (length(t) > 1200 AND len(parts) > 4 AND tail <> '' AND NOT contains({_q(V.TERMINATORS)}, right(tail, 1))) END AS truncated
+FROM (SELECT *, {STRIP.format('parts[len(parts)]')} AS tail FROM (SELECT doc_id, t, string_split(t, '<|/det|>') AS parts FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN repeat('<|/det|>', 4) || text WHEN 2 THEN text || '<|det|>[[1' ELSE repeat('x<|/det|>', 5) || text || '다' END AS t FROM documents)))""",
+)
 def f17_truncation(docs):
-    return docs.select("doc_id", T.is_truncated(col("text"), 2000).alias("truncated"))
+    n = col("doc_id") % 4
+    t = F.when(n == 0, col("text")).when(n == 1, F.concat(F.repeat(F.lit("<|/det|>"), F.lit(4)), "text")).when(n == 2, F.concat("text", F.lit("<|det|>[[1"))).otherwise(F.concat(F.repeat(F.lit("x<|/det|>"), F.lit(5)), "text", F.lit("다")))
+    return docs.select("doc_id", T.is_truncated(t, 800).alias("truncated"))
 
 
-@query("documents", sql=f"SELECT doc_id, regexp_matches(text, {_q('|'.join(V.PROPER_NOUNS))}) AS proper, CASE WHEN {BLANK.format('text')} OR length({STRIP.format('text')}) < 5 THEN '' ELSE left(text, 30) END AS guarded, left(text, 500) AS first FROM documents")
+@query(
+    "documents",
+    sql=rf"SELECT doc_id, regexp_matches(text, {_q('|'.join(V.PROPER_NOUNS))}) AS proper, md5(CASE WHEN {BLANK.format('text')} OR length({STRIP.format('text')}) < 5 OR (NOT regexp_matches(text, '[가-힣]') AND (regexp_matches(text, {_q('(?i)' + '|'.join(V.LEAKAGE_PHRASES))}) OR regexp_matches(text, '\\#\s*\\#\s*\\#'))) THEN '' ELSE text END) AS guarded, left(text, 500) AS first FROM documents",
+)
 def f06_f16_t06_guards(docs):
-    return docs.select("doc_id", T.has_proper_nouns(col("text")).alias("proper"), F.substring(T.guarded(col("text")), 1, 30).alias("guarded"), F.substring("text", 1, 500).alias("first"))
-
-
-# the same on whole texts; the queries above keep their prefixes and SQL
+    return docs.select("doc_id", T.has_proper_nouns(col("text")).alias("proper"), F.md5(T.guarded(col("text"))).alias("guarded"), F.substring("text", 1, 500).alias("first"))
 
 
 @query(
@@ -117,11 +122,6 @@ def f07_f08_validity_whole(versions):
     return rows.select("doc_id", "page_num", "kind", T.is_valid_refinement(col("v"), col("original")).alias("refined"), T.is_valid_correction(col("v"), col("original")).alias("corrected"))
 
 
-@query("documents", sql=rf"SELECT doc_id, md5(CASE WHEN {BLANK.format('text')} OR length({STRIP.format('text')}) < 5 OR (NOT regexp_matches(text, '[가-힣]') AND (regexp_matches(text, {_q('(?i)' + '|'.join(V.LEAKAGE_PHRASES))}) OR regexp_matches(text, '\\#\s*\\#\s*\\#'))) THEN '' ELSE text END) AS guarded FROM documents")
-def f06_guards_whole(docs):
-    return docs.select("doc_id", F.md5(T.guarded(col("text"))).alias("guarded"))
-
-
 # ---- rewriting
 
 
@@ -187,23 +187,12 @@ def l01_clean_latex(docs):
     return docs.select("doc_id", latex.clean_latex(col("text")).alias("text"))
 
 
-@query(
-    "documents",
-    sql=r"""SELECT doc_id, least(greatest(len(regexp_extract_all(t, '\{')) - len(regexp_extract_all(t, '\}')), 0), 10)::BIGINT AS missing, md5(regexp_replace(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest
-FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{{a' WHEN 1 THEN '{' ELSE '' END || left(text, 200) AS t FROM documents)""",
-)
-def l05_l06_braces_spaces(docs):
-    t = F.concat(F.when(col("doc_id") % 3 == 0, "{{a").when(col("doc_id") % 3 == 1, "{").otherwise(""), F.substring("text", 1, 200))
-    rows = docs.select("doc_id", t.alias("t"))
-    return rows.select("doc_id", (F.char_length(latex.close_braces(col("t"))) - F.char_length("t")).cast("long").alias("missing"), F.md5(latex.spaces(col("t"))).alias("digest"))
-
-
 @query(
     "documents",
     sql=r"""SELECT doc_id, least(greatest(len(regexp_extract_all(u, '\{')) - len(regexp_extract_all(u, '\}')), 0), 10)::BIGINT AS missing, md5(regexp_replace(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest
 FROM (SELECT doc_id, t, regexp_replace(t, '\\[{}]', '', 'g') AS u FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{{a' WHEN 1 THEN '{' ELSE '' END || text AS t FROM documents))""",
 )
-def l05_l06_braces_spaces_whole(docs):
+def l05_l06_braces_spaces(docs):
     t = F.concat(F.when(col("doc_id") % 3 == 0, "{{a").when(col("doc_id") % 3 == 1, "{").otherwise(""), "text")
     rows = docs.select("doc_id", t.alias("t"))
     return rows.select("doc_id", (F.char_length(latex.close_braces(col("t"))) - F.char_length("t")).cast("long").alias("missing"), F.md5(latex.spaces(col("t"))).alias("digest"))
@@ -226,8 +215,8 @@ def s18_safe_names(part):
 
 @query("documents", sql=f"SELECT doc_id, lang, {_class('text')} AS content, round(korean, 6) AS korean, round(english, 6) AS english, math, code, tbl FROM (SELECT *, {_scores('text')} FROM documents)")
 def a04_a05_classify(docs):
-    scored = docs.select("doc_id", "lang", T.classify(col("text")).alias("content"), T.content_scores(col("text")).alias("s"))
-    return scored.select("doc_id", "lang", "content", F.round("s.korean", 6).alias("korean"), F.round("s.english", 6).alias("english"), "s.math", "s.code", col("s.table").alias("tbl"))
+    scored = docs.select("doc_id", "lang", "text", T.content_scores(col("text")).alias("s"))
+    return scored.select("doc_id", "lang", T.class_of_scores(col("text"), col("s")).alias("content"), F.round("s.korean", 6).alias("korean"), F.round("s.english", 6).alias("english"), "s.math", "s.code", col("s.table").alias("tbl"))
 
 
 @query(
@@ -242,15 +231,36 @@ def a06_dominant_types(conversations):
 @query(
     "dv_lines",
     sql=ctes("dv_lines")
-    + f"""SELECT doc_id, i, CASE WHEN {BLANK.format('line')} THEN 'korean' WHEN regexp_matches(line, {TABLE}) THEN 'table' WHEN regexp_matches(line, {CODE}) THEN 'code' WHEN regexp_matches(line, {MATH}) THEN 'math' WHEN len(regexp_extract_all(line, '[a-zA-Z]')) > len(regexp_extract_all(line, '[가-힣ㄱ-ㅎㅏ-ㅣ]')) THEN 'english' ELSE 'korean' END AS content FROM dv_lines""",
+    + f"""SELECT doc_id, i, CASE WHEN line = '' THEN 'korean' WHEN regexp_matches(line, {TABLE}) THEN 'table' WHEN regexp_matches(line, {CODE}) THEN 'code' WHEN regexp_matches(line, {MATH}) THEN 'math' WHEN len(regexp_extract_all(line, '[a-zA-Z]')) > len(regexp_extract_all(line, '[가-힣ㄱ-ㅎㅏ-ㅣ]')) THEN 'english' ELSE 'korean' END AS content
+FROM (SELECT doc_id, i, {STRIP.format("CASE i % 4 WHEN 0 THEN '    if ' || line WHEN 1 THEN line || ' $a$' WHEN 2 THEN line || ' | a | b |' ELSE line END")} AS line FROM dv_lines)""",
 )
 def x14_classify_lines(lines):
-    return lines.select("doc_id", "i", T.classify_line(col("line")).alias("content"))
+    n = col("i") % 4
+    line = F.when(n == 0, F.concat(F.lit("    if "), "line")).when(n == 1, F.concat("line", F.lit(" $a$"))).when(n == 2, F.concat("line", F.lit(" | a | b |"))).otherwise(col("line"))
+    return lines.select("doc_id", "i", T.classify_line(line).alias("content"))
 
 
-@query("dv_versions", sql=ctes("dv_versions") + f"SELECT doc_id, page_num, {_class('original')} AS content FROM (SELECT *, {_scores('original')} FROM dv_versions) WHERE {_class('original')} IN ('math', 'code', 'table')")
+@query("dv_versions", sql=ctes("dv_versions") + f"SELECT doc_id, page_num, {_class('original')} AS content FROM (SELECT *, {_scores('original')} FROM (SELECT doc_id, page_num, CASE WHEN doc_id % 3 = 0 THEN original || repeat(' $x$ ', 12) WHEN doc_id % 3 = 1 THEN original || repeat(' class A', 12) ELSE original END AS original FROM dv_versions)) WHERE {_class('original')} IN ('math', 'code', 'table')")
 def f21_reasoning_pages(versions):
-    return versions.select("doc_id", "page_num", T.classify(col("original")).alias("content")).where(col("content").isin("math", "code", "table"))
+    n = col("doc_id") % 3
+    page = F.when(n == 0, F.concat("original", F.repeat(F.lit(" $x$ "), F.lit(12)))).when(n == 1, F.concat("original", F.repeat(F.lit(" class A"), F.lit(12)))).otherwise(col("original"))
+    return versions.select("doc_id", "page_num", T.classify(page).alias("content")).where(col("content").isin("math", "code", "table"))
+
+
+@query(
+    "documents",
+    sql=rf"""WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'title<|/ref|><|det|>[[5, 6, 5, 2000]]<|/det|> lead ' ELSE '' END || '<|ref|>text<|/ref|><|det|>[[' || doc_id % 1300 || ', 7, 20, 30]]<|/det|>' || text || '<|ref|> table <|/ref|> <|det|>[[1,2,999,' || doc_id || ']]<|/det|>' || CASE doc_id % 4 WHEN 0 THEN '  ' ELSE 'a b' || chr(10) END AS raw FROM documents),
+m AS (SELECT doc_id, unnest(list_zip(kinds, x1, y1, x2, y2, texts)) AS b, generate_subscripts(kinds, 1) AS n FROM (SELECT doc_id, {', '.join(f"regexp_extract_all(raw, {_q(V.GROUNDED_BLOCK)}, {g}) AS {c}" for g, c in enumerate(('kinds', 'x1', 'y1', 'x2', 'y2'), 1))}, regexp_split_to_array(raw, {_q(V.GROUNDED_BLOCK)})[2:] AS texts FROM r)),
+rows AS (SELECT doc_id, n, {STRIP.format('b[1]')} AS kind, least(b[2]::BIGINT, 999) AS x1, least(b[3]::BIGINT, 999) AS y1, least(b[4]::BIGINT, 999) AS x2, least(b[5]::BIGINT, 999) AS y2, {STRIP.format('b[6]')} AS text FROM m
+UNION ALL SELECT doc_id, 0, 'title', 5, 6, 5, 999, 'lead' FROM r WHERE doc_id % 3 = 0)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n))::BIGINT AS place, kind, x1::BIGINT AS x1, y1::BIGINT AS y1, (CASE WHEN x2 <= x1 THEN least(x1 + 1, 999) ELSE x2 END)::BIGINT AS x2, (CASE WHEN y2 <= y1 THEN least(y1 + 1, 999) ELSE y2 END)::BIGINT AS y2, md5(text) AS digest FROM rows WHERE text <> ''""",
+)
+def x16_grounded_blocks(docs):
+    lead = F.when(col("doc_id") % 3 == 0, "title<|/ref|><|det|>[[5, 6, 5, 2000]]<|/det|> lead ").otherwise("")
+    last = F.when(col("doc_id") % 4 == 0, "  ").otherwise("a b\n")
+    raw = F.concat(lead, F.lit("<|ref|>text<|/ref|><|det|>[["), col("doc_id") % 1300, F.lit(", 7, 20, 30]]<|/det|>"), "text", F.lit("<|ref|> table <|/ref|> <|det|>[[1,2,999,"), "doc_id", F.lit("]]<|/det|>"), last)
+    rows = docs.select("doc_id", F.posexplode_outer(T.grounded_blocks(raw)).alias("place", "b")).where("b IS NOT NULL")
+    return rows.select("doc_id", (col("place") + 1).cast("long").alias("place"), "b.kind", *[col(f"b.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")], F.md5("b.text").alias("digest"))
 
 
 # ---- repetition
@@ -775,5 +785,6 @@ SELECT lang, {_class('text')} AS content, count(*)::BIGINT AS documents, sum(len
 def clean_and_classify(docs):
     kept = F.filter(F.split("text", "\n", -1), lambda x: ~T.is_leakage_line(x) & ~T.is_separator_line(x))
     cleaned = docs.select("lang", T.is_anomalous(col("text")).alias("anomalous"), T.collapse_blank_lines(F.array_join(F.transform(kept, T.strip), "\n")).alias("text"))
-    classed = cleaned.select("lang", T.classify(col("text")).alias("content"), F.char_length("text").alias("n"), "anomalous")
+    scored = cleaned.select("lang", "text", "anomalous", T.content_scores(col("text")).alias("s"))
+    classed = scored.select("lang", T.class_of_scores(col("text"), col("s")).alias("content"), F.char_length("text").alias("n"), "anomalous")
     return classed.groupBy("lang", "content").agg(F.count("*").alias("documents"), F.sum("n").alias("characters"), F.count_if("anomalous").alias("anomalous"))

@@ -23,11 +23,22 @@ def read_terms(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def check_documents(spark: SparkSession, path: str, most: int = 5 << 30) -> DataFrame:
-    """Path and error code of each file: too large or no PDF header E001, empty E003, else null."""
-    files = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, 4).cast("string")
-    code = F.when(F.col("length") > most, "E001").when(F.col("length") == 0, "E003").when(head != "%PDF", "E001")
-    return files.select("path", "length", F.lower("path").endswith(".pdf").alias("named_pdf"), code.alias("error"))
+    """Path and error code of each file: too large or no PDF header E001, empty E003, else null; E002 for a path without files.
+
+    Spark's reader leaves out files without bytes, so these are taken from the file system's listing.
+    """
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [s for top in (fs.globStatus(pattern) or []) for s in (fs.listStatus(top.getPath()) if top.isDirectory() else [top]) if s.isFile()]
+    empty = [(s.getPath().toString(), 0, "E003") for s in found if s.getLen() == 0] if found else [(path, None, "E002")]
+    named = F.lower("path").endswith(".pdf").alias("named_pdf")
+    out = spark.createDataFrame(empty, "path string, length long, error string").select("path", "length", named, "error")
+    if len(empty) < len(found):
+        files = spark.read.format("binaryFile").load(path)
+        head = F.substring("content", 1, 4).cast("string")
+        code = F.when(F.col("length") > most, "E001").when(head != "%PDF", "E001")
+        out = files.select("path", "length", named, code.alias("error")).unionByName(out)
+    return out
 
 
 def write_pages(pages: DataFrame, path: str, by: str = "worker") -> None:

@@ -59,7 +59,26 @@ def test_classification(spark):
     assert one(spark, "plain words", T.classify) == "english"
     assert one(spark, "가나다라", T.classify) == "korean"
     assert one(spark, "a\tb\tc", T.classify_line) == "table"
-    assert one(spark, "x \\frac{1}{2}", T.classify_line) == "math"
+    # a closing brace at the end makes code, which comes before mathematics
+    assert one(spark, "x \\frac{1}{2}", T.classify_line) == "code"
+    assert one(spark, "x \\frac{1}{2} y", T.classify_line) == "math"
+    assert one(spark, "    if x", T.classify_line) == "english"
+    assert one(spark, "   ", T.classify_line) == one(spark, None, T.classify_line) == "korean"
+
+
+def test_truncation(spark):
+    long, closed = "a" * 200, "b<|/det|>" * 4
+    cut = lambda c: T.is_truncated(c, 100)
+    assert [one(spark, closed + long + e, cut) for e in ("다", "9", "①", ")", '"', " 다\n", "x", "}", ">")] == [False] * 6 + [True] * 3
+    assert not one(spark, "b<|/det|>" * 3 + long + "x", cut) and one(spark, "a" * 251, cut) and not one(spark, "", cut)
+    assert one(spark, "x<|ref|>te", cut) and one(spark, "x<|det|>[[1", cut)
+
+
+def test_grounded_blocks(spark):
+    raw = "head<|/ref|><|det|>[[1, 2, 3, 4]]<|/det|> A <|ref|>text<|/ref|> <|det|>[[5,5,5,1500]]<|/det|>B\nC<|ref|>text<|/ref|><|det|>[[0,0,1,1]]<|/det|>  <|ref|>table<|/ref|><|det|>[[999999999999999999999,0,1,1]]<|/det|>D<|ref|>"
+    got = [tuple(b) for b in one(spark, raw, T.grounded_blocks)]
+    assert got == [("A", "head", 1, 2, 3, 4, False), ("B\nC", "text", 5, 5, 6, 999, False), ("D<|ref|>", "table", 999, 0, 999, 1, True)]
+    assert one(spark, "no marks", T.grounded_blocks) == [] and one(spark, "head<|/ref|><|det|>[[1, 2, 3, 4]]<|/det|> A", T.grounded_blocks) == []
 
 
 def test_chunks(spark):

@@ -79,8 +79,11 @@ def test_gap_tolerance_and_medians(spark):
 def test_corrections(spark):
     terms = spark.createDataFrame([("하둡",), ("빅데이터",), ("결과",)], "term string")
     docs = spark.createDataFrame([(1, "하둔에서 빵데이터를"), (2, "하둡, 결과"), (3, None)], "id int, text string")
-    got = {r["id"]: r["text"] for r in lexicon.correct_all(docs.where("text IS NOT NULL"), ["id"], terms, rounds=3).collect()}
-    assert got == {1: "하둡에서 빅데이터를", 2: "하둡, 결과"}
+    docs = docs.unionByName(spark.createDataFrame([(2, "other 빵데이터 x"), (None, "하둔"), (4, "")], "id int, text string"))
+    got = sorted(((r["id"] or 0, r["text"]) for r in lexicon.correct_all(docs, ["id"], terms, rounds=3).collect()), key=repr)
+    assert got == sorted([(1, "하둡에서 빅데이터를"), (2, "하둡, 결과"), (3, None), (2, "other 빅데이터 x"), (0, "하둡"), (4, "")], key=repr)
+    unchanged = lexicon.correct_all(docs, ["id"], terms.where("term = 'none'")).collect()
+    assert sorted(map(repr, unchanged)) == sorted(map(repr, docs.collect()))
     hits = lexicon.term_hits(spark.createDataFrame([("하둡 하둡 결과",), ("none",)], "line string"), ["line"], terms).collect()
     assert {r["line"]: r["hits"] for r in hits} == {"하둡 하둡 결과": 2, "none": 0}
 
