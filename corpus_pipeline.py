@@ -6,13 +6,12 @@ spark.checkpoint.dir names, and read again.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quirefold.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from quirefold.llm.common import table
+from quirefold.llm.common import shared_folder, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")).rstrip("/")
-    folder = f"{shared}/corpus-pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

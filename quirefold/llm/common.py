@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,15 +32,19 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; where it is unset, a temporary one if driver and executors are one process."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not re.fullmatch(r"local(\[[^\]-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (configured or tempfile.mkdtemp(prefix="quirefold-")).rstrip("/")
+
 
-    Where the session names none (tests on one machine), a temporary folder serves.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quirefold-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

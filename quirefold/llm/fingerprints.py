@@ -4,7 +4,7 @@ A text's paragraphs (its lines, cut at every sentence end, and long runs without
 hashed to 64-bit digests. Each digest is added to one cell of each of three small tables; a cell holds a count and the exclusive or of its digests and of their check hashes. Subtracting the cells of
 two versions leaves the digests that differ. Cells that hold one digest are peeled until nothing is left. Where a sketch is
 too small for the difference, the digests are dealt into blocks by their check hash, and each block is sketched, subtracted
-and peeled by itself, with more cells after each failure.
+and peeled by itself, with more cells after each failure; a block that no size peels is compared digest by digest.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_broadcast, cut
 
 SLOTS = 8  # of each of the three tables of a sketch; powers of two up to 64
 #: Digests of both versions in a block, and the slots of its tables: more after each failure.
@@ -142,12 +142,9 @@ def _block_size(keys: Column) -> Column:
     def attempt(slots: int) -> Column:
         return _let(sketch(keys, slots), lambda c: _peeled_size(c, slots))
 
-    # after all sizes: what the last one gave up, and the counts that are left in its first table
-    last = RETRIES[-1]
-    rest = _let(
-        peel(sketch(keys, last), last),
-        lambda s: F.size(s["found"]) + F.aggregate(F.slice(s["cells"], 1, last), F.lit(0), lambda x, c: x + F.abs(c["n"])),
-    )
+    # after all sizes the digests of the block are compared as they are
+    of = lambda n: F.transform(F.filter(keys, lambda k: k["n"] == n), lambda k: k["key"])
+    rest = F.size(F.array_except(of(1), of(-1))) + F.size(F.array_except(of(-1), of(1)))
     return F.coalesce(*[attempt(s) for s in RETRIES], rest)
 
 
@@ -200,7 +197,7 @@ def with_next(docs: DataFrame, id_cells: int = ID_CELLS, bucket_rows: int = BUCK
     firsts = placed.groupBy("bucket").agg(F.max("doc_id").alias("first_id"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket"))
     firsts = cut(firsts.select("first_id", F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(Window.partitionBy(F.lit(0)))).alias("for_bucket")))
-    halo = placed.drop("bucket").join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id")))
+    halo = placed.drop("bucket").join(bounded_broadcast(firsts, firsts.count()), F.col("doc_id").eqNullSafe(F.col("first_id")))
     halo = halo.groupBy(F.col("for_bucket").alias("bucket")).agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text")).select("doc_id", "text", "bucket")
     both = placed.withColumn("halo", F.lit(0)).unionByName(halo.withColumn("halo", F.lit(1)))
     # the digests are made after the shuffle and before the window, once for each text

@@ -1,7 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 A source whose target is r times its words takes floor(r) certain copies of each document. The rest is a fixed-size sample:
-documents are ranked by random odds over inclusion odds, and taken in that order until the source's words reach the target.
+documents are ranked by random odds over inclusion odds, and taken in that order until the source's words reach the target. A
+document of its source's mean size has the odds of the share that is wanted; longer ones have less in proportion to their size,
+shorter ones more, up to SPREAD times, so that many documents rather than a few long ones fill the rest.
 The cut in that order is found by two rounds of histograms, so no task sees a whole source; only the documents inside one
 histogram cell of one cell are ever ranked together.
 """
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, count_words, cut
 
-WEIGHTS, MOST_COPIES, CELLS = (5, 2, 1), 3, 4096
+WEIGHTS, MOST_COPIES, CELLS, SPREAD = (5, 2, 1), 3, 4096, 8.0
 
 
 def _uniform(doc_id: Column, salt: str) -> Column:
@@ -23,13 +25,13 @@ def _uniform(doc_id: Column, salt: str) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int = MOST_COPIES) -> DataFrame:
-    """Per source of sizes (source, size): source_size and target.
+    """Per source of sizes (source, size): source_size, documents and target.
 
     Sources in order of their code points, null last, have the weights in turn and share all words. A target stops at
     most_copies times the source's words, and what is over is shared again by weight. One row per source is ordered in one
     task; these rows are sums, of which there are as many as sources.
     """
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     everything = Window.partitionBy(F.lit(0))
     place = F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
@@ -44,15 +46,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_co
     )
     level = (F.col("total") - F.col("stopped")) / F.col("sharing")
     rows = rows.withColumn("level", F.max(F.when(level * F.col("weight") <= F.col("most"), level)).over(everything))
-    return rows.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
+    return rows.select("source", "source_size", "documents", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int = MOST_COPIES, salt: str = "mix", cells: int = CELLS) -> DataFrame:
     """Per row of docs: doc_id, source, size (words), source_size, target (both of its source), copies and taken (words).
 
     copies is 0 to most_copies. A source takes the documents of the smallest rank while the words that they add stay within
-    half a document of the target; documents without words are taken as often as certain. Ranks depend on the id alone, ties
-    go by id; repeated rows count as rows of their own, and a null id ranks as an empty one. A null or empty text has size 0,
+    half a document of the target; documents without words are taken as often as certain. Ranks depend on the id, the size and
+    the source's mean size, ties go by id; repeated rows count as rows of their own, and a null id ranks as an empty one. A null or empty text has size 0,
     null sources form one source. An empty table gives an empty result.
     """
     rows = cut(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")))
@@ -64,12 +66,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int =
     rows = rows.withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size"))
     share = F.greatest(F.least(ratio - F.col("certain"), F.lit(1 - 1e-12)), F.lit(1e-12))
     u = _uniform(F.col("doc_id"), salt)
-    rows = cut(
-        rows.withColumn("rank", (u / (1 - u)) / (share / (1 - share)))
-        # cells of equal probability: the rank is a monotone function of u within a source
-        .withColumn("cell", F.floor(u * cells).cast("int"))
-        .withColumn("finer", F.floor(u * cells * cells).cast("long") % cells)
-    )
+    mean = F.col("source_size") / F.col("documents")
+    relative = F.when(F.col("size") == 0, F.lit(SPREAD)).otherwise(F.greatest(F.least(mean / F.col("size"), F.lit(SPREAD)), F.lit(1 / SPREAD)))
+    rows = rows.withColumn("odds", share / (1 - share)).withColumn("rank", (u / (1 - u)) / (F.col("odds") * relative))
+    # cells that go with the rank: within a source the odds of the share are one number, and the rest lies about 1
+    x = F.col("rank") * F.col("odds")
+    rows = rows.withColumn("spot", x / (1 + x))
+    rows = cut(rows.withColumn("cell", F.floor(F.col("spot") * cells).cast("int")).withColumn("finer", F.floor(F.col("spot") * cells * cells).cast("long") % cells))
     by_source = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
     first = first.withColumn("before", F.coalesce(F.sum("words").over(by_source), F.lit(0)))

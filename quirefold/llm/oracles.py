@@ -6,7 +6,7 @@ with brute force, held-out accuracy and the law that they promise.
 
 from __future__ import annotations
 
-from . import chat, licenses, url_filters
+from . import chat, licenses, mixing, url_filters
 from .common import LOWER, UPPER
 
 
@@ -87,13 +87,15 @@ SELECT doc_id, sequence, CASE WHEN sequence = '' THEN '' WHEN len(names) = 0 THE
 
 
 OP8 = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS ss, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(r % 3 + 1)::BIGINT] AS wt, ss::DOUBLE * 3 AS most FROM s),
 f AS (SELECT *, sum(ss) OVER ()::DOUBLE AS total, coalesce(sum(most) OVER o, 0.0::DOUBLE) AS stopped, sum(wt) OVER () - coalesce(sum(wt) OVER o, 0.0::DOUBLE) AS sharing FROM w WINDOW o AS (ORDER BY most / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, max(CASE WHEN (total - stopped) / sharing * wt <= most THEN (total - stopped) / sharing END) OVER () AS level FROM f),
-t AS (SELECT source, ss, least(most, coalesce(level * wt, most)) AS target FROM l),
-j AS (SELECT d.*, t.ss, t.target, least(floor(CASE WHEN t.ss > 0 THEN t.target / t.ss ELSE 0 END), 3)::BIGINT AS certain, (('0x' || substr(md5('mix' || d.doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-b AS (SELECT *, target - certain * ss AS wanted, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM j)
+t AS (SELECT source, ss, docs, least(most, coalesce(level * wt, most)) AS target FROM l),
+j AS (SELECT d.*, t.ss, t.docs, t.target, least(floor(CASE WHEN t.ss > 0 THEN t.target / t.ss ELSE 0 END), 3)::BIGINT AS certain, (('0x' || substr(md5('mix' || d.doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, greatest(least(CASE WHEN ss > 0 THEN target / ss ELSE 0.0::DOUBLE END - certain, 1 - 1e-12::DOUBLE), 1e-12::DOUBLE) AS share, CASE WHEN size = 0 THEN {mixing.SPREAD}::DOUBLE ELSE greatest(least((ss::DOUBLE / docs) / size, {mixing.SPREAD}::DOUBLE), {1 / mixing.SPREAD}::DOUBLE) END AS rel FROM j),
+r AS (SELECT *, (u / (1 - u)) / (share / (1 - share) * rel) AS q FROM p),
+b AS (SELECT *, target - certain * ss AS wanted, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
 SELECT doc_id, size, ss AS source_size, target, (least(certain + (before + size / 2.0::DOUBLE <= wanted)::BIGINT, 3) * size)::BIGINT AS taken FROM b"""
 
 _SAID = _q(f"{chat.END}{chat.START}assistant ok")

@@ -96,6 +96,21 @@ def test_mixing(spark, cells):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mixing_ranks_by_the_odds_of_each_document(spark):
+    """The rank is random odds over the document's own inclusion odds, not the random number alone; short texts come in more often."""
+    rows = [(i, " ".join(["w"] * (200 if i % 2 else 10)), "en", "ab"[i % 5 > 0], 0) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(abs(sum(x["taken"] for x in got if x["source"] == s) - next(x["target"] for x in got if x["source"] == s)) <= 200 for s in "ab")
+    for s in "b":  # the other source takes three whole copies
+        own = [x for x in got if x["source"] == s]
+        least = min(x["copies"] for x in own)
+        share = {n: np.mean([x["copies"] > least for x in own if x["size"] == n]) for n in (10, 200)}
+        u = {x["doc_id"]: int(hashlib.md5(f"mix{x['doc_id']}".encode()).hexdigest()[:12], 16) for x in own}
+        taken = [u[x["doc_id"]] for x in own if x["copies"] > least]
+        # by the random number alone, everything below the largest one taken would be taken
+        assert share[10] > share[200] + 0.1 and sum(v <= max(taken) for v in u.values()) > len(taken)
+
+
 def test_sharding(spark):
     r = random.Random(9)
     texts = ["x" * r.randint(0, 3000) + str(i) for i in range(1500)]

@@ -110,6 +110,16 @@ def test_fingerprints(spark, bucket_rows):
     assert fingerprints.fingerprints(frame(spark, rows).where("doc_id < 0")).count() == 0
 
 
+def test_likeness_where_no_sketch_can_be_peeled(spark, monkeypatch):
+    """Blocks far too large for every retry: the end of the retries is exact."""
+    monkeypatch.setattr(fingerprints, "PER_BLOCK", 10**9)
+    monkeypatch.setattr(fingerprints, "RETRIES", (4, 8))
+    a, b = ("\n".join(f"{x} line {i}" for i in range(150)) for x in ("one", "two"))
+    rows = [(2, "both\n" + a), (1, "both\n" + b)]
+    got = {x["doc_id"]: x["near_next"] for x in fingerprints.fingerprints(frame(spark, rows)).collect()}
+    assert got == {1: 1 / 301, 2: 1 / 301}
+
+
 def test_fingerprints_of_one_line(spark):
     texts = [
         "".join(units)
