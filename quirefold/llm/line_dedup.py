@@ -39,7 +39,7 @@ def _single_spaced(line: Column) -> Column:
 
 def _words(line: Column) -> Column:
     """Words of a line with single spaces."""
-    spaced = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    spaced = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     return F.when(F.octet_length(line) == F.char_length(line), spaced).otherwise(spaced + F.regexp_count(line, F.lit(_SPACELESS)))
 
 
