@@ -146,9 +146,10 @@ def shared_signatures(nodes: DataFrame, k: int, percent: int, **limit) -> DataFr
     """Rows (doc_id, need, company, signatures): the signatures that several rows have, for documents with enough of them for a link.
 
     Signatures are counted by partial aggregation, so a hot one moves one row a task. company is how many other rows the
-    signatures have in all.
+    signatures have in all. Texts are signed twice, to count signatures and to find the shared ones: kept, the signatures
+    would need more room than the texts.
     """
-    signed = cut(nodes.select("doc_id", "text").mapInArrow(partial(_signed, k=k, percent=percent), _SIGNED).where(F.size("signatures") > 0))
+    signed = nodes.select("doc_id", "text").mapInArrow(partial(_signed, k=k, percent=percent), _SIGNED).where(F.size("signatures") > 0)
     rows = signed.select("doc_id", "need", F.explode("signatures").alias("signature"))
     again = cut(rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("need").alias("least")).where("n > 1"))
     shared = rows.join(bounded_broadcast(again, again.count(), **limit), "signature")
@@ -173,8 +174,11 @@ def _still_apart(docs: DataFrame, component: DataFrame, **limit) -> DataFrame:
     component = component.select(F.col("node").alias("doc_id"), "component")
     docs = docs.join(bounded_broadcast(component, component.count(), **limit), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = docs.select("doc_id", "need", "component", F.explode("signatures").alias("signature"))
-    groups = cut(rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high").select("signature", "members"))
-    return rows.join(bounded_broadcast(groups, groups.count(), **limit), "signature")
+    groups = cut(rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.min("need").alias("least")).where("low != high").select("signature", "members", "least"))
+    rows = rows.join(bounded_broadcast(groups, groups.count(), **limit), "signature")
+    # a link to another component shows in as many of these signatures as the lesser need
+    enough = cut(rows.groupBy("doc_id").agg(F.count("*").alias("own"), F.min("least").alias("least")).where("own >= least").select("doc_id"))
+    return rows.drop("least").join(bounded_broadcast(enough, enough.count(), **limit), "doc_id")
 
 
 def _bounds(rows: DataFrame, texts: DataFrame, k: int, **limit) -> DataFrame:
@@ -183,13 +187,14 @@ def _bounds(rows: DataFrame, texts: DataFrame, k: int, **limit) -> DataFrame:
     Only documents of rows are counted, so the bound holds between these.
     """
     ids = cut(rows.select("doc_id").distinct())
-    listed = cut(texts.join(bounded_broadcast(ids, ids.count(), **limit), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_listed, k=k), _LISTED))
+    # hashed once for the shingles and once for the counts: kept, the shingles would need more room than the texts
+    listed = texts.join(bounded_broadcast(ids, ids.count(), **limit), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_listed, k=k), _LISTED)
     each = listed.select("doc_id", F.explode("shingles").alias("shingle"))
-    alone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    alone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1").drop("n")
     # the bucket of a hash without its sign
     bucket = F.col("shingle").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
     alone = alone.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").cast("int").alias("n"))
-    alone = alone.groupBy("doc_id").agg(F.sum("n").alias("alone"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("by_bucket"))  # BUCKETS entries at most
+    alone = alone.groupBy("doc_id").agg(F.sum("n").cast("int").alias("alone"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("by_bucket"))  # BUCKETS entries at most
     left = F.transform("counts", lambda c, i: (c - F.coalesce(F.element_at("by_bucket", i), F.lit(0))).cast("smallint"))
     return listed.drop("shingles").join(alone, "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"), F.when(F.col("by_bucket").isNull(), F.col("counts").cast("array<smallint>")).otherwise(left).alias("counts"))
 
@@ -265,7 +270,8 @@ def keep_one_of_each_class(docs: DataFrame, **parameters) -> DataFrame:
     Repeated rows of a kept doc_id collapse to one of them.
     """
     classes = cut(similarity_classes(docs, **parameters))
-    kept = keep_where(docs, classes.where("doc_id != component_id"), anti=True)
+    gone = cut(classes.where("doc_id != component_id").select("doc_id").distinct())
+    kept = keep_where(docs, gone, gone.count(), anti=True)
     repeated = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept

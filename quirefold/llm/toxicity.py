@@ -8,6 +8,7 @@ these scores calibrate the model and set a rejection threshold for each language
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -225,6 +226,20 @@ def in_fold(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
+def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of three quarters of a sample (doc_id, text, toxic) and their ids; nothing where a label has no rows."""
+    found = list(batches)
+    if not found:
+        return
+    rows = pa.Table.from_batches(found).sort_by("doc_id")
+    ids, texts, y = rows["doc_id"].to_numpy(), rows["text"].to_pylist(), rows["toxic"].to_numpy().astype(np.float64)
+    if len(set(y.tolist())) < 2:
+        return
+    used = np.flatnonzero(np.arange(len(y)) % 4 != 3)
+    model = fit([texts[i] for i in used], y[used])
+    yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary()), pa.array([ids[used].tolist()], pa.list_(pa.int64()))], names=["model", "fitted"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model | None:
     """Fit on labelled rows whose fold isn't 1: three quarters of a sample (of each label the rows of the smallest id hashes, as many as the parameters say at most); calibrate on all others. None if one of the labels has no rows."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(in_fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -233,14 +248,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     picked = picks[0].unionByName(picks[1]).select(F.col("doc_id").alias("picked_id"), "toxic")
     own = docs.select("doc_id", "text", "lang").where("text IS NOT NULL")
     rows = own.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"), F.max("toxic").alias("toxic"))
-    rows = rows.toArrow().sort_by("doc_id")
-    texts, langs, y = rows["text"].to_pylist(), rows["lang"].to_pylist(), rows["toxic"].to_numpy().astype(np.float64)
-    if len(set(y.tolist())) < 2:
+    # one task holds the sample, whose rows the parameters bound; the driver gets the model and the ids
+    done = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(_fit_sample, "model binary, fitted array<long>").collect()
+    if not done:
         return None
-    back = np.arange(len(y)) % 4 == 3
-    pick = lambda xs, mask: [x for x, m in zip(xs, mask, strict=True) if m]
-    model = fit(pick(texts, ~back), y[~back])
-    fitted = docs.sparkSession.createDataFrame([(int(d),) for d in np.array(rows["doc_id"].to_pylist())[~back]], "doc_id long")
+    model = pickle.loads(done[0]["model"])
+    fitted = docs.sparkSession.createDataFrame([(d,) for d in done[0]["fitted"]], "doc_id long")
     others = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).join(F.broadcast(fitted), "doc_id", "left_anti")
     calibrate(model, _scored(docs, others, sum(counts.values()), model), counts)
     return model
