@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions import latex
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import layout, lexicon, partitioning, placement, profiles, tables, voting
+from ..operators import layout, lexicon, pages, partitioning, placement, profiles, tables, voting
 from ..streaming import jobs
 from .derived import ctes, read
 
@@ -711,11 +711,8 @@ def f18_k10_error_lookup(events):
 
 @query("dv_words", sql=ctes("dv_words") + """, p AS (SELECT *, CASE ord % 3 WHEN 0 THEN 6 WHEN 1 THEN 11 ELSE 3 END AS psm, CASE ord % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS rank FROM dv_words WHERE conf >= 10 AND trim(text) <> '' AND w >= 5 AND h >= 5), c AS (SELECT page_num, psm, rank, count(*) AS n FROM p GROUP BY ALL), b AS (SELECT page_num, coalesce(arg_min(psm, rank) FILTER (WHERE n >= 5), 3) AS psm FROM c GROUP BY page_num) SELECT p.page_num, p.ord, p.psm::BIGINT AS psm FROM p JOIN b USING (page_num, psm)""")
 def s05_word_scan(words):
-    kept = words.where("conf >= 10 AND trim(text) != '' AND w >= 5 AND h >= 5").withColumn("rank", (col("ord") % 3).cast("int"))
-    kept = kept.withColumn("psm", F.element_at(F.array(F.lit(6), F.lit(11), F.lit(3)), col("rank") + 1))
-    counts = kept.groupBy("page_num", "psm", "rank").agg(F.count("*").alias("n"))
-    best = counts.groupBy("page_num").agg(F.coalesce(F.min_by("psm", F.when(col("n") >= 5, col("rank"))), F.lit(3)).alias("psm"))
-    return kept.join(best, ["page_num", "psm"]).select("page_num", "ord", col("psm").cast("long").alias("psm"))
+    scanned = words.withColumn("psm", F.element_at(F.array(F.lit(6), F.lit(11), F.lit(3)), (col("ord") % 3 + 1).cast("int")))
+    return pages.word_scan(scanned, ["page_num"]).select("page_num", "ord", col("psm").cast("long").alias("psm"))
 
 
 @query("dv_words", sql=ctes("dv_words") + "SELECT page_num, ord, row_number() OVER (PARTITION BY page_num ORDER BY y, x, ord)::BIGINT AS reading FROM dv_words")
