@@ -57,15 +57,18 @@ def _op4() -> str:
         fits = f"((host = {_q(host)} OR ends_with(host, {_q('.' + host)})) AND starts_with(path, {_q(path)}))"
         name, verdict = f"CASE WHEN {fits} THEN {_q(host + path)} ELSE {name} END", f"CASE WHEN {fits} THEN {_q(says)} ELSE {verdict} END"
     u = url_filters
+    levels = "t0 AS MATERIALIZED (SELECT host, path, bad, labelled, seg, rest, NULL::VARCHAR AS template FROM g),\n"
+    for i in range(u.DEPTH):
+        levels += f"""b{i} AS MATERIALIZED (SELECT host, template, seg[{i + 1}] AS name, sum(bad) AS bad, sum(labelled) AS labelled FROM t{i} WHERE len(seg) > {i} GROUP BY ALL),
+u{i} AS (SELECT host, template, sum(bad) AS ab, sum(labelled) AS al, count(*) AS n FROM b{i} GROUP BY ALL),
+c{i} AS (SELECT b.host, b.template, name, n = 1 OR (labelled >= {u.MIN_LABELS} AND al > labelled AND abs(bad::DOUBLE / labelled - (ab - bad)::DOUBLE / (al - labelled)) > {u.Z}::DOUBLE * sqrt(ab::DOUBLE / al * (1 - ab::DOUBLE / al) * (1::DOUBLE / labelled + 1::DOUBLE / (al - labelled)))) AS named FROM b{i} b JOIN u{i} u ON b.host = u.host AND b.template IS NOT DISTINCT FROM u.template),
+t{i + 1} AS MATERIALIZED (SELECT t.host, path, bad, labelled, seg, rest, CASE WHEN len(seg) > {i} THEN concat_ws('/', t.template, CASE WHEN named THEN name ELSE '*' END) ELSE t.template END AS template FROM t{i} t LEFT JOIN c{i} c ON t.host = c.host AND t.template IS NOT DISTINCT FROM c.template AND seg[{i + 1}] = name),
+"""
     return rf"""WITH r0 AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, {name} AS rule, {verdict} AS says FROM r0),
 p AS (SELECT host, path, count(*) AS pages, count_if(says = 'block') AS bad, count(says) AS labelled FROM r GROUP BY host, path),
-g AS (SELECT *, CASE WHEN path = '' THEN []::VARCHAR[] ELSE list_transform(string_split(path, '/'), lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) END AS seg FROM p),
-steps AS (SELECT host, path, pages, bad, labelled, d, array_to_string(seg[1:d - 1], '/') AS parent, seg[d] AS name FROM (SELECT *, unnest(range(1, len(seg) + 1)) AS d FROM g)),
-branch AS (SELECT host, d, parent, name, sum(pages) AS pages, sum(bad) AS bad, sum(labelled) AS labelled FROM steps GROUP BY ALL),
-up AS (SELECT host, d, parent, sum(pages) AS ap, sum(bad) AS ab, sum(labelled) AS al, count(*) AS branches FROM branch GROUP BY ALL),
-chosen AS (SELECT host, d, parent, name, CASE WHEN branches = 1 OR (pages >= {u.MIN_PAGES} AND pages >= {u.MIN_SHARE}::DOUBLE * ap AND labelled >= {u.MIN_LABELS} AND abs(bad::DOUBLE / labelled - ab::DOUBLE / al) > {u.Z}::DOUBLE * sqrt((ab::DOUBLE / al) * (1 - ab::DOUBLE / al) / labelled)) THEN name ELSE '*' END AS shown FROM branch JOIN up USING (host, d, parent)),
-shaped AS (SELECT p.host, p.path, p.bad, p.labelled, coalesce(t.template, '') AS template FROM p LEFT JOIN (SELECT s.host, s.path, string_agg(c.shown, '/' ORDER BY s.d) AS template FROM steps s JOIN chosen c USING (host, d, parent, name) GROUP BY s.host, s.path) t USING (host, path)),
+g AS (SELECT *, len(string_split(path, '/')) > {u.DEPTH} AS rest, CASE WHEN path = '' THEN []::VARCHAR[] ELSE list_transform(string_split(path, '/')[1:{u.DEPTH}], lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) END AS seg FROM p),
+{levels}shaped AS (SELECT host, path, bad, labelled, CASE WHEN rest THEN template || '/**' ELSE coalesce(template, '') END AS template FROM t{u.DEPTH}),
 prior AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(labelled), 0), 0) AS prior FROM shaped),
 judged AS (SELECT host, template, (sum(bad) + {u.PRIOR_WEIGHT}::DOUBLE * any_value(prior)) / (sum(labelled) + {u.PRIOR_WEIGHT}::DOUBLE) AS share FROM shaped, prior GROUP BY host, template)
 SELECT page_id, r.host, r.path, rule, s.template, coalesce(says, CASE WHEN share >= {u.REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN shaped s ON s.host = r.host AND s.path = r.path JOIN judged j ON j.host = s.host AND j.template = s.template"""
