@@ -97,10 +97,12 @@ def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None)
     paths = known.groupBy("host", "path").agg(F.count("*").alias("pages"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("label").alias("labelled"))
     shaped = cut(templates(cut(paths)))
     every = shaped.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("prior"))
-    judged = shaped.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    shaped = shaped.withColumn("leaf", F.xxhash64("host", "template"))
+    judged = shaped.groupBy("leaf").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     # one row, by the nature of an aggregate without keys
-    judged = judged.join(F.broadcast(every), F.lit(True)).select("host", "template", ((F.col("bad") + PRIOR_WEIGHT * F.col("prior")) / (F.col("labelled") + PRIOR_WEIGHT)).alias("bad_share"))
-    by_path = shaped.select("host", "path", "template").join(judged, ["host", "template"])
+    share = (F.col("bad") + PRIOR_WEIGHT * F.col("prior")) / (F.col("labelled") + PRIOR_WEIGHT)
+    judged = cut(judged.join(F.broadcast(every), F.lit(True)).select("leaf", share.alias("bad_share")))
+    by_path = shaped.select("host", "path", "template", "leaf").join(bounded_broadcast(judged, judged.count()), "leaf").drop("leaf")
     return rows.join(by_path, ["host", "path"]).select(
         "page_id", "host", "path", "rule", "template", "bad_share", F.coalesce("says", F.when(F.col("bad_share") >= REJECT, "block").otherwise("allow")).alias("verdict")
     )
