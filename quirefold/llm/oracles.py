@@ -6,7 +6,7 @@ with brute force, held-out accuracy and the law that they promise.
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, url_filters
+from . import ball_tree, chat, licenses, mixing, url_filters
 from .common import LOWER, UPPER
 
 
@@ -106,6 +106,23 @@ OP10 = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesc
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum({len(chat.START + chat.SEP + chat.END)} + length(role) + length(text) + len(regexp_extract_all(role, '<\|+')) + len(regexp_extract_all(text, '<\|+')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
 
+def _op11() -> str:
+    b = ball_tree
+    far = "list_sum(list_transform(range(1, len(k.p) + 1), lambda i: (k.p[i] - c.p[i]) * (k.p[i] - c.p[i])))::BIGINT"
+    whole = f"list_transform(embedding, lambda x: greatest(least(floor({b.SCALE} * x::DOUBLE), {b.LARGEST}), -{b.LARGEST})::BIGINT)"
+    sql = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {whole} AS p FROM embeddings WHERE len(embedding) = {b.DIMENSIONS} AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = {b.DIMENSIONS}),
+c0 AS MATERIALIZED (SELECT j, p FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), p) - 1 AS j, p FROM kept) WHERE j < {b.CLUSTERS}),
+"""
+    for i in range(b.ROUNDS + 1):
+        sql += f"a{i} AS MATERIALIZED (SELECT r, best[1] AS distance, best[2] AS j FROM (SELECT k.r, min([{far}, c.j]) AS best FROM kept k, c{i} c GROUP BY k.r)),\n"
+        if i < b.ROUNDS:
+            sql += f"""s{i} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT a.j, unnest(k.p) AS x, generate_subscripts(k.p, 1) AS i FROM kept k JOIN a{i} a USING (r)) GROUP BY j, i),
+c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.p, c.p) AS p FROM c{i} c LEFT JOIN (SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS p FROM s{i} GROUP BY j) m USING (j)),
+"""
+    return sql + f"""t AS (SELECT j, sum(distance)::BIGINT AS s FROM a{b.ROUNDS} GROUP BY j)
+SELECT k.vec_id, a.j::INTEGER AS cluster, a.distance, t.s AS cluster_inertia, (SELECT sum(s) FROM t)::BIGINT AS inertia, sha256(array_to_string(c.p, ',')) AS centroid_sha256 FROM kept k JOIN a{b.ROUNDS} a USING (r) JOIN t USING (j) JOIN c{b.ROUNDS} c USING (j)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op2_decontamination": OP2,
@@ -114,4 +131,5 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": _op5(),
     "op8_mixing": OP8,
     "op10_chat_formatting": OP10,
+    "op11_centroid_clustering": _op11(),
 }

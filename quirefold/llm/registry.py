@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, licenses, line_dedup, mixing, ngram_join, sharding, toxicity, url_filters
+from . import ball_tree, chat, decontaminate, fingerprints, licenses, line_dedup, mixing, ngram_join, sharding, toxicity, url_filters
 from .common import table
 from .oracles import ORACLES
 
@@ -58,7 +58,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_ngram_join, op4_url_filters, op5_license_scan, op6_fingerprints, op7_toxicity, op8_mixing, op9_sharding, op10_chat_formatting)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.with_inertia(*ball_tree.cluster(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_ngram_join, op4_url_filters, op5_license_scan, op6_fingerprints, op7_toxicity, op8_mixing, op9_sharding, op10_chat_formatting, op11_centroid_clustering)}
 
 
 def queries() -> dict:
