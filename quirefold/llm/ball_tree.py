@@ -68,7 +68,7 @@ def build(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[list]]
     return order, balls
 
 
-def _trees(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.RecordBatch]:
+def _trees(batches: Iterator[pa.RecordBatch], dimensions: int, size: int) -> Iterator[pa.RecordBatch]:
     def grow(ids: pa.Array, points: np.ndarray) -> pa.RecordBatch:
         order, balls = build(points)
         first, past, left, right, radius, sums = zip(*balls, strict=True)
@@ -77,15 +77,15 @@ def _trees(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.Re
 
     ids, points, n = [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, TREE):
-            part = batch.slice(at, TREE)
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
             ids.append(part.column(0))
             points.append(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions))
             n += part.num_rows
-            if n >= TREE:
+            if n >= size:
                 all_ids, all_points = pa.concat_arrays(ids), np.concatenate(points)
-                yield grow(all_ids[:TREE], all_points[:TREE])
-                ids, points, n = [all_ids[TREE:]], [all_points[TREE:]], n - TREE
+                yield grow(all_ids[:size], all_points[:size])
+                ids, points, n = [all_ids[size:]], [all_points[size:]], n - size
     if n:
         yield grow(pa.concat_arrays(ids), np.concatenate(points))
 
@@ -161,9 +161,9 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterato
             yield pa.RecordBatch.from_arrays([ids, pa.array(cluster), pa.array(distance)], names=["vec_id", "cluster", "distance"])
 
 
-def grow_trees(points: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Trees over the partitions of points (vec_id, point), a row each, in the shared folder."""
-    return cut(points.select("vec_id", "point").mapInArrow(partial(_trees, dimensions=dimensions), TREES))
+def grow_trees(points: DataFrame, dimensions: int = DIMENSIONS, size: int = TREE) -> DataFrame:
+    """Trees of at most `size` vectors over the partitions of points (vec_id, point), a row each, in the shared folder."""
+    return cut(points.select("vec_id", "point").mapInArrow(partial(_trees, dimensions=dimensions, size=size), TREES))
 
 
 def next_centroids(trees: DataFrame, centroids: np.ndarray) -> np.ndarray:
@@ -178,7 +178,7 @@ def next_centroids(trees: DataFrame, centroids: np.ndarray) -> np.ndarray:
     return after
 
 
-def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, column: str = "embedding", dimensions: int = DIMENSIONS, scale: int = SCALE) -> tuple[DataFrame, np.ndarray]:
+def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, column: str = "embedding", dimensions: int = DIMENSIONS, scale: int = SCALE, tree: int = TREE) -> tuple[DataFrame, np.ndarray]:
     """(vec_id, cluster, distance) for every kept vector (see whole_vectors), and the final centroids.
 
     The centroids start as the vectors whose id has the smallest SHA-256 of `1:<vec_id>`, ties by components; a null id counts
@@ -191,7 +191,7 @@ def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS,
     centroids = np.array([s["point"] for s in seeds], np.int64).reshape(-1, dimensions)
     if not seeds:
         return kept.select("vec_id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")).where(F.lit(False)), centroids
-    trees = grow_trees(kept, dimensions)
+    trees = grow_trees(kept, dimensions, tree)
     for _ in range(rounds):
         centroids = next_centroids(trees, centroids)
     return trees.mapInArrow(partial(_assign, centroids=centroids), "vec_id long, cluster int, distance long"), centroids

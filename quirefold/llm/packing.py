@@ -148,18 +148,18 @@ def _words(source: str) -> Words:
     return _LOADED[key]
 
 
-def _parts(texts: pa.Array, cut_long: bool) -> Iterator[tuple[pa.Array, bool]]:
-    """Runs of texts of about CHARS characters; with cut_long one that is longer comes in parts of its own, and False means that more of it follows."""
+def _parts(texts: pa.Array, chars: int, cut_long: bool) -> Iterator[tuple[pa.Array, bool]]:
+    """Runs of texts of about `chars` characters; with cut_long one that is longer comes in parts of its own, and False means that more of it follows."""
     sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > CHARS:
+        if held and held + n > chars:
             yield texts[first:i], True
             first, held = i, 0
-        if n > CHARS and cut_long:
+        if n > chars and cut_long:
             text, at = texts[i].as_py(), 0
             while at < len(text):
-                stop = _SPACE.search(text, at + CHARS)
+                stop = _SPACE.search(text, at + chars)
                 past = stop.start() if stop else len(text)
                 yield pa.array([text[at:past]]), past == len(text)
                 at = past
@@ -170,11 +170,11 @@ def _parts(texts: pa.Array, cut_long: bool) -> Iterator[tuple[pa.Array, bool]]:
         yield texts[first:], True
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], source, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], source, capacity: int, keep_ids: bool, chars: int) -> Iterator[pa.RecordBatch]:
     words = _words(source.value)
     for batch in batches:
         docs, at, carried = batch.column(0), 0, []
-        for texts, whole in _parts(pc.fill_null(batch.column(1), ""), words.by_words):
+        for texts, whole in _parts(pc.fill_null(batch.column(1), ""), chars, words.by_words):
             ids, ends = words.encode(texts)
             if not whole:
                 carried.append(ids)
@@ -192,7 +192,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], source, capacity: int, keep_ids:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
 
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, keep_ids: bool = False, chars: int = CHARS) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, ids): each row of docs as token ids and a final 0, cut where they exceed the capacity.
 
     A null or empty text is the 0 alone. Repeated rows are documents of their own; null ids stay null. ids are null unless
@@ -201,7 +201,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     with open(tokenizer, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(partial(_pieces, source=source, capacity=capacity, keep_ids=keep_ids), PIECES)
+    return rows.mapInArrow(partial(_pieces, source=source, capacity=capacity, keep_ids=keep_ids, chars=chars), PIECES)
 
 
 def _largest(sizes: list[int], most: int) -> int:

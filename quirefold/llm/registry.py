@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat, decontaminate, fingerprints, licenses, line_dedup, mixing, ngram_join, packing, sharding, toxicity, url_filters
+from . import ball_tree, chat, conversation_repair, decontaminate, fingerprints, licenses, line_dedup, mixing, ngram_join, packing, sharding, toxicity, url_filters
 from .common import table
 from .oracles import ORACLES
 
@@ -66,7 +66,12 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_ngram_join, op4_url_filters, op5_license_scan, op6_fingerprints, op7_toxicity, op8_mixing, op9_sharding, op10_chat_formatting, op11_centroid_clustering, op12_packing)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(rows), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_ngram_join, op4_url_filters, op5_license_scan, op6_fingerprints, op7_toxicity, op8_mixing, op9_sharding, op10_chat_formatting, op11_centroid_clustering, op12_packing, op13_conversation_repair)}
 
 
 def queries() -> dict:
