@@ -112,9 +112,14 @@ def is_text_size(w: Column, h: Column, img_w: Column, img_h: Column) -> Column:
     return (h >= F.greatest(F.floor(img_h * F.lit(0.003)), F.lit(8))) & (h <= F.floor(img_h * F.lit(0.06))) & (w >= F.floor(img_w * F.lit(0.015)))
 
 
-def is_table_region(w: Column, h: Column, rows: Column, cols: Column, img_w: Column, img_h: Column) -> Column:
-    """five per cent of the page, not too flat or tall, and a grid of lines."""
-    return (w * h >= F.lit(0.05) * img_w * img_h) & (w / h >= F.lit(0.3)) & (w / h <= 3) & (rows >= 3) & (cols >= 3)
+def is_region_size(w: Column, h: Column, img_w: Column, img_h: Column) -> Column:
+    """five per cent of the page, not too flat or tall."""
+    return (w * h >= F.lit(0.05) * img_w * img_h) & (w / h >= F.lit(0.3)) & (w / h <= 3)
+
+
+def is_grid(h_lines: Column, v_lines: Column, rows: int = 1, cols: int = 1) -> Column:
+    """lines around each of so many rows and columns."""
+    return (h_lines >= rows + 1) & (v_lines >= cols + 1)
 
 
 def route(blocks: Column, text: Column, lines: Column) -> Column:

@@ -90,11 +90,12 @@ def cells(words: DataFrame, keys: list[str], img_w: int) -> DataFrame:
 
 
 def regions(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of like heights, split at gaps over 1.5 mean heights."""
+    """Rows of like heights, split at gaps over 1.5 mean heights; with the mean angle and confidence (A02) where boxes have them."""
     rows = running_rows(boxes, keys, 0.5, 0.33)
     rows = rows.withColumn("_mean", F.avg("h").over(Window.partitionBy(*keys, "row_id")))
     parts = split_by_gap(rows, [*keys, "row_id"], F.lit(1.5) * F.col("_mean"))
-    return hull(parts, [*keys, "row_id", "cell_id"], F.count("*").alias("n"))
+    means = [F.avg(c).alias(c) for c in ("angle", "confidence") if c in boxes.columns]
+    return hull(parts, [*keys, "row_id", "cell_id"], F.count("*").alias("n"), *means)
 
 
 def upper_median(c: str) -> Column:

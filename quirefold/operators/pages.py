@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.geometry import to_points
+from ..streaming.jobs import FRESH
 from . import layout
+from .placement import fitted, width_table
 from .tables import TABLE_TYPES, row_text
 
 #: Page segmentation modes in the order in which scans are tried.
@@ -35,22 +37,52 @@ def line_scan(words: DataFrame, keys: list[str], modes: tuple[int, ...] = LINE_M
     return _first_enough(layout.word_lines(words.where("conf >= 10"), [*keys, "psm"]), keys, modes, enough)
 
 
+def polygon_boxes(polygons: DataFrame, keys: list[str], points: str = "points") -> DataFrame:
+    """Polygons (points: array of x and y) with the upright box around them (x, y, x2, y2, whole pixels) and their angle.
+
+    The angle is that of the smallest rectangle around the points, over -45 and up to 45 degrees. Such a rectangle has a side
+    along one of the hull's edges, so the directions from point to point are all that need trying. Of equal rectangles the
+    least turned counts; without two different points the angle is 0. Other columns stay.
+    """
+    ps = F.transform(points, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    extent = lambda values: F.array_max(values) - F.array_min(values)
+
+    def rectangle(d: Column) -> Column:
+        along, across = F.transform("_p", lambda p: p["x"] * d["c"] + p["y"] * d["s"]), F.transform("_p", lambda p: p["y"] * d["c"] - p["x"] * d["s"])
+        turned = F.degrees(F.atan2(d["s"], d["c"]))
+        turned = turned - F.round(turned / 90) * 90
+        turned = F.round(F.when(turned <= F.lit(-45 + 1e-9), turned + 90).otherwise(turned), 6)
+        return F.struct(F.round(extent(along) * extent(across), 6).alias("area"), F.abs(turned).alias("turned"), turned.alias("angle"))
+
+    def direction(p: Column, q: Column) -> Column:
+        length = F.hypot(q["x"] - p["x"], q["y"] - p["y"])
+        return F.struct(((q["x"] - p["x"]) / length).alias("c"), ((q["y"] - p["y"]) / length).alias("s"))
+
+    differ = lambda p, q: (p["x"] != q["x"]) | (p["y"] != q["y"])
+    directions = F.flatten(F.transform("_p", lambda p, i: F.transform(F.filter("_p", lambda q, j: (j > i) & differ(p, q)), lambda q: direction(p, q))))
+    best = F.array_min(F.transform(directions, rectangle))
+    side = lambda f, c: f(F.transform("_p", lambda p: p[c])).cast("long")
+    rest = [c for c in polygons.columns if c not in (*keys, points)]
+    boxes = [side(F.array_min, "x").alias("x"), side(F.array_min, "y").alias("y"), side(F.array_max, "x").alias("x2"), side(F.array_max, "y").alias("y2")]
+    return polygons.withColumn("_p", ps).where(F.size("_p") > 0).select(*keys, *rest, *boxes, F.coalesce(best["angle"], F.lit(0.0)).alias("angle"))
+
+
 def detected_regions(boxes: DataFrame, keys: list[str], img_w: int, img_h: int, words: DataFrame | None = None) -> DataFrame:
     """A detector's boxes (keys..., x, y, x2, y2) that aren't tiny, padded by a tenth of their height, within the image.
 
-    Adds nx, ny, nx2, ny2 (0 to 1), confidence and reading (from 1, by y and x). Pages of words without any box get running
-    rows (S09) in their place.
+    Adds nx, ny, nx2, ny2 (0 to 1), confidence, reading (from 1, by y and x), and angle where boxes have one (polygon_boxes).
+    Pages of words without any box get running rows (S09) in their place, of angle 0.
     """
     w, h = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     pad = F.greatest(F.floor(h * F.lit(0.1)), F.lit(2))
     sides = [F.greatest(F.col("x") - pad, F.lit(0)), F.greatest(F.col("y") - pad, F.lit(0)), F.least(F.col("x2") + pad, F.lit(img_w)), F.least(F.col("y2") + pad, F.lit(img_h))]
     names = ("x", "y", "x2", "y2")
     kept = boxes.where((w >= F.lit(0.005 * img_w)) & (h >= F.lit(0.003 * img_h)))
-    out = kept.select(*keys, *[s.cast("long").alias(n) for n, s in zip(names, sides, strict=True)], F.lit(1.0).alias("confidence"))
+    out = kept.select(*keys, *[s.cast("long").alias(n) for n, s in zip(names, sides, strict=True)], F.lit(1.0).alias("confidence"), *([F.col("angle")] if "angle" in boxes.columns else []))
     if words is not None:
         # a page whose boxes are all tiny had a detection, and stays without regions
         rows = layout.region_rows(words.join(boxes.select(*keys).distinct(), keys, "left_anti"), keys)
-        out = out.unionByName(rows.select(*keys, *[F.col(n).cast("long").alias(n) for n in names], "confidence"))
+        out = out.unionByName(rows.select(*keys, *[F.col(n).cast("long").alias(n) for n in names], "confidence", *([F.lit(0.0).alias("angle")] if "angle" in boxes.columns else [])))
     share = {f"n{n}": F.least(F.greatest(F.col(n) / F.lit(float(img_w if n[0] == "x" else img_h)), F.lit(0.0)), F.lit(1.0)) for n in names}
     return out.withColumns(share).withColumn("reading", F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x", "x2", "y2")))
 
@@ -121,12 +153,14 @@ def refined(c: Column, corrector: Callable[[Column], Column], template: str) ->
     return F.when(T.should_refine(c), T.once(parts, lambda ps: F.when(F.size(ps) > 0, F.array_join(ps, "\n")).otherwise(c))).otherwise(c)
 
 
-def place_blocks(blocks: DataFrame, keys: list[str], width: float, height: float, ascent: float = 0.766, clean: Callable[[Column], Column] = T.clean_text) -> DataFrame:
+def place_blocks(blocks: DataFrame, keys: list[str], width: float, height: float, ascent: float = 0.766, clean: Callable[[Column], Column] = T.clean_text, widths: DataFrame | None = None) -> DataFrame:
     """Blocks on the 0 to 999 grid (keys..., ord, block_type, x1, y1, x2, y2, text) as lines with font and baseline in points.
 
     A block's cleaned lines share its height. Table blocks (F15) go by rows (G07): the row's text (X15), cleaned, on the row's
-    hull. Lines under the page go. part is 0 for blocks, whose number is ord, and 1 for rows, whose number is the row's.
+    hull. Lines under the page go. part is 0 for blocks, whose number is ord, and 1 for rows, whose number is the row's. With
+    widths, a table of glyph widths, fonts are fitted to the box's width (M13).
     """
+    glyphs = None if widths is None else F.broadcast(width_table(widths))
 
     def placed(rows: DataFrame, part: int, number: str, whole: bool) -> DataFrame:
         rows = rows.withColumn("_clean", clean(F.col("text")))
@@ -135,6 +169,8 @@ def place_blocks(blocks: DataFrame, keys: list[str], width: float, height: float
         rows = rows.where("_clean != ''").select(*keys, F.lit(part).alias("part"), F.col(number).cast("long").alias("number"), x.alias("x"), y.alias("y"), w.alias("width"), h.alias("_h"), lines.alias("_lines"))
         slot = F.col("_h") / F.greatest(F.size("_lines"), F.lit(1))
         rows = rows.withColumn("_slot", slot).withColumn("font", F.greatest(F.least(F.col("_slot"), F.lit(48.0)), F.lit(3.0)))
+        if glyphs is not None:
+            rows = fitted(rows, glyphs)
         rows = rows.select("*", F.posexplode("_lines").alias("i", "line"))
         baseline = F.col("y") + F.col("_h") - (F.col("i") + 0.5) * F.col("_slot") - F.col("font") * F.lit(ascent - 0.5)
         return rows.withColumn("baseline", baseline).where("baseline >= 0").select(*keys, "part", "number", "i", "line", "x", "width", "font", "baseline")
@@ -151,11 +187,19 @@ def without_text(placed: DataFrame, text: str = "line") -> DataFrame:
     return placed.drop(text)
 
 
-def job_pace(events: DataFrame) -> DataFrame:
-    """Progress events (job_id, seq, ts, current, total) with seconds_per_page since the job's first one, remaining seconds and pages_per_minute; 0 before the first page is done or without elapsed time."""
-    first = F.min("ts").over(Window.partitionBy("job_id"))
+def job_pace(events: DataFrame, fresh: tuple[str, ...] = FRESH) -> DataFrame:
+    """Progress events (job_id, seq, ts, current, total, and status if there is one) with seconds_per_page, remaining seconds and pages_per_minute.
+
+    The clock of a job starts at its first event, and again at each event whose status is one of fresh and not that of the
+    event before. 0 before the first page is done or without elapsed time.
+    """
+    rows = events.withColumn("_phase", F.lit(0))
+    if "status" in events.columns:
+        job, status = Window.partitionBy("job_id").orderBy("seq"), F.coalesce("status", F.lit(""))
+        rows = events.withColumn("_new", (status.isin(*fresh) & (F.lag(status).over(job) != status)).cast("int"))
+        rows = rows.withColumn("_phase", F.sum(F.coalesce("_new", F.lit(0))).over(job)).drop("_new")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    rows = events.withColumn("elapsed", (micros(F.col("ts")) - micros(first)) / F.lit(1e6))
+    rows = rows.withColumn("elapsed", (micros(F.col("ts")) - micros(F.min("ts").over(Window.partitionBy("job_id", "_phase")))) / F.lit(1e6)).drop("_phase")
     rows = rows.withColumn("seconds_per_page", F.when(F.col("current") > 0, F.col("elapsed") / F.col("current")).otherwise(0.0))
     left = F.col("total") - F.col("current")
     return rows.withColumn("remaining", F.when((left > 0) & (F.col("seconds_per_page") > 0), left * F.col("seconds_per_page")).otherwise(0.0)).withColumn(

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Part of a font's size above the baseline.
+ASCENT = 0.766
+
+
 def best_positions(positions: DataFrame, keys: list[str], n_lines: str = "n_lines", factor: float = 1.5) -> DataFrame:
     """Where positions are over factor times the lines (two or more), the largest ones, in their order, sampled to the number of lines.
 
@@ -110,10 +114,56 @@ def baselines(placed: DataFrame) -> DataFrame:
     return rows.where("baseline >= 0")
 
 
-def block_lines(blocks: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:
-    """A block's non-blank lines in equal slots of its box (0 to 1, from the top); none after the first under the page."""
-    lines = F.filter(F.split("text", "\n", -1), lambda s: ~s.rlike(r"(?U)^\s*$"))
-    rows = blocks.select(*keys, "x", "y", "x2", "y2", F.size(lines).alias("n"), F.posexplode(lines).alias("i", "line"))
-    slot = (F.col("y2") - F.col("y")) * height / F.col("n")
-    placed = rows.select(*keys, "i", "line", (F.col("x") * width).alias("x"), (F.lit(height) * (1 - F.col("y")) - (F.col("i") + 1) * slot).alias("y"), ((F.col("x2") - F.col("x")) * width).alias("width"), slot.alias("height"))
-    return placed.withColumn("_low", F.min("y").over(Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).where("_low >= 0").drop("_low")
+def width_table(widths: DataFrame) -> DataFrame:
+    """Glyph widths (code, width; in thousandths of the font's size) as one row with an array by code point.
+
+    There are no more code points than Unicode has, which bounds the array. Glyphs that the font lacks have the width of code -1,
+    or 1000.
+    """
+    default = F.coalesce(F.max(F.when(F.col("code") == -1, F.col("width").cast("double"))), F.lit(1000.0))
+    table = widths.where("code >= -1 AND code < 1114112").agg(default.alias("default"), F.max(F.greatest("code", F.lit(0))).alias("most"), F.array_sort(F.collect_list(F.struct(F.col("code").cast("int").alias("code"), F.col("width").cast("double").alias("width")))).alias("entries"))
+    # runs of absent codes are filled as the array grows
+    start = F.array().cast("array<double>")
+
+    def add(a: Column, e: Column) -> Column:
+        gap = F.array_repeat(F.col("default"), F.greatest(e["code"] - F.size(a), F.lit(0)))
+        return F.when(e["code"] < F.size(a), a).otherwise(F.concat(a, gap, F.array(e["width"])))
+
+    return table.select("default", F.aggregate("entries", start, add).alias("glyphs"))
+
+
+def text_width(text: Column, glyphs: Column, default: Column) -> Column:
+    """A line's width in thousandths of the font's size."""
+    return F.aggregate(F.split(text, ""), F.lit(0.0), lambda a, c: a + F.when(c == "", F.lit(0.0)).otherwise(F.coalesce(F.get(glyphs, F.ascii(c)), default)))
+
+
+def fitted(rows: DataFrame, table: DataFrame, lines: str = "_lines", font: str = "font", width: str = "width") -> DataFrame:
+    """Rows with their font scaled down so that the longest of their lines (an array) fits into their width."""
+    from ..functions.geometry import fitted_font
+
+    longest = F.coalesce(F.array_max(F.transform(lines, lambda s: text_width(s, F.col("glyphs"), F.col("default")))), F.lit(0.0)) * F.col(font) / 1000
+    size = F.when(F.col(width) > 0, fitted_font(F.col(font), longest, F.col(width))).otherwise(F.col(font))
+    return rows.crossJoin(table).withColumn(font, size).drop("glyphs", "default")
+
+
+def block_lines(blocks: DataFrame, keys: list[str], width: float, height: float, widths: DataFrame | None = None) -> DataFrame:
+    """A block's non-blank lines in equal slots of its box (0 to 1, from the top); none after the first under the page.
+
+    With widths, a table of glyph widths, each has a font from 3 to 48 that fits (M13) and a baseline.
+    """
+    from ..functions.text import strip
+
+    lines = F.filter(F.transform(F.split("text", "\n", -1), strip), lambda s: s != "")
+    rows = blocks.select(*keys, "x", "y", "x2", "y2", lines.alias("_lines")).where(F.size("_lines") > 0)
+    rows = rows.withColumns({"width": (F.col("x2") - F.col("x")) * width, "_slot": (F.col("y2") - F.col("y")) * height / F.size("_lines")})
+    font = []
+    if widths is not None:
+        rows = fitted(rows.withColumn("font", F.greatest(F.least(F.col("_slot"), F.lit(48.0)), F.lit(3.0))), F.broadcast(width_table(widths)))
+        font = ["font"]
+    rows = rows.select(*keys, "x", "y", "width", "_slot", *font, F.posexplode("_lines").alias("i", "line"))
+    bottom = F.lit(height) * (1 - F.col("y")) - (F.col("i") + 1) * F.col("_slot")
+    placed = rows.select(*keys, "i", "line", (F.col("x") * width).alias("x"), bottom.alias("y"), "width", F.col("_slot").alias("height"), *font)
+    low = "y"
+    if font:
+        placed, low = placed.withColumn("baseline", F.col("y") + F.col("height") / 2 - F.col("font") * F.lit(ASCENT - 0.5)), "baseline"
+    return placed.withColumn("_low", F.min(low).over(Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).where("_low >= 0").drop("_low")

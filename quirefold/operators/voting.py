@@ -92,3 +92,45 @@ def accept_lines(original: Column, corrected: Column) -> Column:
     a, b = F.split(original, "\n", -1), F.split(corrected, "\n", -1)
     chosen = F.zip_with(a, b, lambda x, y: F.when(is_valid_correction(y, x), strip(y)).otherwise(x))
     return F.when(F.size(a) == F.size(b), F.array_join(chosen, "\n")).otherwise(original)
+
+
+def correct_text(c: Column, corrector, least: int = 3, most: int = 500) -> Column:
+    """One text of `least` characters or more, corrected from its first `most`; null answers and invalid ones (F08) keep the text."""
+    from ..functions.text import is_valid_correction
+
+    own = strip(c)
+    answer = corrector(F.substring(own, 1, most))
+    return F.when((F.char_length(own) >= least) & F.coalesce(is_valid_correction(answer, own), F.lit(False)), strip(answer)).otherwise(c)
+
+
+def correct_texts(texts: Column, corrector, least: int = 3, most: int = 500) -> Column:
+    """An array of texts that share a row, corrected in one answer for all of `least` characters or more.
+
+    They are joined by line breaks. If that is longer than `most`, or the answer has another number of lines, each is corrected
+    alone; otherwise each line that is a valid correction takes its text's place. Without an answer all texts stay.
+    """
+    from ..functions.text import is_valid_correction, once
+
+    worth = lambda t: F.char_length(strip(t)) >= least
+    alone = lambda ts: F.transform(ts, lambda t: correct_text(t, corrector, least, most))
+
+    def with_answer(answer: Column) -> Column:
+        lines = F.split(strip(answer), "\n", -1)
+        place = F.aggregate(texts, F.array().cast("array<int>"), lambda a, t: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + worth(t).cast("int")))
+        valid = lambda line, t: (line != "") & F.coalesce(is_valid_correction(line, strip(t)), F.lit(False))
+        line_of = lambda k: strip(F.get(lines, k - 1))
+        taken = F.zip_with(texts, place, lambda t, k: F.when(worth(t) & valid(line_of(k), t), line_of(k)).otherwise(t))
+        return F.when(answer.isNull(), texts).when(F.size(lines) != F.size(F.filter(texts, worth)), alone(texts)).otherwise(taken)
+
+    batch = F.array_join(F.filter(texts, worth), "\n")
+    answered = once(corrector(batch), with_answer)
+    return F.when(F.size(F.filter(texts, worth)) == 0, texts).when(F.char_length(batch) > most, alone(texts)).otherwise(answered)
+
+
+def correct_blocks(blocks: DataFrame, keys: list[str], corrector, order: str = "ord", least: int = 3, most: int = 500) -> DataFrame:
+    """Blocks (keys..., ord, text) with the texts of each key, such as a page's row, corrected together; other columns stay."""
+    rest = [c for c in blocks.columns if c not in (*keys, order, "text")]
+    rows = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.coalesce("text", F.lit("")).alias("_t"), F.struct(order, *rest).alias("_row")))).alias("_items"))
+    rows = rows.withColumn("_new", correct_texts(F.transform("_items", lambda i: i["_t"]), corrector, least, most))
+    out = rows.select(*keys, F.explode(F.arrays_zip(F.col("_items").alias("item"), F.col("_new").alias("text"))).alias("_z"))
+    return out.select(*keys, "_z.item._row.*", F.col("_z.text").alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pages
+from ..streaming import jobs
 from .derived import ctes
 from .registry import query
 
@@ -150,18 +151,50 @@ def l18_positions_alone(boxes):
 
 
 @query(
-    "dv_job_events",
-    sql=ctes("dv_job_events") + """, p AS (SELECT job_id, seq, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY job_id))) / 1000000.0::DOUBLE AS e, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY job_id) AS n FROM dv_job_events WHERE type = 'progress')
+    "dv_state_events",
+    sql=ctes("dv_state_events") + """, a AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY job_id) AS n, coalesce(status, '') AS st, lag(coalesce(status, '')) OVER w AS was FROM dv_state_events WHERE type = 'progress' WINDOW w AS (PARTITION BY job_id ORDER BY seq)),
+  b AS (SELECT *, sum(CASE WHEN st <> was AND st IN ('post_processing', 'generating_pdf', 'writing_output') THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq) AS phase FROM a),
+  p AS (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY job_id, phase))) / 1000000.0::DOUBLE AS e FROM b)
 SELECT job_id, seq, round(CASE WHEN k > 0 THEN e / k ELSE 0 END, 4) AS seconds_per_page, round(CASE WHEN k > 0 AND e > 0 AND n > k THEN (n - k) * (e / k) ELSE 0 END, 4) AS remaining, round(CASE WHEN e > 0 THEN n / e * 60 ELSE 0 END, 6) AS pages_per_minute FROM p""",
 )
 def m10_pace(events):
     from pyspark.sql import Window
 
     job = Window.partitionBy("job_id")
-    rows = events.where("type = 'progress'").select("job_id", "seq", "ts", (F.row_number().over(job.orderBy("seq")) - 1).alias("current"), F.count("*").over(job).alias("total"))
+    rows = events.where("type = 'progress'").select("job_id", "seq", "ts", "status", (F.row_number().over(job.orderBy("seq")) - 1).alias("current"), F.count("*").over(job).alias("total"))
     return pages.job_pace(rows).select("job_id", "seq", F.round("seconds_per_page", 4).alias("seconds_per_page"), F.round("remaining", 4).alias("remaining"), F.round("pages_per_minute", 6).alias("pages_per_minute"))
 
 
+_STATE = """, n AS (SELECT *, i IS NULL OR seq >= i AS now FROM (SELECT *, max(CASE WHEN type = 'init' THEN seq END) OVER (PARTITION BY job_id) AS i FROM dv_state_events)),
+  q AS (SELECT *, lag(st) OVER w AS was, row_number() OVER w AS k FROM (SELECT *, CASE WHEN type = 'init' THEN '' ELSE coalesce(status, '') END AS st FROM n WHERE now AND type IN ('init', 'progress')) WINDOW w AS (PARTITION BY job_id ORDER BY seq)),
+  g AS (SELECT job_id, min(seq) AS begun, arg_max(st, seq) AS phase, coalesce(arg_max(ts, seq) FILTER (k > 1 AND st <> was AND st IN ('post_processing', 'generating_pdf', 'writing_output')), arg_min(ts, seq) FILTER (k > 1)) AS phase_start,
+    coalesce(arg_max(current_page, seq) FILTER (type = 'progress' AND current_page IS NOT NULL), 0) AS current_page, coalesce(arg_max(CASE WHEN type = 'init' THEN coalesce(total_pages, 0) ELSE total_pages END, seq) FILTER (type = 'init' OR total_pages IS NOT NULL), 0) AS total_pages,
+    coalesce(arg_max(memory_mb, seq) FILTER (type = 'progress' AND memory_mb IS NOT NULL), 0) AS memory_mb FROM q GROUP BY job_id),
+  s AS (SELECT n.job_id, count(*) AS skipped FROM n JOIN g USING (job_id) WHERE now AND seq > begun AND (type = 'page_error' OR type = 'error' AND recoverable) GROUP BY n.job_id),
+  c AS (SELECT job_id, arg_max(type, seq) AS t, arg_max(output_path, seq) AS own, arg_max(CASE WHEN pt = 'complete' THEN pp ELSE '' END, seq) FILTER (type = 'split_complete') AS path, arg_max(coalesce(total_parts, 0), seq) FILTER (type = 'split_complete') AS parts
+    FROM (SELECT *, lag(type) OVER w AS pt, lag(output_path) OVER w AS pp FROM n WHERE type IN ('complete', 'split_complete') WINDOW w AS (PARTITION BY job_id ORDER BY seq)) GROUP BY job_id),
+  d AS (SELECT job_id, arg_max(CASE type WHEN 'download' THEN 'downloading' WHEN 'error' THEN 'error' WHEN 'split_complete' THEN 'complete' ELSE 'processing' END, seq) FILTER (type IN ('init', 'progress', 'download', 'split_complete') OR type = 'error' AND NOT recoverable) AS app,
+    arg_max(code, seq) FILTER (type = 'error' AND NOT recoverable) AS error_code, arg_max(message, seq) FILTER (type = 'log' AND level = 'warn' AND contains(message, 'memory')) AS warning, least(count_if(type = 'log'), 50) AS logs FROM n GROUP BY job_id)
+SELECT d.job_id, CASE WHEN c.t = 'complete' THEN 'complete' WHEN app = 'processing' THEN 'error' ELSE coalesce(app, 'idle') END AS app_state, g.phase, g.phase_start, g.current_page::INT AS current_page, g.total_pages::INT AS total_pages, g.memory_mb, coalesce(s.skipped, 0)::BIGINT AS skipped,
+  CASE WHEN c.t = 'complete' THEN c.own ELSE nullif(c.path, '') END AS output_path, false AS pending, c.parts::INT AS parts, d.error_code, d.warning, d.logs::BIGINT AS logs FROM d LEFT JOIN g USING (job_id) LEFT JOIN s USING (job_id) LEFT JOIN c USING (job_id)"""
+
+
+@query("dv_state_events", sql=ctes("dv_state_events") + _STATE)
+def r02_r04_job_states(events):
+    return jobs.job_table(events, splits=2, finished=True)
+
+
+@query(
+    "dv_worker_events",
+    sql=ctes("dv_worker_events") + """, p AS (SELECT job_id, seq, worker_id, row_number() OVER (PARTITION BY job_id, worker_id ORDER BY seq) AS n FROM dv_worker_events WHERE type = 'page_done'),
+  m AS (SELECT a.job_id, a.seq, b.worker_id, max(b.n) AS n FROM p a JOIN p b ON a.job_id = b.job_id AND b.seq <= a.seq GROUP BY ALL)
+SELECT job_id, seq, string_agg(worker_id || ':' || n, ' ' ORDER BY worker_id) AS workers, sum(n)::BIGINT AS completed FROM m GROUP BY job_id, seq""",
+)
+def a11_worker_progress(events):
+    shown = F.array_join(F.transform("workers", lambda w: F.concat_ws(":", w["worker_id"], w["completed"])), " ")
+    return jobs.worker_progress(events).select("job_id", "seq", shown.alias("workers"), "completed")
+
+
 @query("documents")
 def e03_x11_refined(docs):
     return docs.select("doc_id", F.sha2(pages.refined(col("text"), lambda c: F.replace(c, F.lit("e"), F.lit("3")), "{text}").cast("binary"), 256).alias("text_sha256"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .heads import DocumentHeads
 
 BLOCK = "struct<text:string,bbox_norm:array<double>,size:string,char_height:int>"
 LINE = "struct<x:int,y:int,x2:int,y2:int,text:string>"
@@ -13,6 +16,8 @@ EVENT = (
     "worker_progress array<struct<worker_id:int,completed:int,total:int>>, downloaded_mb double, total_mb double, output_path string, elapsed_seconds double, current_part int, total_parts int, "
     "start_page int, end_page int, parts array<string>, level string, message string, code string, details string, recoverable boolean, page int"
 )
+#: Words of status lines that speak of models.
+MODEL_WORDS = ("fetching", "downloading", "model", "tokenizer", "loading", r"config\.json")
 EVENT_TYPES = ("init", "progress", "download", "complete", "split_progress", "split_complete", "log", "error", "page_error")
 
 
@@ -22,23 +27,13 @@ def read_terms(spark: SparkSession, *paths: str) -> DataFrame:
     return lines.where("term != '' AND NOT startswith(term, '#')").distinct()
 
 
-def check_documents(spark: SparkSession, path: str, most: int = 5 << 30) -> DataFrame:
-    """Path and error code of each file: too large or no PDF header E001, empty E003, else null; E002 for a path without files.
+def check_documents(spark: SparkSession, path: str, most: int = 5 << 30, per_partition: int = 10_000) -> DataFrame:
+    """(path, length, named_pdf, error) for each file of a folder, pattern or file: too large, unreadable or no PDF header E001, empty E003, else null; E002 for a path without files.
 
-    Spark's reader leaves out files without bytes, so these are taken from the file system's listing.
+    Of a file the first four bytes are read, whatever its size, in tasks of at most per_partition files; folders are not entered.
     """
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found = [s for top in (fs.globStatus(pattern) or []) for s in (fs.listStatus(top.getPath()) if top.isDirectory() else [top]) if s.isFile()]
-    empty = [(s.getPath().toString(), 0, "E003") for s in found if s.getLen() == 0] if found else [(path, None, "E002")]
-    named = F.lower("path").endswith(".pdf").alias("named_pdf")
-    out = spark.createDataFrame(empty, "path string, length long, error string").select("path", "length", named, "error")
-    if len(empty) < len(found):
-        files = spark.read.format("binaryFile").load(path)
-        head = F.substring("content", 1, 4).cast("string")
-        code = F.when(F.col("length") > most, "E001").when(head != "%PDF", "E001")
-        out = files.select("path", "length", named, code.alias("error")).unionByName(out)
-    return out
+    spark.dataSource.register(DocumentHeads)
+    return spark.read.format("document_heads").option("most", most).option("per_partition", per_partition).load(path)
 
 
 def write_pages(pages: DataFrame, path: str, by: str = "worker") -> None:
@@ -59,6 +54,16 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     return events.where(F.col("type").isin(*EVENT_TYPES)).withColumn("recoverable", F.when(F.col("type") == "page_error", True).otherwise(F.col("recoverable")))
 
 
+def parse_status_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Events of a stream that mixes JSON with plain text: other lines that speak of models become events of the type modelSetup with the line as message, the rest go. Works on streams too."""
+    parsed = lines.select(F.col(column).alias("_line"), F.try_variant_get(F.try_parse_json(column), "$.type", "string").alias("_type"), F.from_json(column, EVENT).alias("e"))
+    plain = F.try_parse_json("_line").isNull()
+    speaks = F.lower("_line").rlike("|".join(MODEL_WORDS))
+    kept = parsed.where((F.trim("_line") != "") & (F.when(plain, speaks).otherwise(F.coalesce(F.col("_type").isin(*EVENT_TYPES), F.lit(False)))))
+    fields = [F.when(plain, {"type": F.lit("modelSetup"), "message": F.col("_line")}.get(c, F.lit(None))).otherwise(F.col(f"e.{c}")).alias(c) for c in T.StructType.fromDDL(EVENT).names]
+    return kept.select(*fields).withColumn("recoverable", F.when(F.col("type") == "page_error", True).otherwise(F.col("recoverable")))
+
+
 def event_lines(events: DataFrame) -> DataFrame:
     """Events as JSON lines, without their null fields."""
     return events.select(F.to_json(F.struct("*")).alias("value"))

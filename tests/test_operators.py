@@ -130,6 +130,16 @@ def test_files(spark, tmp_path):
     (docs / "c.txt").write_bytes(b"text")
     got = {os.path.basename(r["path"]): (r["error"], r["named_pdf"]) for r in files.check_documents(spark, str(docs)).collect()}
     assert got == {"a.pdf": (None, True), "b.PDF": ("E003", True), "c.txt": ("E001", False)}
+    with open(docs / "huge.pdf", "wb") as f:  # sparse, of 6 GiB
+        f.write(b"%PDF")
+        f.truncate(6 << 30)
+    codes = lambda path, **more: sorted((os.path.basename(r["path"]), r["length"], r["error"]) for r in files.check_documents(spark, path, **more).collect())
+    assert codes(str(docs / "*.pdf")) == [("a.pdf", 6, None), ("huge.pdf", 6 << 30, "E001")]
+    assert codes(str(docs / "huge.pdf"), most=7 << 30) == [("huge.pdf", 6 << 30, None)]
+    assert codes(str(docs), most=5, per_partition=2) == [("a.pdf", 6, "E001"), ("b.PDF", 0, "E003"), ("c.txt", 4, "E001"), ("huge.pdf", 6 << 30, "E001")]
+    assert codes(str(tmp_path / "*" / "[ac].*")) == [("a.pdf", 6, None), ("c.txt", 4, "E001")]
+    assert codes(f"file://{docs}/none.pdf") == [("none.pdf", None, "E002")] and codes(str(docs / "none*")) == [("none*", None, "E002")]
+    assert files.check_documents(spark, str(docs), per_partition=2).rdd.getNumPartitions() == 2
     results = tmp_path / "results"
     results.mkdir()
     (results / "ocr_1.json").write_text(json.dumps([{"page_num": 1, "text": "old"}, {"page_num": 2, "text": "two"}]))
@@ -142,16 +152,6 @@ def test_files(spark, tmp_path):
     assert [r["output"] for r in files.output_names(names).orderBy("doc_id").collect()] == ["a_b_OCR.pdf", "a_b_OCR(2).pdf", "output_OCR.pdf"]
 
 
-def test_job_stream(spark, tmp_path):
-    rows = [(1, 0, "init", None), (1, 1, "progress", "ocr"), (1, 2, "page_error", None), (1, 3, "complete", None), (2, 0, "init", None), (2, 1, "error", None), (2, 2, "complete", None)]
-    spark.createDataFrame(rows, "job_id long, seq long, type string, status string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("job_id long, seq long, type string, status string").parquet(str(tmp_path / "in"))
-    query = jobs.job_states(stream).writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {r["job_id"]: (r["app_state"], r["phase"], r["progress"], r["skipped"], r["events"]) for r in spark.sql("SELECT * FROM job_states").collect()}
-    assert got == {1: ("done", "ocr", 1, 1, 4), 2: ("error", None, 0, 0, 3)}
-
-
 def test_whole_texts(spark):
     from quirefold.plans import registry
 
@@ -160,5 +160,5 @@ def test_whole_texts(spark):
     got = {r["kind"]: (r["refined"], r["corrected"]) for r in registry.f07_f08_validity_whole(versions).collect()}
     assert got == {"whole": (True, True), "short": (False, False), "long": (False, False)}
     docs = spark.createDataFrame([(2, text + "{{  x")], "doc_id long, text string")
-    assert registry.l05_l06_braces_spaces_whole(docs).first()["missing"] == 2
-    assert registry.f06_guards_whole(docs).first()["guarded"] != registry.f06_guards_whole(docs.selectExpr("doc_id", "concat(text, 'y') AS text")).first()["guarded"]
+    assert registry.l05_l06_braces_spaces(docs).first()["missing"] == 2
+    assert registry.f06_f16_t06_guards(docs).first()["guarded"] != registry.f06_f16_t06_guards(docs.selectExpr("doc_id", "concat(text, 'y') AS text")).first()["guarded"]
