@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def bands(profile: DataFrame, keys: list[str], min_density: float, min_size: int, merge_gap: int) -> DataFrame:
-    """Runs of at least min_density and min_size, joined over gaps of at most merge_gap; ends are inclusive."""
+    """Runs of at least min_density and min_size, joined over gaps of at most merge_gap; ends are inclusive. Positions that the profile lacks are empty."""
     w = Window.partitionBy(*keys).orderBy("pos")
     marked = profile.withColumn("_on", F.col("dark") >= min_density)
-    runs = marked.withColumn("_run", F.sum((F.col("_on") & ~F.coalesce(F.lag("_on").over(w), F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_on")
+    goes_on = F.lag("_on").over(w) & (F.col("pos") == F.lag("pos").over(w) + 1)
+    runs = marked.withColumn("_run", F.sum((F.col("_on") & ~F.coalesce(goes_on, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_on")
     runs = runs.groupBy(*keys, "_run").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).where(F.col("end") - F.col("start") + 1 >= min_size)
     v = Window.partitionBy(*keys).orderBy("start")
     apart = F.coalesce((F.col("start") - F.lag("end").over(v) > merge_gap).cast("int"), F.lit(0))

@@ -58,6 +58,20 @@ def s08_detected_regions(boxes):
     return rows.select("page_num", "x", "y", "x2", "y2", F.round("nx", 9).alias("nx"), F.round("ny2", 9).alias("ny2"), col("reading").cast("long").alias("reading"))
 
 
+@query(
+    "dv_boxes",
+    sql=ctes("dv_boxes") + """, p AS (SELECT page_num, ord, x1 AS x, y1 AS y, 30 + ord * 3 AS w, 8 + ord % 5 AS h, radians(ord * 4 % 81 - 40) AS a FROM dv_boxes),
+  c AS (SELECT *, unnest([x, x + w * cos(a), x + w * cos(a) - h * sin(a), x - h * sin(a)]) AS px, unnest([y, y + w * sin(a), y + w * sin(a) + h * cos(a), y + h * cos(a)]) AS py FROM p)
+SELECT page_num, ord, trunc(round(min(px), 6))::BIGINT AS x, trunc(round(min(py), 6))::BIGINT AS y, trunc(round(max(px), 6))::BIGINT AS x2, trunc(round(max(py), 6))::BIGINT AS y2, round(ord * 4 % 81 - 40, 4)::DOUBLE AS angle FROM c GROUP BY page_num, ord""",
+)
+def s08_polygon_boxes(boxes):
+    a, w, h = F.radians(col("ord") * 4 % 81 - 40), 30 + col("ord") * 3, 8 + col("ord") % 5
+    corner = lambda x, y: F.struct(F.round(col("x1") + x, 6).alias("x"), F.round(col("y1") + y, 6).alias("y"))
+    points = F.array(corner(F.lit(0.0), F.lit(0.0)), corner(w * F.cos(a), w * F.sin(a)), corner(w * F.cos(a) - h * F.sin(a), w * F.sin(a) + h * F.cos(a)), corner(-h * F.sin(a), h * F.cos(a)))
+    found = pages.polygon_boxes(boxes.select("page_num", "ord", points.alias("points")), ["page_num", "ord"])
+    return found.withColumn("angle", F.round("angle", 4))
+
+
 _S21 = "string_agg(concat_ws(' ', x1, y1, x2, y2, text), '|' ORDER BY y1, x1, x2, y2, text)"
 
 

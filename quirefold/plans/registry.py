@@ -375,7 +375,10 @@ def v01_dictionary_vote(versions, terms):
     return voting.vote_lines(versions, ["doc_id", "page_num"], terms).groupBy("source").agg(F.count("*").alias("lines"))
 
 
-@query("conversations")
+_ENSEMBLE = "WITH dv_versions AS (SELECT conv_id AS doc_id, turn AS page_num, text AS original, CASE WHEN b THEN text ELSE replace(text, 'e', '3') END AS v0, text AS v1, CASE WHEN b THEN text ELSE replace(text, 'o', '0') END AS v2 FROM (SELECT *, " + BLANK.format("text") + " AS b FROM conversations)), "
+
+
+@query("conversations", sql=_ENSEMBLE + _LINES + _PAGES + " SELECT doc_id AS conv_id, page_num AS turn, text, source, content FROM sourced")
 def v03_ensemble(conversations):
     pages = conversations.select("conv_id", "turn", "text")
     return voting.ensemble(pages, ["conv_id", "turn"], (lambda c: F.replace(c, F.lit("e"), F.lit("3")), lambda c: c, lambda c: F.replace(c, F.lit("o"), F.lit("0"))))
@@ -386,11 +389,39 @@ def v04_cascade(conversations):
     return conversations.select("conv_id", "turn", voting.cascade(col("text"), (lambda c: F.replace(c, F.lit("e"), F.lit("3")), lambda c: F.replace(c, F.lit("o"), F.lit("0")))).alias("text"))
 
 
-@query("dv_versions")
+def _valid(new: str, old: str) -> str:
+    """F08 in SQL; both are stripped."""
+    return f"({new} <> '' AND length({new}) / greatest(length({old}), 1)::DOUBLE >= 0.7::DOUBLE AND length({new}) / greatest(length({old}), 1)::DOUBLE <= 1.3::DOUBLE AND NOT regexp_matches({new}, {_q('^(' + '|'.join(V.BAD_CORRECTION_STARTS) + ')')}))"
+
+
+@query(
+    "dv_versions",
+    sql=ctes("dv_versions") + f""", z AS (SELECT doc_id, page_num, original, string_split(original, chr(10)) AS a, string_split(v0, chr(10)) AS b FROM dv_versions),
+  l AS (SELECT doc_id, page_num, i, a[i] AS x, {STRIP.format('b[i]')} AS y FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM z WHERE len(a) = len(b)))
+SELECT doc_id, page_num, string_agg(CASE WHEN {_valid('y', 'x')} THEN y ELSE x END, chr(10) ORDER BY i) AS text FROM l GROUP BY ALL UNION ALL SELECT doc_id, page_num, original FROM z WHERE len(a) <> len(b)""",
+)
 def v05_accept_lines(versions):
     return versions.select("doc_id", "page_num", voting.accept_lines(col("original"), col("v0")).alias("text"))
 
 
+_FIX = "replace(replace({0}, 'e', '3'), 'q', chr(10))"
+
+
+@query(
+    "dv_lines",
+    sql=ctes("dv_lines") + f""", r AS (SELECT *, i // 4 AS row_id, {STRIP.format('line')} AS own FROM dv_lines),
+  g AS (SELECT doc_id, row_id, string_agg(line, chr(10) ORDER BY i) AS batch, count(*) AS n FROM r WHERE length(own) >= 3 GROUP BY ALL),
+  h AS (SELECT *, string_split({STRIP.format(_FIX.format('batch'))}, chr(10)) AS answer FROM g),
+  k AS (SELECT r.*, h.n, h.answer, h.batch, row_number() OVER (PARTITION BY r.doc_id, r.row_id, length(own) >= 3 ORDER BY i) AS place FROM r LEFT JOIN h USING (doc_id, row_id)),
+  m AS (SELECT *, {STRIP.format('answer[place]')} AS together, {STRIP.format(_FIX.format('left(own, 500)'))} AS alone FROM k)
+SELECT doc_id, row_id::BIGINT AS row_id, i, md5(CASE WHEN length(own) < 3 THEN line WHEN length(batch) > 500 OR len(answer) <> n THEN CASE WHEN {_valid('alone', 'own')} THEN alone ELSE line END WHEN {_valid('together', 'own')} THEN together ELSE line END) AS digest FROM m""",
+)
+def v05_correct_blocks(lines):
+    rows = lines.select("doc_id", F.floor(col("i") / 4).alias("row_id"), "i", col("line").alias("text"))
+    fixed = voting.correct_blocks(rows, ["doc_id", "row_id"], lambda c: F.replace(F.replace(c, F.lit("e"), F.lit("3")), F.lit("q"), F.lit("\n")), order="i")
+    return fixed.select("doc_id", "row_id", "i", F.md5("text").alias("digest"))
+
+
 # ---- geometry
 
 
@@ -509,40 +540,90 @@ def g08_reading_rows(words):
     return layout.reading_rows(words, ["page_num"]).select("page_num", "ord", col("row_id").cast("long").alias("row_id"))
 
 
-@query("dv_words")
+@query(
+    "dv_words",
+    sql=ctes("dv_words") + """, r AS (SELECT *, sum(CASE WHEN abs(c - p) > 0.5::DOUBLE * h THEN 1 ELSE 0 END) OVER (PARTITION BY page_num ORDER BY y, x, ord ROWS UNBOUNDED PRECEDING) AS rid FROM (SELECT *, lag(c) OVER (PARTITION BY page_num ORDER BY y, x, ord) AS p FROM (SELECT *, y + h / 2.0::DOUBLE AS c FROM dv_words))),
+  t AS (SELECT page_num, rid, coalesce(string_agg(text, chr(9) ORDER BY x, ord) FILTER (WHERE text <> ' '), '') AS text FROM r GROUP BY page_num, rid)
+SELECT page_num, string_agg(text, chr(10) ORDER BY rid) AS text FROM t GROUP BY page_num""",
+)
 def a15_page_text(words):
     return layout.page_text(words, ["page_num"])
 
 
-@query("dv_words")
+_longs = lambda df, *names: df.withColumns({n: col(n).cast("long") for n in names})
+
+
+@query("dv_words", sql=_running(_G03).replace("AS k FROM dv_words)", "AS k FROM dv_words WHERE conf >= 10 AND trim(text) <> '')") + " SELECT w.page_num, rid::BIGINT AS row_id, min(x)::BIGINT AS x, min(y)::BIGINT AS y, max(x + w)::BIGINT AS x2, max(y + h)::BIGINT AS y2, 0.8::DOUBLE AS confidence FROM w JOIN f USING (page_num, ord) GROUP BY w.page_num, rid")
 def s09_region_rows(words):
-    return layout.region_rows(_boxed(words), ["page_num"])
+    return _longs(layout.region_rows(_boxed(words), ["page_num"]), "row_id", "x", "y", "x2", "y2")
 
 
-@query("dv_words")
+@query(
+    "dv_words",
+    sql=_running(_G03) + """, d AS (SELECT page_num, list_sort(list(h))[(len(list(h)) // 2 + 1)::BIGINT] AS mid FROM dv_words GROUP BY page_num),
+  j AS (SELECT w.*, w.x + w.w AS x2, w.y + w.h AS y2, f.rid, mid, CASE WHEN w.h > 1.4::DOUBLE * mid THEN 'large' WHEN w.h < 0.7::DOUBLE * mid THEN 'small' ELSE 'medium' END AS size FROM w JOIN f USING (page_num, ord) JOIN d USING (page_num)),
+  c AS (SELECT *, sum(CASE WHEN x - px2 > 1.5::DOUBLE * mid THEN 1 ELSE 0 END) OVER (PARTITION BY page_num, rid, size ORDER BY x, ord ROWS UNBOUNDED PRECEDING) AS cid FROM (SELECT *, lag(x2) OVER (PARTITION BY page_num, rid, size ORDER BY x, ord) AS px2 FROM j))
+SELECT page_num, rid::BIGINT AS row_id, size, cid::BIGINT AS cell_id, min(x)::BIGINT AS x, min(y)::BIGINT AS y, max(x2)::BIGINT AS x2, max(y2)::BIGINT AS y2, floor(avg(h))::BIGINT AS char_height, coalesce(string_agg(text, ' ' ORDER BY x, ord) FILTER (WHERE text <> ' '), '') AS text FROM c GROUP BY page_num, rid, size, cid""",
+)
 def g04_sized_blocks(words):
-    return layout.sized_blocks(_boxed(words), ["page_num"])
+    return _longs(layout.sized_blocks(_boxed(words), ["page_num"]), "row_id", "cell_id", "x", "y", "x2", "y2", "char_height")
 
 
-@query("dv_words")
+_G06 = "abs(w.cy - f.sc / f.n) <= 0.7::DOUBLE * (f.sh / f.n)"
+_JOINS_SENTENCE = "o.rid = s.rid AND o.size = s.size AND o.size <> 'small' AND o.x - s.reach <= 3 * s.head"
+
+
+@query(
+    "dv_words",
+    sql=_running(_G06) + f""", o AS (SELECT w.*, f.rid, w.x + w.w AS x2, row_number() OVER (PARTITION BY w.page_num ORDER BY f.rid, CASE WHEN w.h > 22 THEN 'large' WHEN w.h < 18 THEN 'small' ELSE 'medium' END, w.x, w.ord) AS place, CASE WHEN w.h > 22 THEN 'large' WHEN w.h < 18 THEN 'small' ELSE 'medium' END AS size FROM w JOIN f USING (page_num, ord)),
+  s AS (SELECT page_num, place, ord, rid, size, 0 AS gid, x2 AS reach, h AS head FROM o WHERE place = 1
+    UNION ALL SELECT o.page_num, o.place, o.ord, o.rid, o.size, CASE WHEN {_JOINS_SENTENCE} THEN s.gid ELSE s.gid + 1 END, o.x2, CASE WHEN {_JOINS_SENTENCE} THEN s.head ELSE o.h END FROM s JOIN o ON o.page_num = s.page_num AND o.place = s.place + 1)
+SELECT o.page_num, s.gid::BIGINT AS group_id, o.rid::BIGINT AS row_id, o.size, min(x)::BIGINT AS x, min(y)::BIGINT AS y, max(o.x2)::BIGINT AS x2, max(y + h)::BIGINT AS y2, floor(avg(h))::BIGINT AS char_height, count(*)::BIGINT AS n FROM o JOIN s USING (page_num, place) GROUP BY ALL""",
+)
 def g06_sentence_blocks(words):
     sized = _boxed(words).withColumn("size", F.when(col("h") > 22, "large").when(col("h") < 18, "small").otherwise("medium"))
-    return layout.sentence_blocks(sized, ["page_num"])
+    return _longs(layout.sentence_blocks(sized, ["page_num"]), "group_id", "row_id", "x", "y", "x2", "y2", "char_height", "n")
 
 
-@query("dv_words")
+def _growing(table: str, order: str, joins: str, more: str = "", more_kept: str = "", more_new: str = "") -> str:
+    """Boxes of a table b in an order, each in the group of the box before or in a new one; the group's box grows."""
+    grow = lambda c, f: f"CASE WHEN {joins} THEN {f}(s.{c}, o.{c}) ELSE o.{c} END"
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY page_num ORDER BY {order}) AS place FROM ({table})),
+  s AS (SELECT page_num, place, 0 AS gid, x, y, x2, y2{more} FROM o WHERE place = 1
+    UNION ALL SELECT o.page_num, o.place, CASE WHEN {joins} THEN s.gid ELSE s.gid + 1 END, {grow('x', 'least')}, {grow('y', 'least')}, {grow('x2', 'greatest')}, {grow('y2', 'greatest')}{more_new and f', CASE WHEN {joins} THEN {more_kept} ELSE {more_new} END'} FROM s JOIN o ON o.page_num = s.page_num AND o.place = s.place + 1)"""
+
+
+_WORD_BOXES = "SELECT page_num, ord, x::DOUBLE AS x, y::DOUBLE AS y, (x + w)::DOUBLE AS x2, (y + h)::DOUBLE AS y2, h::DOUBLE AS h, text FROM dv_words"
+_CLOSE = "(abs((o.y + o.y2) / 2 - (s.y + s.y2) / 2) <= 0.35::DOUBLE * greatest(o.y2 - o.y, s.y2 - s.y) AND o.x < s.x2 + 0.3::DOUBLE * greatest(o.y2 - o.y, s.y2 - s.y))"
+_BELOW = "(least(s.x2, o.x2) - greatest(s.x, o.x) >= 0.7::DOUBLE * least(s.x2 - s.x, o.x2 - o.x) AND o.y - s.y2 <= 1.5::DOUBLE * s.h)"
+_RECURSIVE_WORDS = "WITH RECURSIVE " + ctes("dv_words")[5:].rstrip() + ", "
+_GROUPED = "min(o.x)::BIGINT AS x, min(o.y)::BIGINT AS y, max(o.x2)::BIGINT AS x2, max(o.y2)::BIGINT AS y2"
+
+
+@query("dv_words", sql=_RECURSIVE_WORDS + _growing(_WORD_BOXES, "(y + y2) / 2, (x + x2) / 2, ord", _CLOSE) + f" SELECT o.page_num, s.gid::BIGINT AS group_id, {_GROUPED}, arg_min(o.text, o.place) AS text, count(*)::BIGINT AS n FROM o JOIN s USING (page_num, place) GROUP BY o.page_num, s.gid")
 def g09_merge_close(words):
-    return layout.merge_close(_boxed(words), ["page_num"])
+    return _longs(layout.merge_close(_boxed(words), ["page_num"]), "group_id", "x", "y", "x2", "y2")
+
+
+_INSIDE = "o.x >= s.x AND o.y >= s.y AND o.x2 <= s.x2 AND o.y2 <= s.y2"
+_SMALL_BOXES = "SELECT page_num, ord, x1 - x1 % 60 AS x, y1 - y1 % 200 AS y, x1 - x1 % 60 + 20 + (ord * 37) % 200 AS x2, y1 - y1 % 200 + 20 + (ord * 53) % 300 AS y2 FROM dv_boxes"
 
 
-@query("dv_boxes")
+@query(
+    "dv_boxes",
+    sql="WITH RECURSIVE " + ctes("dv_boxes")[5:].rstrip() + f""", o AS (SELECT *, row_number() OVER (PARTITION BY page_num ORDER BY y, x, ord) AS place FROM ({_SMALL_BOXES})),
+  s AS (SELECT *, true AS kept FROM o WHERE place = 1 UNION ALL SELECT o.page_num, o.ord, CASE WHEN {_INSIDE} THEN s.x ELSE o.x END, CASE WHEN {_INSIDE} THEN s.y ELSE o.y END, CASE WHEN {_INSIDE} THEN s.x2 ELSE o.x2 END, CASE WHEN {_INSIDE} THEN s.y2 ELSE o.y2 END, o.place, NOT ({_INSIDE}) FROM s JOIN o ON o.page_num = s.page_num AND o.place = s.place + 1)
+SELECT page_num, ord, x::BIGINT AS x, y::BIGINT AS y, x2::BIGINT AS x2, y2::BIGINT AS y2 FROM s WHERE kept""",
+)
 def g10_drop_contained(boxes):
-    return layout.drop_contained(boxes.select("page_num", "ord", col("x1").alias("x"), col("y1").alias("y"), "x2", "y2"), ["page_num"])
+    x, y = col("x1") - col("x1") % 60, col("y1") - col("y1") % 200
+    small = boxes.select("page_num", "ord", x.alias("x"), y.alias("y"), (x + 20 + col("ord") * 37 % 200).alias("x2"), (y + 20 + col("ord") * 53 % 300).alias("y2"))
+    return layout.drop_contained(small, ["page_num"])
 
 
-@query("dv_words")
+@query("dv_words", sql=_RECURSIVE_WORDS + _growing(_WORD_BOXES, "y, x, ord", _BELOW, ", h", "s.h", "o.h") + f" SELECT o.page_num, s.gid::BIGINT AS group_id, 'medium' AS size, {_GROUPED}, coalesce(string_agg(o.text, chr(10) ORDER BY o.place) FILTER (WHERE o.text <> ' '), '') AS text, count(*)::BIGINT AS n FROM o JOIN s USING (page_num, place) GROUP BY o.page_num, s.gid")
 def g11_merge_paragraphs(words):
-    return layout.merge_paragraphs(_boxed(words).withColumn("size", F.lit("medium")), ["page_num"])
+    return _longs(layout.merge_paragraphs(_boxed(words).withColumn("size", F.lit("medium")), ["page_num"]), "group_id", "x", "y", "x2", "y2")
 
 
 @query("dv_words")
@@ -552,10 +633,15 @@ def g18_k09_combine_lines(words):
     return layout.combine_lines(lines, other, ["page_num"], 1200, 400)
 
 
-@query("dv_boxes")
+@query(
+    "dv_boxes",
+    sql=ctes("dv_boxes") + """, b AS (SELECT page_num, ord, y1 / 999.0::DOUBLE AS y, y2 / 999.0::DOUBLE AS y2, replace(text, ' ', chr(10)) AS t FROM dv_boxes),
+  n AS (SELECT *, CASE WHEN y2 - y >= 0.02::DOUBLE AND len(list_filter(string_split(t, chr(10)), lambda s: trim(s) <> '')) >= 2 THEN list_filter(string_split(t, chr(10)), lambda s: trim(s) <> '') ELSE [t] END AS ls FROM b)
+SELECT page_num, ord, i::BIGINT AS line, ls[i + 1] AS text, round(y + i * ((y2 - y) / len(ls)), 9) AS y, round(y + (i + 1) * ((y2 - y) / len(ls)), 9) AS y2 FROM (SELECT *, unnest(range(len(ls))) AS i FROM n)""",
+)
 def g15_explode_lines(boxes):
     norm = boxes.select("page_num", "ord", F.replace("text", F.lit(" "), F.lit("\n")).alias("text"), (col("y1") / 999).alias("y"), (col("y2") / 999).alias("y2"))
-    return layout.explode_lines(norm)
+    return layout.explode_lines(norm).select("page_num", "ord", col("line").cast("long").alias("line"), "text", F.round("y", 9).alias("y"), F.round("y2", 9).alias("y2"))
 
 
 # ---- profiles
@@ -589,14 +675,29 @@ def b04_split_row(profile):
     return profiles.brightest(profile, ["page_num"], 500).select("page_num", col("split").cast("long").alias("split"))
 
 
-@query("dv_profile")
+@query(
+    "dv_profile",
+    sql=ctes("dv_profile") + """, b AS (SELECT p.page_num, k AS bin, (SELECT count(*) FROM dv_profile d WHERE d.page_num = p.page_num AND d.dark = k)::DOUBLE AS n FROM (SELECT DISTINCT page_num FROM dv_profile) p, (SELECT unnest(range(256)) AS k)),
+  c AS (SELECT page_num, bin, sum(n) OVER w AS w0, sum(bin * n) OVER w AS s0, sum(n) OVER (PARTITION BY page_num) AS w, sum(bin * n) OVER (PARTITION BY page_num) AS s FROM b WINDOW w AS (PARTITION BY page_num ORDER BY bin)),
+  v AS (SELECT page_num, bin, w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) AS between_classes FROM c WHERE w0 > 0 AND w - w0 > 0)
+SELECT page_num, min(bin)::BIGINT AS threshold FROM v JOIN (SELECT page_num, max(between_classes) AS between_classes FROM v GROUP BY page_num) USING (page_num, between_classes) GROUP BY page_num""",
+)
 def a17_otsu(profile):
-    return profiles.otsu(profile, ["page_num"], "dark")
+    return _longs(profiles.otsu(profile, ["page_num"], "dark"), "threshold")
 
 
-@query("dv_profile")
+@query(
+    "dv_profile",
+    sql=ctes("dv_profile") + """, g AS (SELECT *, pos - row_number() OVER (PARTITION BY page_num, dark < 1 ORDER BY pos) AS r FROM dv_profile),
+  l AS (SELECT *, dark < 1 AND count(*) OVER (PARTITION BY page_num, dark < 1, r) >= 5 AS wide FROM g),
+  z AS (SELECT *, sum(wide::INT) OVER (PARTITION BY page_num ORDER BY pos) AS part FROM l),
+  p AS (SELECT page_num, min(pos) AS s, max(pos) AS e FROM z WHERE NOT wide GROUP BY page_num, part HAVING max(pos) - min(pos) + 1 >= 5),
+  n AS (SELECT *, row_number() OVER (PARTITION BY page_num ORDER BY s) - 1 AS segment, count(*) OVER (PARTITION BY page_num) AS n FROM p)
+SELECT page_num, segment::BIGINT AS segment, s::BIGINT AS first, e::BIGINT AS last FROM n WHERE n > 1 UNION ALL SELECT page_num, 0, min(pos), max(pos) FROM dv_profile WHERE page_num NOT IN (SELECT page_num FROM n WHERE n > 1) GROUP BY page_num""",
+)
 def g13_splits(profile):
-    return profiles.splits(profile, ["page_num"], 1, 5)
+    s = profiles.splits(profile, ["page_num"], 1, 5)
+    return s.select("page_num", col("segment").cast("long").alias("segment"), col("start").cast("long").alias("first"), col("end").cast("long").alias("last"))
 
 
 @query("dv_words", sql=ctes("dv_words") + "SELECT page_num, y AS pos, sum(w)::BIGINT AS dark FROM dv_words GROUP BY page_num, y")
@@ -604,10 +705,18 @@ def a18_projection(words):
     return words.groupBy("page_num", col("y").alias("pos")).agg(F.sum("w").alias("dark"))
 
 
-@query("dv_words")
+_BANDS = "SELECT {k}, sum(CASE WHEN pos - p > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY pos ROWS UNBOUNDED PRECEDING) AS band, pos FROM (SELECT {k}, pos, lag(pos) OVER (PARTITION BY {k} ORDER BY pos) AS p FROM (SELECT DISTINCT {k}, {pos} AS pos FROM {t}))"
+
+
+@query(
+    "dv_words",
+    sql=ctes("dv_words") + f""", p AS (SELECT page_num, x // 10 AS x, y // 10 AS y FROM dv_words), r AS ({_BANDS.format(k='page_num', pos='y', t='p')}), q AS (SELECT p.page_num, r.band AS row_band, p.x, p.y FROM p JOIN r ON r.page_num = p.page_num AND r.pos = p.y),
+  c AS ({_BANDS.format(k='page_num, row_band', pos='x', t='q')}), t AS (SELECT page_num, band AS row_band, min(pos) AS y_min, max(pos) AS y_max FROM r GROUP BY ALL)
+SELECT page_num, row_band::BIGINT AS row_band, band::BIGINT AS band, min(pos)::BIGINT AS x_min, any_value(y_min)::BIGINT AS y_min, max(pos)::BIGINT AS x_max, any_value(y_max)::BIGINT AS y_max FROM c JOIN t USING (page_num, row_band) GROUP BY page_num, row_band, band""",
+)
 def b05_text_regions(words):
     pixels = words.select("page_num", (col("x") / 10).cast("int").alias("x"), (col("y") / 10).cast("int").alias("y"), F.lit(1).alias("dark"))
-    return profiles.text_regions(pixels, ["page_num"], 1, 1, 2)
+    return _longs(profiles.text_regions(pixels, ["page_num"], 1, 1, 2), "row_band", "band", "x_min", "y_min", "x_max", "y_max")
 
 
 # ---- joins, tables, placement
@@ -640,7 +749,12 @@ def k06_table_cells(boxes):
     return tables.table_cells(boxes.withColumn("row_id", col("block_type")), bounds, ["page_num"]).withColumn("col_id", col("col_id").cast("long"))
 
 
-@query("dv_boxes")
+_B01 = """, i AS (SELECT * FROM dv_boxes WHERE NOT (x2 < 100 OR 500 < x1 OR y2 < 100 OR 500 < y1)),
+  g AS (SELECT *, sum(CASE WHEN abs(c - p) > {tolerance} THEN 1 ELSE 0 END) OVER (PARTITION BY page_num ORDER BY c, ord ROWS UNBOUNDED PRECEDING) AS rid FROM (SELECT *, lag(c) OVER (PARTITION BY page_num ORDER BY c, ord) AS p FROM (SELECT *, (y1 + y2) // 2 AS c FROM i)))"""
+_B01_REST = "UNION ALL SELECT page_num, block_type, x1, y1, x2, y2, text, 0 FROM dv_boxes WHERE x2 < 100 OR 500 < x1 OR y2 < 100 OR 500 < y1"
+
+
+@query("dv_boxes", sql=ctes("dv_boxes") + _B01.format(tolerance=15) + f" SELECT page_num, 'table_row' AS block_type, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, string_agg(trim(text), chr(9) ORDER BY x1, c, ord) AS text, 1 AS part FROM g GROUP BY page_num, rid {_B01_REST}")
 def b01_rebuild_tables(boxes):
     regions = boxes.select("page_num").distinct().withColumns({"x1": F.lit(100), "y1": F.lit(100), "x2": F.lit(500), "y2": F.lit(500)})
     return tables.rebuild(boxes, regions, ["page_num"])
@@ -683,10 +797,52 @@ def l10_l12_t02_place(lines, boxes):
     return placement.place(_page_lines(lines), _positions(boxes), ["page_num"], 1000.0, 1000.0, 0.5, 0.5)
 
 
-@query("dv_boxes")
+_L16 = """, b AS (SELECT page_num, ord, x1 / 999.0::DOUBLE AS x, y1 / 999.0::DOUBLE AS y, x2 / 999.0::DOUBLE AS x2, y2 / 999.0::DOUBLE AS y2, list_filter(string_split(text, ' '), lambda s: trim(s) <> '') AS ls FROM dv_boxes),
+  p AS (SELECT *, (y2 - y) * 842 / len(ls) AS slot, unnest(range(len(ls))) AS i FROM b),
+  q AS (SELECT page_num, ord, i, ls, ls[i + 1] AS line, x * 595 AS x, 842 * (1 - y) - (i + 1) * slot AS y, (x2 - x) * 595 AS width, slot AS height FROM p)"""
+
+
+@query("dv_boxes", sql=ctes("dv_boxes") + _L16 + " SELECT page_num, ord, i::BIGINT AS i, line, round(x, 6) AS x, round(y, 6) AS y, round(width, 6) AS width, round(height, 6) AS height FROM (SELECT *, min(y) OVER (PARTITION BY page_num, ord ORDER BY i) AS low FROM q) WHERE low >= 0")
 def l16_block_lines(boxes):
     norm = boxes.select("page_num", "ord", F.replace("text", F.lit(" "), F.lit("\n")).alias("text"), *[(col(a) / 999).alias(b) for a, b in (("x1", "x"), ("y1", "y"), ("x2", "x2"), ("y2", "y2"))])
-    return placement.block_lines(norm, ["page_num", "ord"], 595.0, 842.0)
+    placed = placement.block_lines(norm, ["page_num", "ord"], 595.0, 842.0)
+    return placed.select("page_num", "ord", col("i").cast("long").alias("i"), "line", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
+
+
+_GLYPH = "CASE WHEN c = 'a' THEN 900.0::DOUBLE WHEN c BETWEEN 'b' AND 'y' THEN 400.0::DOUBLE + (ascii(c) - 98) * 20 ELSE 300.0::DOUBLE END"
+
+
+@query(
+    "dv_boxes",
+    sql=ctes("dv_boxes") + _L16 + f""", e AS (SELECT page_num, ord, max(w) AS em FROM (SELECT page_num, ord, i, sum({_GLYPH}) AS w FROM (SELECT page_num, ord, i, unnest(string_split(line, '')) AS c FROM q) GROUP BY ALL) GROUP BY ALL),
+  s AS (SELECT q.*, greatest(least(height, 48.0::DOUBLE), 3.0::DOUBLE) AS f, em FROM q JOIN e USING (page_num, ord)),
+  z AS (SELECT *, CASE WHEN width > 0 AND em * f / 1000 > width THEN greatest(f * width / (em * f / 1000), 3.0::DOUBLE) ELSE f END AS font FROM s),
+  k AS (SELECT *, y + height / 2 - font * (0.766::DOUBLE - 0.5::DOUBLE) AS baseline FROM z)
+SELECT page_num, ord, i::BIGINT AS i, line, round(font, 5) AS font, round(baseline, 5) AS baseline FROM (SELECT *, min(baseline) OVER (PARTITION BY page_num, ord ORDER BY i) AS low FROM k) WHERE low >= 0""",
+)
+def m13_l16_fitted_lines(boxes):
+    widths = boxes.sparkSession.range(98, 122).select(col("id").alias("code"), (400.0 + (col("id") - 98) * 20).alias("width"))
+    widths = widths.unionByName(boxes.sparkSession.createDataFrame([(97, 900.0), (-1, 300.0)], "code long, width double"))
+    norm = boxes.select("page_num", "ord", F.replace("text", F.lit(" "), F.lit("\n")).alias("text"), *[(col(a) / 999).alias(b) for a, b in (("x1", "x"), ("y1", "y"), ("x2", "x2"), ("y2", "y2"))])
+    placed = placement.block_lines(norm, ["page_num", "ord"], 595.0, 842.0, widths)
+    return placed.select("page_num", "ord", col("i").cast("long").alias("i"), "line", F.round("font", 5).alias("font"), F.round("baseline", 5).alias("baseline"))
+
+
+_GRID = "(SELECT page_num, CASE WHEN page_num % 4 = 0 THEN 15 ELSE greatest(floor((40 + page_num % 30) / 1000.0::DOUBLE * 999 / 2), 1)::BIGINT END AS tolerance, CASE WHEN page_num % 3 = 0 THEN []::BIGINT[] ELSE [99, floor((180 + page_num % 50) / 1000.0::DOUBLE * 999)::BIGINT, 299, 499] END AS b FROM (SELECT DISTINCT page_num FROM dv_boxes))"
+
+
+@query(
+    "dv_boxes",
+    sql=ctes("dv_boxes") + _B01.replace("FROM i)", "FROM i) q JOIN " + _GRID + " USING (page_num)").format(tolerance="tolerance") + f""",
+  c AS (SELECT page_num, rid, k, arg_min(trim(text), (c, ord)) FILTER (WHERE trim(text) <> '' AND (x1 + x2) // 2 >= b[k] AND (x1 + x2) // 2 < b[k + 1]) AS cell FROM g, (SELECT unnest([1, 2, 3]) AS k) WHERE len(b) > 0 GROUP BY page_num, rid, k),
+  t AS (SELECT page_num, rid, string_agg(coalesce(cell, ''), chr(9) ORDER BY k) AS text FROM c GROUP BY ALL)
+SELECT g.page_num, 'table_row' AS block_type, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, CASE WHEN any_value(len(b)) > 0 THEN any_value(t.text) ELSE string_agg(trim(g.text), chr(9) ORDER BY x1, c, ord) END AS text, 1 AS part FROM g LEFT JOIN t USING (page_num, rid) GROUP BY g.page_num, g.rid {_B01_REST}""",
+)
+def b01_a13_k06_grid_tables(boxes):
+    ys = F.when(col("page_num") % 4 == 0, F.array(F.lit(100))).otherwise(F.array(F.lit(100), 140 + col("page_num") % 30, 220 + col("page_num") % 30 * 2, 240 + col("page_num") % 30 * 3))
+    xs = F.when(col("page_num") % 3 == 0, F.array(F.lit(100))).otherwise(F.array(F.lit(100), 180 + col("page_num") % 50, F.lit(300), F.lit(500)))
+    found = boxes.select("page_num").distinct().select("page_num", F.lit(0).alias("region"), F.lit(101).alias("x"), F.lit(101).alias("y"), F.lit(400).alias("width"), F.lit(400).alias("height"), ys.alias("h_positions"), xs.alias("v_positions"))
+    return tables.rebuild(boxes, tables.on_grid(found, ["page_num"], 1000, 1000), ["page_num"], grid=tables.first_grid(found, ["page_num"], 1000, 1000))
 
 
 @query("documents", "labels", sql="SELECT d.doc_id, coalesce(l.quality, -1)::BIGINT AS quality, coalesce(l.toxic, -1)::BIGINT AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import is_valid_correction
-from quirefold.operators import grids, layout, pages, placement, tables, voting
+from quirefold.operators import grids, layout, pages, placement, profiles, tables, voting
 
 # --- grids
 
@@ -305,3 +305,9 @@ def test_tables_are_rebuilt_by_their_grids(spark):
     for x in tables.rebuild(b, tables.on_grid(t, ["page"], 1000, 1400), ["page"], grid=tables.first_grid(t, ["page"], 1000, 1400)).collect():
         got[x.page].append((x.block_type, x.x1, x.y1, x.x2, x.y2, x.text, x.part))
     assert {p: sorted(v) for p, v in got.items()} == want
+
+
+def test_regions_of_pixels_without_the_empty_ones(spark):
+    dark = [(1, x, y, 1) for x in (0, 1, 2, 20, 21) for y in (0, 1, 10)]
+    got = profiles.text_regions(spark.createDataFrame(dark, "page int, x int, y int, dark int"), ["page"], 1, 1, 2).collect()
+    assert sorted((r.x_min, r.y_min, r.x_max, r.y_max) for r in got) == [(0, 0, 2, 1), (0, 10, 2, 10), (20, 0, 21, 1), (20, 10, 21, 10)]
