@@ -97,6 +97,11 @@ def overlaps(a: list[Column], b: list[Column]) -> Column:
     return ~((a[2] < b[0]) | (b[2] < a[0]) | (a[3] < b[1]) | (b[3] < a[1]))
 
 
+def is_word(conf: Column, w: Column, h: Column, text: Column, least_conf: int = 30, least: int = 5) -> Column:
+    """a scanned word that is sure enough, not tiny and not blank."""
+    return (conf >= least_conf) & (w >= least) & (h >= least) & ~text.rlike(r"(?U)^\s*$")
+
+
 def is_noise(w: Column, h: Column, img_w: Column, img_h: Column) -> Column:
     """F10."""
     return (w < F.lit(0.008) * img_w) | (h < F.lit(0.004) * img_h) | (h / F.greatest(w, F.lit(1)) > 10)

@@ -149,21 +149,16 @@ def remove_repetition(c: Column) -> Column:
 
 def tables_to_text(c: Column) -> Column:
     """Cell boundaries become tabs, row ends line breaks; the other table tags go."""
-    c = F.regexp_replace(c, r"(?Ui)</td>\s*<td[^>]*>", "\t")
-    c = F.regexp_replace(c, "(?i)</tr>", "\n")
-    return F.regexp_replace(c, "(?i)</?(?:table|tr|td|tbody|thead|th)[^>]*>", "")
+    cells = F.regexp_replace(F.regexp_replace(c, "(?Ui)" + V.CELL_BOUNDARY, "\t"), "(?i)" + V.ROW_END, "\n")
+    return F.regexp_replace(cells, "(?i)" + V.TABLE_TAGS, "")
 
 
 def clean_line(c: Column, inline: bool = True) -> Column:
     """X03; without inline, paired marks inside a line stay."""
-    c = F.regexp_replace(c, r"<\|(?:ref|/ref|det|/det|grounding|User|Assistant)\|>:?", "")
-    c = F.regexp_replace(c, r"(?U)\[\[\s*\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*\d+\s*\]\]", "")
-    c = F.regexp_replace(c, "<[^>]+>", "")
-    c = F.regexp_replace(c, r"(?U)^(\s*)(#{1,6}\s+|`{3}|>\s*|-\s+)", "$1")
-    if inline:
-        c = F.regexp_replace(c, r"(?d)(\*{1,2}|_{1,2}|`)(.*?)\1", "$2")
-    c = F.regexp_replace(c, r"(?U)^\s*\||\|\s*$", "")
-    c = F.regexp_replace(c, "[\u2190-\u21ff\u2500-\u257f\u25a0-\u25ff\u2600-\u26ff\u2700-\u27bf]", "")
+    steps = [(V.RECOGNISER_MARKS, ""), ("(?U)" + V.COORDINATES, ""), (V.TAGS, ""), ("(?U)" + V.LINE_START_MARKS, "$1")]
+    steps += [("(?d)" + V.PAIRED_MARKS, "$2")] if inline else []
+    for pattern, left in [*steps, ("(?U)" + V.ROW_END_BARS, ""), (V.SYMBOLS, "")]:
+        c = F.regexp_replace(c, pattern, left)
     return strip(c)
 
 
@@ -178,7 +173,7 @@ def split_lines(c: Column) -> Column:
     return once(lines, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
-MATH_REGION = r"(?U)\$\$[\s\S]*?\$\$|\$[^$\n]+?\$|\\\([\s\S]*?\\\)|\\\[[\s\S]*?\\\]"
+MATH_REGION = "(?U)" + V.MATH_REGION
 
 
 def over_plain_text(c: Column, change) -> Column:
@@ -217,7 +212,7 @@ def clean_text(c: Column, correct=None) -> Column:
 
 def parse_refined(raw: Column, original: Column) -> Column:
     """The corrected text inside a model's answer, or the original."""
-    text = strip(F.regexp_replace(strip(raw), r"(?Ui)<think>[\s\S]*?</think>\s*", ""))
+    text = strip(F.regexp_replace(strip(raw), "(?Ui)" + V.THOUGHTS, ""))
     header = r"(?Uim)^" + V.CORRECTED_HEADER
     text = once(text, lambda x: F.when(x.rlike(header), strip(F.element_at(F.split(x, header, 2), -1))).otherwise(x))
     text = strip(F.element_at(F.split(text, r"(?Um)^-{3,}\s*$", -1), -1))
@@ -262,6 +257,14 @@ def classify(c: Column) -> Column:
     return F.when(is_blank(c), "korean").otherwise(once(content_scores(c), lambda s: class_of_scores(c, s)))
 
 
+REASONING = ("math", "code", "table")
+
+
+def needs_reasoning(c: Column) -> Column:
+    """texts of a class that a reasoning model looks at again."""
+    return classify(c).isin(*REASONING)
+
+
 def dominant_types(c: Column, least: float = 0.2) -> Column:
     """The classes with at least that share of all scores, in order; [korean] without any score."""
 
@@ -323,7 +326,7 @@ def prompt(c: Column, template: str, most: int = 2000) -> Column:
 
 def safe_name(c: Column) -> Column:
     """A file name without reserved characters, dots and spaces at its ends."""
-    name = F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"^[. ]+|[. ]+$", "")
+    name = F.regexp_replace(F.regexp_replace(c, V.RESERVED, "_"), r"^[. ]+|[. ]+$", "")
     return F.when(name == "", "output").otherwise(name)
 
 
@@ -331,7 +334,17 @@ def bytes_text(c: Column) -> Column:
     """B, KB, MB or GB with one decimal."""
     kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
     shown = lambda d, unit: F.format_string(f"%.1f {unit}", c / F.lit(d))
-    return F.when(c < kb, F.format_string("%d B", c)).when(c < mb, shown(kb, "KB")).when(c < gb, shown(mb, "MB")).otherwise(shown(gb, "GB"))
+    return F.when(c < kb, F.format_string("%d B", c.cast("long"))).when(c < mb, shown(kb, "KB")).when(c < gb, shown(mb, "MB")).otherwise(shown(gb, "GB"))
+
+
+def megabytes_text(mb: Column) -> Column:
+    """MB without decimals, or GB with one from 1024 MB on."""
+    return F.when(mb >= 1024, F.format_string("%.1f GB", mb.cast("double") / 1024)).otherwise(F.format_string("%.0f MB", mb.cast("double")))
+
+
+def percent_text(done: Column, total: Column) -> Column:
+    """A share in per cent with one decimal; 0.0 of nothing."""
+    return F.format_string("%.1f%%", F.when(total > 0, done / total * 100).otherwise(0.0))
 
 
 def duration_text(seconds: Column) -> Column:

@@ -80,6 +80,27 @@ TERMINATORS = ".?!다요음함됨임것수등0123456789①②③④⑤⑥⑦⑧
 GROUNDED_BLOCK = r"<\|ref\|>(.*?)<\|/ref\|>\s*<\|det\|>\[\[(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\]\]<\|/det\|>"
 GROUNDED_START = r"^([\w_]+)<\|/ref\|>\s*<\|det\|>\[\[(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\]\]<\|/det\|>"
 
+# The delimiters of formulas.
+MATH_REGION = r"\$\$[\s\S]*?\$\$|\$[^$\n]+?\$|\\\([\s\S]*?\\\)|\\\[[\s\S]*?\\\]"
+
+# Of HTML tables what becomes a tab, what a line break, and what goes (case doesn't count).
+CELL_BOUNDARY = r"</td>\s*<td[^>]*>"
+ROW_END = "</tr>"
+TABLE_TAGS = r"</?(?:table|tr|td|tbody|thead|th)[^>]*>"
+
+# Marks in a recognised line, in the order in which they go: of the recogniser, its coordinates, tags, those at a line's start, in pairs, at a table row's ends, and symbols.
+RECOGNISER_MARKS = r"<\|(?:ref|/ref|det|/det|grounding|User|Assistant)\|>:?"
+COORDINATES = r"\[\[\s*\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*\d+\s*\]\]"
+TAGS = "<[^>]+>"
+LINE_START_MARKS = r"^(\s*)(#{1,6}\s+|`{3}|>\s*|-\s+)"
+PAIRED_MARKS = r"(\*{1,2}|_{1,2}|`)(.*?)\1"
+ROW_END_BARS = r"^\s*\||\|\s*$"
+SYMBOLS = "[\u2190-\u21ff\u2500-\u257f\u25a0-\u25ff\u2600-\u26ff\u2700-\u27bf]"
+
+# Marks of a part of an answer in which a model thinks (case doesn't count), and of characters that file names can't have.
+THOUGHTS = r"<think>[\s\S]*?</think>\s*"
+RESERVED = r'[<>:"/\\|?*\x00-\x1f]'
+
 # Formula commands.
 DOUBLED_COMMANDS = ("frac", "sum", "int", "prod", "sqrt", "alpha", "beta", "gamma", "delta", "theta", "pi", "sigma", "lambda", "mu", "infty", "lim", "log", "sin", "cos", "tan")
 SUBSCRIPT_COMMANDS = ("sum", "prod", "int", "lim", "min", "max", "inf", "sup", "bigcup", "bigcap", "bigoplus")

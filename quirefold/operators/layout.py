@@ -62,6 +62,19 @@ def hull(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), *more)
 
 
+def page_hull(first: DataFrame, second: DataFrame, keys: list[str], least: int = 2, *more: Column) -> DataFrame:
+    """The box around the longer of a page's two lists of boxes, the first where they are as long; pages whose lists are both shorter than `least` go. n: boxes of that list."""
+    rows = [hull(df, keys, F.count("*").alias("n"), *more).withColumn("_list", F.lit(i)) for i, df in enumerate((first, second))]
+    best = Window.partitionBy(*keys).orderBy(F.desc("n"), "_list")
+    found = rows[0].unionByName(rows[1]).where(F.col("n") >= least)
+    return found.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "_list")
+
+
+def reading_order(boxes: DataFrame, keys: list[str], *by: Column | str, name: str = "reading") -> DataFrame:
+    """Boxes numbered from 1 in reading order: by (y, x) or what is given, then by ord."""
+    return boxes.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*(by or ("y", "x")), "ord")))
+
+
 def joined_text(order: list[str], separator: str = " ", name: str = "text") -> Column:
     """The non-blank texts of a group in order."""
     items = F.array_sort(F.collect_list(F.when(~F.col("text").rlike(r"(?U)^\s*$"), F.struct(*order, F.col("text").alias("_text")))))

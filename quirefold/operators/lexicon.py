@@ -18,6 +18,15 @@ def is_syllable(c: Column) -> Column:
     return F.ascii(c).between(BASE, LAST)
 
 
+def union_terms(*dictionaries: DataFrame) -> DataFrame:
+    """The distinct non-empty terms of dictionaries, of whose columns the first is the term."""
+    terms = [d.select(F.col(d.columns[0]).alias("term")) for d in dictionaries]
+    every = terms[0]
+    for t in terms[1:]:
+        every = every.unionByName(t)
+    return every.where("term != ''").distinct()
+
+
 def decompose(c: Column) -> Column:
     """(initial, vowel, final) of a syllable, null for other characters."""
     n = F.ascii(c) - BASE

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def projection(pixels: DataFrame, keys: list[str], axis: str = "y", weight: str | None = None) -> DataFrame:
+    """A page's dark pixels (keys..., x, y), or their weights, by row (axis y) or by column (axis x), as a profile."""
+    return pixels.groupBy(*keys, F.col(axis).alias("pos")).agg((F.sum(weight) if weight else F.count("*")).alias("dark"))
+
+
 def bands(profile: DataFrame, keys: list[str], min_density: float, min_size: int, merge_gap: int) -> DataFrame:
     """Runs of at least min_density and min_size, joined over gaps of at most merge_gap; ends are inclusive. Positions that the profile lacks are empty."""
     w = Window.partitionBy(*keys).orderBy("pos")
@@ -69,7 +74,7 @@ def brightest(profile: DataFrame, keys: list[str], size: int, within: float = 0.
 
 def text_regions(pixels: DataFrame, keys: list[str], min_density: float, min_size: int, merge_gap: int) -> DataFrame:
     """Bands of rows, and in each the bands of columns, of pixels (x, y, dark)."""
-    rows = bands(pixels.groupBy(*keys, F.col("y").alias("pos")).agg(F.sum("dark").alias("dark")), keys, min_density, min_size, merge_gap)
+    rows = bands(projection(pixels, keys, "y", "dark"), keys, min_density, min_size, merge_gap)
     inside = pixels.join(rows, keys).where(F.col("y").between(F.col("start"), F.col("end"))).groupBy(*keys, "band", F.col("x").alias("pos")).agg(F.sum("dark").alias("dark"))
     columns = bands(inside.withColumnRenamed("band", "row_band"), [*keys, "row_band"], min_density, min_size, merge_gap)
     tops = rows.select(*keys, F.col("band").alias("row_band"), F.col("start").alias("y_min"), F.col("end").alias("y_max"))

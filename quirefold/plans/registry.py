@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions import latex
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import layout, lexicon, pages, partitioning, placement, profiles, tables, voting
+from ..operators import catalogue, layout, lexicon, pages, partitioning, placement, profiles, tables, voting
 from ..streaming import jobs
 from .derived import ctes, read
 
@@ -43,6 +43,13 @@ LEAK_LINE = _q(r"(?i)^\s*\.?\s*(" + "|".join(V.LEAKAGE_STARTS) + ")")
 MATH, CODE, TABLE = (_q("(?m)" + "|".join(p)) for p in (V.MATH, V.CODE, V.TABLE))
 
 
+def _cleaned(c: str) -> str:
+    """The steps of X03 in SQL, but for paired marks."""
+    for pattern, left, every in ((V.RECOGNISER_MARKS, "", "g"), (V.COORDINATES, "", "g"), (V.TAGS, "", "g"), (V.LINE_START_MARKS, r"\1", ""), (V.ROW_END_BARS, "", "g"), (V.SYMBOLS, "", "g")):
+        c = f"regexp_replace({c}, {_q(pattern)}, {_q(left)}, {_q(every)})"
+    return c
+
+
 def _scores(c: str) -> str:
     n = lambda p: f"len(regexp_extract_all({c}, {p}))"
     share = lambda p: f"CASE WHEN length({c}) > 0 THEN {n(p)} / length({c})::DOUBLE ELSE 0.0::DOUBLE END"
@@ -127,7 +134,7 @@ def f07_f08_validity_whole(versions):
 
 @query(
     "pages",
-    sql=r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?i)</td>\s*<td[^>]*>', chr(9), 'g'), '(?i)</tr>', chr(10), 'g'), '(?i)</?(?:table|tr|td|tbody|thead|th)[^>]*>', '', 'g') AS text FROM pages""",
+    sql=f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, {_q('(?i)' + V.CELL_BOUNDARY)}, chr(9), 'g'), {_q('(?i)' + V.ROW_END)}, chr(10), 'g'), {_q('(?i)' + V.TABLE_TAGS)}, '', 'g') AS text FROM pages",
 )
 def x02_tables_to_text(pages):
     return pages.select("page_id", T.tables_to_text(col("html")).alias("text"))
@@ -136,7 +143,7 @@ def x02_tables_to_text(pages):
 @query(
     "dv_lines",
     sql=ctes("dv_lines")
-    + r"""SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '<\|(?:ref|/ref|det|/det|grounding|User|Assistant)\|>:?', '', 'g'), '\[\[\s*\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*\d+\s*\]\]', '', 'g'), '<[^>]+>', '', 'g'), '^(\s*)(#{1,6}\s+|`{3}|>\s*|-\s+)', '\1'), '^\s*\||\|\s*$', '', 'g'), '[←-⇿─-╿■-◿☀-⛿✀-➿]', '', 'g'), '^\s+|\s+$', '', 'g') AS line FROM dv_lines""",
+    + f"SELECT doc_id, i, {STRIP.format(_cleaned('line'))} AS line FROM dv_lines",
 )
 def x03_clean_line(lines):
     return lines.select("doc_id", "i", T.clean_line(col("line"), inline=False).alias("line"))
@@ -198,11 +205,16 @@ def l05_l06_braces_spaces(docs):
     return rows.select("doc_id", (F.char_length(latex.close_braces(col("t"))) - F.char_length("t")).cast("long").alias("missing"), F.md5(latex.spaces(col("t"))).alias("digest"))
 
 
-@query("part", sql="SELECT p_partkey, CASE WHEN n < 1024 THEN printf('%d B', n::BIGINT) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) ELSE printf('%.1f MB', n / 1048576) END AS size, CASE WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took FROM (SELECT p_partkey, (p_partkey * 1000 + 7)::DOUBLE AS n, p_partkey * 7 % 4000 AS s FROM part)")
+@query(
+    "part",
+    sql="""SELECT p_partkey, CASE WHEN n < 1024 THEN printf('%d B', n::BIGINT) WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5::DOUBLE) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n / 1048576 * 10 + 0.5::DOUBLE) / 10) ELSE printf('%.1f GB', floor(n / 1073741824 * 10 + 0.5::DOUBLE) / 10) END AS size,
+  CASE WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took, CASE WHEN m >= 1024 THEN printf('%.1f GB', floor(m / 1024.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) ELSE printf('%.0f MB', m::DOUBLE) END AS memory, printf('%.1f%%', s / 4099.0::DOUBLE * 100) AS share
+FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_partkey ELSE p_partkey * power(1000, p_partkey % 4) + 7 END::DOUBLE AS n, p_partkey * 7 % 4000 AS s, p_partkey * 3 % 5000 AS m FROM part)""",
+)
 def x17_display(part):
-    n = (col("p_partkey") * 1000 + 7).cast("double")
-    shown = F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(T.bytes_text(F.greatest(n, F.lit(1024.0))))
-    return part.select("p_partkey", shown.alias("size"), T.duration_text(col("p_partkey") * 7 % 4000).alias("took"))
+    key = col("p_partkey")
+    n = F.when(key % 4 == 0, key.cast("double")).otherwise(key * F.pow(F.lit(1000.0), key % 4) + 7)
+    return part.select("p_partkey", T.bytes_text(n).alias("size"), T.duration_text(key * 7 % 4000).alias("took"), T.megabytes_text(key * 3 % 5000).alias("memory"), T.percent_text(key * 7 % 4000, F.lit(4099)).alias("share"))
 
 
 @query("part", sql=r"""SELECT p_partkey, CASE WHEN n = '' THEN 'output' ELSE n END AS name FROM (SELECT p_partkey, regexp_replace(regexp_replace(p_name || ': a/b?.', '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS n FROM part)""")
@@ -244,7 +256,8 @@ def x14_classify_lines(lines):
 def f21_reasoning_pages(versions):
     n = col("doc_id") % 3
     page = F.when(n == 0, F.concat("original", F.repeat(F.lit(" $x$ "), F.lit(12)))).when(n == 1, F.concat("original", F.repeat(F.lit(" class A"), F.lit(12)))).otherwise(col("original"))
-    return versions.select("doc_id", "page_num", T.classify(page).alias("content")).where(col("content").isin("math", "code", "table"))
+    pages = versions.select("doc_id", "page_num", page.alias("text")).where(T.needs_reasoning(col("text")))
+    return pages.select("doc_id", "page_num", T.classify(col("text")).alias("content"))
 
 
 @query(
@@ -293,7 +306,7 @@ def k08_term_hits(versions, terms):
 @query("part", "nation", sql="SELECT DISTINCT term FROM (SELECT lower(unnest(string_split(p_name, ' '))) AS term FROM part UNION ALL SELECT lower(n_name) FROM nation) WHERE term <> ''")
 def u01_union_terms(part, nation):
     words = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
-    return words.union(nation.select(F.lower("n_name"))).where("term != ''").distinct()
+    return lexicon.union_terms(words, nation.select(F.lower("n_name")))
 
 
 def _hangul(spark_df, shift):
@@ -445,8 +458,7 @@ def m01_m02_m04_m05_boxes(boxes):
 )
 def f09_f10_f11_f12_size_filters(words):
     a = (col("w"), col("h"), F.lit(1200), F.lit(400))
-    word = (col("conf") >= 30) & (col("w") >= 5) & (col("h") >= 5) & (F.trim("text") != "")
-    return words.select("page_num", "ord", G.is_noise(*a).alias("noise"), G.is_large_enough(*a).alias("large"), G.is_text_size(*a).alias("fits"), word.alias("word"))
+    return words.select("page_num", "ord", G.is_noise(*a).alias("noise"), G.is_large_enough(*a).alias("large"), G.is_text_size(*a).alias("fits"), G.is_word(col("conf"), col("w"), col("h"), col("text")).alias("word"))
 
 
 @query("dv_boxes", sql=ctes("dv_boxes") + "SELECT a.page_num, a.ord, count(*)::BIGINT AS n FROM dv_boxes a JOIN dv_boxes b ON a.page_num = b.page_num AND NOT (a.x2 < b.x1 OR b.x2 < a.x1 OR a.y2 < b.y1 OR b.y2 < a.y1) GROUP BY 1, 2")
@@ -530,6 +542,31 @@ def a03_a12_page_hull(words):
     return h.where("n >= 2").select("page_num", "mid", col("x").cast("long").alias("x"), col("y2").cast("long").alias("y2"))
 
 
+@query(
+    "dv_words",
+    sql=ctes("dv_words") + """, h AS (SELECT page_num, conf % 3 = 0 AS second, min(x) AS x, min(y) AS y, max(x + w) AS x2, max(y + h) AS y2, count(*) AS n FROM dv_words WHERE conf % 3 = 0 OR page_num % 5 > 1 AND ord < 14 OR ord = 1 GROUP BY ALL)
+SELECT page_num, x::BIGINT AS x, y::BIGINT AS y, x2::BIGINT AS x2, y2::BIGINT AS y2, n::BIGINT AS n FROM h WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY page_num ORDER BY n DESC, second) = 1""",
+)
+def a03_longer_list(words):
+    words = _boxed(words)
+    first = words.where("conf % 3 != 0 AND (page_num % 5 > 1 AND ord < 14 OR ord = 1)")
+    return _longs(layout.page_hull(first, words.where("conf % 3 = 0"), ["page_num"]), "x", "y", "x2", "y2", "n")
+
+
+@query(
+    "part",
+    "supplier",
+    sql="""WITH c AS (SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 3 <> 0 THEN concat('k', s_suppkey % 40) END AS id, CASE WHEN s_suppkey % 4 <> 0 THEN concat('k', s_suppkey * 7 % 60) END AS alias, s_name AS name FROM supplier),
+  n AS (SELECT id AS key, 0 AS kind, ord, name FROM c WHERE id IS NOT NULL UNION ALL SELECT alias, 1, ord, name FROM c WHERE alias IS NOT NULL), f AS (SELECT key, name FROM n QUALIFY row_number() OVER (PARTITION BY key ORDER BY kind, ord) = 1)
+SELECT p_partkey, f.name FROM (SELECT p_partkey, concat('k', p_partkey % 70) AS key FROM part) p LEFT JOIN f USING (key)""",
+)
+def k10_catalogue(part, supplier):
+    key = lambda n: F.concat(F.lit("k"), n.cast("string"))
+    n = col("s_suppkey")
+    entries = supplier.select(n.alias("ord"), F.when(n % 3 != 0, key(n % 40)).alias("id"), F.when(n % 4 != 0, key(n * 7 % 60)).alias("alias"), col("s_name").alias("name"))
+    return catalogue.lookup(part.select("p_partkey", key(col("p_partkey") % 70).alias("key")), entries, "key").select("p_partkey", "entry.name")
+
+
 @query("dv_boxes", sql=ctes("dv_boxes") + """SELECT page_num, ord, sum(CASE WHEN abs(c - p) > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY page_num ORDER BY c, ord ROWS UNBOUNDED PRECEDING)::BIGINT AS row_id FROM (SELECT *, lag(c) OVER (PARTITION BY page_num ORDER BY c, ord) AS p FROM (SELECT *, floor((y1 + y2) / 2)::BIGINT AS c FROM dv_boxes))""")
 def g07_table_rows(boxes):
     return layout.table_rows(boxes, ["page_num"]).select("page_num", "ord", col("row_id").cast("long").alias("row_id"))
@@ -702,7 +739,7 @@ def g13_splits(profile):
 
 @query("dv_words", sql=ctes("dv_words") + "SELECT page_num, y AS pos, sum(w)::BIGINT AS dark FROM dv_words GROUP BY page_num, y")
 def a18_projection(words):
-    return words.groupBy("page_num", col("y").alias("pos")).agg(F.sum("w").alias("dark"))
+    return profiles.projection(words, ["page_num"], "y", "w")
 
 
 _BANDS = "SELECT {k}, sum(CASE WHEN pos - p > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY pos ROWS UNBOUNDED PRECEDING) AS band, pos FROM (SELECT {k}, pos, lag(pos) OVER (PARTITION BY {k} ORDER BY pos) AS p FROM (SELECT DISTINCT {k}, {pos} AS pos FROM {t}))"
@@ -858,11 +895,10 @@ def f19_route(docs):
 _CODES = ", ".join(f"({_q(k)}, {_q(v)})" for k, v in V.ERRORS.items())
 
 
-@query("events", sql=f"WITH codes(code, message) AS (VALUES {_CODES}) SELECT c.code, c.message, count(*)::BIGINT AS n, c.code IN ('E010', 'E020', 'E021', 'E040') AS recoverable FROM events e JOIN codes c ON c.code = printf('E%03d', (e.event_id % 7) * 10 + 1) GROUP BY 1, 2")
+@query("events", sql=f"WITH codes(code, message) AS (VALUES {_CODES}) SELECT k.code, c.message, k.n, k.code IN ('E010', 'E020', 'E021', 'E040') AS recoverable FROM (SELECT printf('E%03d', event_id % 64) AS code, count(*)::BIGINT AS n FROM events GROUP BY 1) k LEFT JOIN codes c USING (code)")
 def f18_k10_error_lookup(events):
-    code = F.format_string("E%03d", col("event_id") % 7 * 10 + 1)
-    codes = events.sparkSession.createDataFrame(list(V.ERRORS.items()), "code string, message string")
-    return events.select(code.alias("code")).join(codes, "code").groupBy("code", "message").agg(F.count("*").alias("n")).withColumn("recoverable", col("code").isin(*V.RECOVERABLE))
+    code = F.format_string("E%03d", col("event_id") % 64)
+    return catalogue.with_messages(events.groupBy(code.alias("code")).agg(F.count("*").alias("n")))
 
 
 @query("dv_words", sql=ctes("dv_words") + """, p AS (SELECT *, CASE ord % 3 WHEN 0 THEN 6 WHEN 1 THEN 11 ELSE 3 END AS psm, CASE ord % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS rank FROM dv_words WHERE conf >= 10 AND trim(text) <> '' AND w >= 5 AND h >= 5), c AS (SELECT page_num, psm, rank, count(*) AS n FROM p GROUP BY ALL), b AS (SELECT page_num, coalesce(arg_min(psm, rank) FILTER (WHERE n >= 5), 3) AS psm FROM c GROUP BY page_num) SELECT p.page_num, p.ord, p.psm::BIGINT AS psm FROM p JOIN b USING (page_num, psm)""")
@@ -873,9 +909,7 @@ def s05_word_scan(words):
 
 @query("dv_words", sql=ctes("dv_words") + "SELECT page_num, ord, row_number() OVER (PARTITION BY page_num ORDER BY y, x, ord)::BIGINT AS reading FROM dv_words")
 def t01_reading_order(words):
-    from pyspark.sql import Window
-
-    return words.select("page_num", "ord", F.row_number().over(Window.partitionBy("page_num").orderBy("y", "x", "ord")).cast("long").alias("reading"))
+    return _longs(layout.reading_order(words, ["page_num"]), "reading").select("page_num", "ord", "reading")
 
 
 # ---- partitioning, jobs

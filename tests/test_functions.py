@@ -128,3 +128,69 @@ def test_syllables(spark):
     assert values(spark, [(0,)], "z int", lexicon.compose(F.lit(3), F.lit(5), F.lit(0)).alias("x"), lexicon.compose(F.lit(19), F.lit(0), F.lit(0)).alias("y")) == [("데", "?")]
     assert tuple(one(spark, "학교에서는", lexicon.strip_particle)) == ("학교", "에서는")
     assert one(spark, "나는", lexicon.strip_particle) is None
+
+
+def _plain_l02(s, cmds):
+    out, i = "", 0
+    while i < len(s):  # one of two backslashes before a command
+        double = s[i : i + 2] == "\\\\" and s.startswith(cmds, i + 2)
+        out += "\\" if double else s[i]
+        i += 2 if double else 1
+    s, out = out, ""
+    for i, ch in enumerate(s):
+        out += ch
+        if out.endswith("\\frac") and not s[i + 1 :].lstrip().startswith("{"):
+            out += "{}{}"
+    s, out = out, ""
+    for i, ch in enumerate(s):
+        out += "{" + ch + "}" if s[:i].endswith("\\sqrt") and ch.isascii() and ch.isalnum() else ch
+    return out
+
+
+def _plain_l03(s, cmds):
+    out = ""
+    for i, ch in enumerate(s):
+        out += "_" * (ch == "{" and s[:i].endswith(tuple("\\" + c for c in cmds))) + ch
+    s, out = out, ""
+    for i, ch in enumerate(s):
+        inside = s[i + 1 : s.find("}", i)] if ch == "{" and "}" in s[i:] else ""
+        scripted = inside and all(c.isspace() or c == "," or c.isascii() and c.isalnum() for c in inside)
+        out += "_" * bool(scripted and i >= 2 and s[i - 1].isascii() and s[i - 1].isalpha() and s[i - 2] not in "\\_") + ch
+    return out
+
+
+def _plain_l04(s):
+    if s.rstrip() and s.rstrip()[-1] in "_^":
+        s = s.rstrip()[:-1]
+    out, i = "", 0
+    while i < len(s):
+        j = i + 1
+        while s[i] in "_^" and j < len(s) and s[j].isascii() and s[j].isalnum():
+            j += 1
+        if j - i > 2 and not s[j:].startswith("{") and not (i and s[i - 1] == "\\"):
+            out += s[i] + "{" + s[i + 1 : j] + "}"
+            i = j
+        else:
+            out += s[i]
+            i += 1
+    return out
+
+
+def test_formula_repairs_against_plain_statements(spark):
+    import random
+
+    from quirefold.functions import values as V
+
+    r = random.Random(1)
+    parts = ["\\", "\\\\", "frac", "sqrt", "sum", "lim", "inf", "alpha", "{", "}", "_", "^", "a", "b", "x1", "12", " ", "  ", "\n", ",", "A{i}", "$", "é"]
+    texts = sorted({"".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(3000)})
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", latex.common_errors(F.col("x")).alias("a"), latex.missing_subscripts(F.col("x")).alias("b"), latex.scripts(F.col("x")).alias("c"))
+    for t in rows.collect():
+        assert (t.a, t.b, t.c) == (_plain_l02(t.x, V.DOUBLED_COMMANDS), _plain_l03(t.x, V.SUBSCRIPT_COMMANDS), _plain_l04(t.x)), t.x
+
+
+def test_display_of_small_and_large_numbers(spark):
+    got = spark.createDataFrame([(0.0,), (1023.0,), (1024.0,), (5.5e9,)], "n double").select(T.bytes_text(F.col("n")).alias("s")).collect()
+    assert [r.s for r in got] == ["0 B", "1023 B", "1.0 KB", "5.1 GB"]
+    got = spark.createDataFrame([(512, 3, 9), (1536, 0, 0)], "mb int, a int, b int").select(T.megabytes_text(F.col("mb")).alias("s"), T.percent_text(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [(r.s, r.p) for r in got] == [("512 MB", "33.3%"), ("1.5 GB", "0.0%")]
