@@ -2,9 +2,9 @@
 
 Sets are dealt into size bands. In a band whose largest set has u shingles, linked sets differ in at most
 d = floor(2u(100-p)/(100+p)) shingles. The feature domain is partitioned into n1 = floor(d/2) + 1 + spare parts, each of these
-into three, and of the three every subset of two is enumerated: each subset's shingles give one signature. At least 1 + spare
-of the n1 parts differ in no more than one shingle, so that two of their three subparts are equal: linked sets of a band have
-1 + spare signatures in common. A set that can be linked to one of the next band signs there as well. A signature without
+into two, and of the two every subset of one is enumerated: each subset's shingles give one signature. At least 1 + spare of
+the n1 parts differ in no more than one shingle, so that one of their subparts is equal: linked sets of a band have 1 + spare
+signatures in common. (Three subparts and subsets of two make half as many signatures again.) A set that can be linked to one of the next band signs there as well. A signature without
 shingles is left out of a set that has no more than `spare` of them.
 
 Sets with a common signature are candidates. They are not listed as pairs:
@@ -35,6 +35,8 @@ from .shingles import mix, shingle_sets
 K, PERCENT = 4, 85
 #: Ratio of a band's largest set to its smallest; buckets by which the shingles of a set are counted.
 WIDEN, BUCKETS = 1.4, 32
+#: Subparts of a part, of which all but one make a signature.
+SUBPARTS = 2
 
 _KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_shingles", "key1", "key2")])
 _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("need", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
@@ -72,16 +74,16 @@ def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     n, out, need = len(shingles), [], []
     place, value = mix(shingles, 11), mix(shingles, 12)
     for band, n1, spare in plan_of(n, percent):
-        cell = (place % np.uint64(3 * n1)).astype(np.int64)
-        sums, counts = np.zeros(3 * n1, np.uint64), np.bincount(cell, minlength=3 * n1)
+        cell = (place % np.uint64(SUBPARTS * n1)).astype(np.int64)
+        sums, counts = np.zeros(SUBPARTS * n1, np.uint64), np.bincount(cell, minlength=SUBPARTS * n1)
         with np.errstate(over="ignore"):
             np.add.at(sums, cell, value)
-            sums, counts = sums.reshape(n1, 3), counts.reshape(n1, 3)
+            sums, counts = sums.reshape(n1, SUBPARTS), counts.reshape(n1, SUBPARTS)
             # the subset without subpart j is the part less that subpart
             sums = (sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums).ravel()
             held = (counts.sum(axis=1, keepdims=True) - counts).ravel() > 0
-            found = mix(sums + mix(np.arange(3 * n1, dtype=np.uint64), band), 77)
-        empty = 3 * n1 - int(held.sum())
+            found = mix(sums + mix(np.arange(SUBPARTS * n1, dtype=np.uint64), band), 77)
+        empty = SUBPARTS * n1 - int(held.sum())
         if empty <= spare:
             found = found[held]
             need.append(1 + spare - empty)

@@ -10,12 +10,12 @@ import numpy as np
 PIECE_BYTES = 1 << 20
 
 _random = np.random.default_rng(20240607)
-_BYTE = _random.integers(1, 2**64, 256, dtype=np.uint64)
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]  # A-Z count as a-z
+#: A random value for each byte at each of 64 places; a word's hash is the sum over its bytes, from place 64 on times a random number for each 64 places.
+_BYTES = _random.integers(1, 2**64, (64, 256), dtype=np.uint64)
+_BYTES[:, ord("A") : ord("Z") + 1] = _BYTES[:, ord("a") : ord("z") + 1]  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE[_SPACE] = 0
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BYTES[:, _SPACE] = 0
 _PLACES = _random.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -28,11 +28,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(np.full(n, 0xD6E8FEB86659FD93, np.uint64))
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without ASCII white space, A-Z lower-cased) and the number of words up to each text."""
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
@@ -49,7 +44,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at[: starts[0]] = 0
     at[~word] = 0
     with np.errstate(over="ignore"):
-        hashes = np.add.reduceat(_BYTE[data] * _powers(int(at.max()) + 1)[at], starts)
+        values = _BYTES.ravel()[((at & 63) << 8) | data]
+        far = np.flatnonzero(at > 63)
+        values[far] *= mix(at[far].astype(np.uint64) >> np.uint64(6), 5) | np.uint64(1)
+        hashes = np.add.reduceat(values, starts)
     return mix(hashes), bounds
 
 

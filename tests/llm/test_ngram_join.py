@@ -133,3 +133,12 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(200, 100), (100, 150), (7, 7), (None, 3)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(51)) and got[200] == got[150] == got[100] == 100 and 7 in got
+
+
+def test_words_that_polynomial_hashes_confuse_stay_apart():
+    """The sequence of Thue and Morse and its complement have one hash modulo 2^64 under every polynomial."""
+    for n in (10, 11, 12):
+        bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+        a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+        one, two, upper = shingle_sets([a, b, a.upper()], 4)
+        assert one.tolist() != two.tolist() and one.tolist() == upper.tolist()
