@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express.
 
-Not here: fingerprints (64-bit hashes of Spark's own), toxicity (a trained model) and sharding (a tree); the tests compare these
-with brute force, held-out accuracy and the law that they promise.
+Not here: fingerprints (64-bit hashes of Spark's own), toxicity (a trained model), sharding (a tree) and packing (a tokenizer);
+the tests compare these with brute force, held-out accuracy and the law that they promise.
 """
 
 from __future__ import annotations
@@ -123,6 +123,31 @@ c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.p, c.p) AS p FROM c{i} c LEFT J
 SELECT k.vec_id, a.j::INTEGER AS cluster, a.distance, t.s AS cluster_inertia, (SELECT sum(s) FROM t)::BIGINT AS inertia, sha256(array_to_string(c.p, ',')) AS centroid_sha256 FROM kept k JOIN a{b.ROUNDS} a USING (r) JOIN t USING (j) JOIN c{b.ROUNDS} c USING (j)"""
 
 
+def _op13() -> str:
+    after = "[2, 2, 3, 2]"  # by state, from 1 on
+    kept = "CASE WHEN {s} = 0 AND x = 's' THEN 1 WHEN {s} IN (0, 1, 3) AND x = 'u' THEN 2 WHEN {s} = 2 AND x = 'a' THEN 3 END"
+    before = ", ".join(f"least(3 + v[{s + 1}], CASE WHEN forced THEN 99999999 ELSE least(2 + t + v[{after}[{s + 1}] + 1], coalesce(t + v[({kept.format(s=s)}) + 1], 99999999)) END)" for s in range(4))
+    return rf"""WITH RECURSIVE table256 AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, y: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda y: ascii(y)::BIGINT) AS code FROM conversations),
+dealt AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, code), lambda c, y: xor(crc[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM given, table256),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM dealt, range(2) r(i) WHERE kind <> 0 AND (i = 0 OR kind = 3)),
+placed AS (SELECT *, left(role, 1) AS x, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 64), left(text, 64)) AS k FROM damaged),
+faults AS (SELECT *, CASE WHEN final = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 3 WHEN final IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault, lag(x) OVER (PARTITION BY conv_id ORDER BY k) AS px FROM placed),
+turns AS MATERIALIZED (SELECT *, fault >= 2 AS forced, (fault = 1)::INTEGER AS t FROM faults),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 2) AS blank, count_if(fault = 3) AS duplicate, count_if(fault = 1) AS truncated, count_if(px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM turns GROUP BY conv_id),
+back AS (SELECT conv_id, n + 1 AS k, [0, 4, 2, 0]::BIGINT[] AS v FROM counts
+  UNION ALL SELECT conv_id, k, [least(w[1], 2 + least(w[3], 2 + w[4])), least(w[2], 2 + least(w[3], 2 + w[4])), least(w[3], 2 + w[4]), least(w[4], 2 + w[3])]::BIGINT[] FROM (SELECT b.conv_id, r.k, [{before}]::BIGINT[] AS w FROM back b JOIN turns r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.k = b.k - 1)),
+costs AS MATERIALIZED (SELECT * FROM back),
+walk AS (SELECT conv_id, 1::BIGINT AS k, 0 AS s, '' AS audit, []::VARCHAR[] AS lines FROM counts
+  UNION ALL SELECT conv_id, CASE WHEN edit = 'I' THEN k ELSE k + 1 END, CASE edit WHEN 'D' THEN s WHEN 'K' THEN {kept.format(s='s')} ELSE {after}[s + 1] END, audit || edit,
+    CASE edit WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, CASE WHEN s = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END) END
+  FROM (SELECT w.*, r.x, r.role, r.text, CASE WHEN r.k IS NOT NULL AND b.v[s + 1] = 3 + a.v[s + 1] THEN 'D' WHEN b.v[s + 1] = 2 + b.v[{after}[s + 1] + 1] THEN 'I' WHEN b.v[s + 1] = t + a.v[({kept.format(s='s')}) + 1] THEN 'K' ELSE 'R' END AS edit
+    FROM walk w JOIN costs b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.k = w.k LEFT JOIN turns r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.k = w.k LEFT JOIN costs a ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND a.k = w.k + 1 WHERE r.k IS NOT NULL OR b.v[s + 1] > 0)),
+ended AS (SELECT w.conv_id, audit, sha256(array_to_string(lines, chr(10))) AS digest FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.k = c.n + 1 AND w.s IN (0, 3) QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY length(audit) DESC) = 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.v[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN costs b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.k = 1 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op2_decontamination": OP2,
@@ -132,4 +157,5 @@ ORACLES: dict[str, str] = {
     "op8_mixing": OP8,
     "op10_chat_formatting": OP10,
     "op11_centroid_clustering": _op11(),
+    "op13_conversation_repair": _op13(),
 }

@@ -1,8 +1,8 @@
 """Convolutional text classifier for toxicity: hashed word embeddings, several filter widths, max pooling, trained in numpy.
 
 A word's vector is the sum of the hashed vectors of the word and of its first four and five bytes. Filters of width 1, 2 and 3
-slide over the word vectors of the whole text; each filter's maximum feeds a logistic unit. The model is fitted on the driver
-to a bounded sample of labelled rows. All other labelled rows outside the held-out fold are scored on the executors; histograms of
+slide over the word vectors of the whole text; each filter's maximum feeds a logistic unit. The model is fitted in one
+task to a bounded sample of labelled rows. All other labelled rows outside the held-out fold are scored on the executors; histograms of
 these scores calibrate the model and set a rejection threshold for each language. Scoring runs over Arrow batches on the executors.
 """
 
@@ -83,6 +83,13 @@ class Model:
     scale: tuple[float, float] = (1.0, 0.0)
     thresholds: dict[str, float] = field(default_factory=dict)
 
+    def __getstate__(self) -> dict:
+        """The embedding, most of the model, travels in half precision; what is scored anywhere has gone that way once."""
+        return self.__dict__ | {"embedding": self.embedding.astype(np.float16)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"embedding": state["embedding"].astype(np.float32)})
+
     def pooled(self, buckets: np.ndarray, begins: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Each text's maximum of each filter, and (if asked) at which word."""
         x = self.embedding[buckets[:, 0]]
@@ -254,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
         return None
     model = pickle.loads(done[0]["model"])
     fitted = docs.sparkSession.createDataFrame([(d,) for d in done[0]["fitted"]], "doc_id long")
+    del done
     others = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).join(F.broadcast(fitted), "doc_id", "left_anti")
     calibrate(model, _scored(docs, others, sum(counts.values()), model), counts)
     return model
