@@ -102,8 +102,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int =
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """docs, each row as often as the mix takes it; all columns stay.
 
-    Documents without words, which no mix of words can weigh, stay once.
+    Documents without words, which no mix of words can weigh, stay once. Rows of one id, source and size are alike to the mix;
+    where the cut falls among them, those of the smallest text hashes are taken.
     """
-    plan = mix(docs, **parameters).groupBy(F.col("doc_id").alias("__mixed")).agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1))).cast("int").alias("__copies"))
-    packed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"))
-    return packed.join(plan, F.col("__id").eqNullSafe(F.col("__mixed"))).where("__copies > 0").select(F.explode(F.array_repeat("__row", F.col("__copies"))).alias("__row")).select("__row.*")
+    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1))
+    plan = mix(docs, **parameters).groupBy(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"))
+    plan = plan.agg(F.min(copies).cast("int").alias("__low"), F.max(copies).cast("int").alias("__high"), F.count("*").alias("__rows"), F.sum(copies).alias("__all"))
+    packed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), count_words(F.col("text")).alias("__size"), F.xxhash64("text").alias("__hash"))
+    same = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))
+    planned = cut(plan.where("__high > 0"))
+    even, uneven = planned.where("__low = __high"), planned.where("__low != __high")
+    out = packed.join(even, same).select("__row", F.col("__low").alias("__copies"))
+    if not uneven.isEmpty():
+        place = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("__hash"))
+        # so many rows have the higher number of copies
+        higher = (F.col("__all") - F.col("__low") * F.col("__rows")) / (F.col("__high") - F.col("__low"))
+        parts = packed.join(uneven, same).withColumn("__place", place)
+        out = out.unionByName(parts.select("__row", F.when(F.col("__place") <= higher, F.col("__high")).otherwise(F.col("__low")).alias("__copies")).where("__copies > 0"))
+    return out.select(F.explode(F.array_repeat("__row", F.col("__copies"))).alias("__row")).select("__row.*")

@@ -298,3 +298,26 @@ def test_repair_of_nothing_and_with_other_columns(spark):
     assert _reported(spark, []) == []
     rows = [(4, 1, "user", "Hi.", 1, "x"), (4, 2, "assistant", "Ho.", None, None), (None, None, None, None, None, None)]
     assert _reported(spark, rows, "conv_id long, turn long, role string, text string, n int, fault string") == _plain_report([x[:4] for x in rows], [x[0] for x in rows])
+
+
+# --- mixing of repeated ids, and sharding by a plain tree --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("same_text", [False, True])
+def test_mixed_documents_follow_the_mix(spark, same_text):
+    from pyspark.sql import functions as F
+
+    from quirefold.llm import mixing
+
+    r = random.Random(11)
+    rows = []
+    for i in range(2000):
+        n = 20 if same_text else r.choice([0, 1, 3, 8, 20, 60])
+        rows.append((None if i % 50 == 0 else i // 2 if not same_text else i // 700, " ".join(["w"] * n) if n or i % 3 else None, r.choice(["a", "b", "c", None]), i, "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, size string")
+    taken = mixing.mix(docs)
+    words = lambda df, c: {x["source"]: x["n"] for x in df.groupBy("source").agg(F.sum(c).alias("n")).collect()}
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert words(mixed, mixing.count_words(F.col("text"))) == words(taken, F.col("taken"))
+    assert mixed.where("text IS NULL OR text = ''").count() == docs.where("text IS NULL OR text = ''").count()
