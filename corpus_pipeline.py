@@ -14,6 +14,10 @@ from quirefold.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from quirefold.llm.common import shared_folder, table
 
 
+#: Rows that the second stage broadcasts at most; its driver has run the first stage before.
+NEAR_BROADCAST_ROWS = 1_000_000
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under their language's threshold. The classifier learns from the labelled documents of the corpus."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
@@ -21,7 +25,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (five-word shingles, Jaccard 0.8 or more) the document of the smallest id."""
-    return ngram_join.keep_one_of_each_class(docs, k=5, percent=80)
+    return ngram_join.keep_one_of_each_class(docs, k=5, percent=80, broadcast_rows=NEAR_BROADCAST_ROWS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
