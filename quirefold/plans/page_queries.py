@@ -89,13 +89,15 @@ def a16_full_text(boxes):
 
 @query(
     "dv_boxes",
-    sql=ctes("dv_boxes") + """SELECT page_num, count(*)::BIGINT AS n_detected, count_if(ord % 2 = 0)::BIGINT AS n_sentences, count_if(ord % 4 = 0 AND page_num % 2 = 0)::BIGINT AS n_recognised,
-  coalesce(bool_or(ord % 4 = 0 AND page_num % 2 = 0), false) AS has_text FROM dv_boxes GROUP BY page_num""",
+    sql=ctes("dv_boxes") + """, k AS (SELECT page_num, ord, x1, y1, y2 - y1 AS h, text, y1 + (y2 - y1) / 2.0::DOUBLE AS c FROM dv_boxes WHERE ord % 4 = 0 AND page_num % 2 = 0),
+  r AS (SELECT *, sum(CASE WHEN abs(c - p) > 0.5::DOUBLE * h THEN 1 ELSE 0 END) OVER (PARTITION BY page_num ORDER BY y1, x1, ord ROWS UNBOUNDED PRECEDING) AS rid FROM (SELECT *, lag(c) OVER (PARTITION BY page_num ORDER BY y1, x1, ord) AS p FROM k)),
+  t AS (SELECT page_num, string_agg(line, chr(10) ORDER BY rid) AS text FROM (SELECT page_num, rid, coalesce(string_agg(text, chr(9) ORDER BY x1, ord) FILTER (WHERE trim(text) <> ''), '') AS line FROM r GROUP BY ALL) GROUP BY page_num)
+SELECT page_num, count(*)::BIGINT AS n_detected, count_if(ord % 2 = 0)::BIGINT AS n_sentences, count_if(ord % 4 = 0 AND page_num % 2 = 0)::BIGINT AS n_recognised, any_value(coalesce(t.text, '')) AS text FROM dv_boxes LEFT JOIN t USING (page_num) GROUP BY page_num""",
 )
 def a14_page_rollup(boxes):
     sized = boxes.select("page_num", "ord", col("x1").alias("x"), col("y1").alias("y"), "x2", "y2", (col("x2") - col("x1")).alias("w"), (col("y2") - col("y1")).alias("h"), "text")
     rows = pages.page_rollup(sized, sized.where("ord % 2 = 0"), sized.where("ord % 4 = 0 AND page_num % 2 = 0"), KEYS)
-    return rows.select("page_num", "n_detected", "n_sentences", "n_recognised", (col("text") != "").alias("has_text"))
+    return rows.select("page_num", "n_detected", "n_sentences", "n_recognised", "text")
 
 
 @query(
@@ -158,6 +160,20 @@ def l17_place_blocks(boxes):
     return rows.select("page_num", col("part").cast("long").alias("part"), "number", "line", *[F.round(c, 6).alias(c) for c in ("x", "width", "font", "baseline")])
 
 
+@query(
+    "dv_boxes",
+    sql=ctes("dv_boxes") + f""", b AS (SELECT page_num, ord, x1, y1, x2, y2, list_filter(list_transform(string_split(replace(text, ' ', CASE ord % 3 WHEN 0 THEN chr(10) ELSE chr(10) || ' ' || chr(10) || ' ' END), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS ls FROM dv_boxes WHERE block_type = 'text'),
+  z AS (SELECT page_num, ord, i, ls[i + 1] AS line, len(ls) AS n, {_POINTS} FROM (SELECT *, unnest(range(len(ls))) AS i FROM b)),
+  f AS (SELECT *, greatest(least(h / n, 48.0::DOUBLE), 3.0::DOUBLE) AS font FROM z)
+SELECT page_num, ord::BIGINT AS number, i::BIGINT AS i, line, round(font, 6) AS font, round(y + h - (i + 0.5::DOUBLE) * (h / n) - font * (0.766::DOUBLE - 0.5::DOUBLE), 6) AS baseline FROM f WHERE y + h - (i + 0.5::DOUBLE) * (h / n) - font * (0.766::DOUBLE - 0.5::DOUBLE) >= 0""",
+)
+def l17_place_lines(boxes):
+    breaks = F.when(col("ord") % 3 == 0, "\n").otherwise("\n \n ")
+    texts = boxes.where("block_type = 'text'").withColumn("text", F.replace(col("text"), F.lit(" "), breaks))
+    placed = pages.place_blocks(texts, KEYS, 595.0, 842.0, clean=F.trim)
+    return placed.select("page_num", "number", col("i").cast("long").alias("i"), "line", F.round("font", 6).alias("font"), F.round("baseline", 6).alias("baseline"))
+
+
 @query("dv_boxes", sql=ctes("dv_boxes") + f"SELECT page_num, number, round(x, 6) AS x, round(width, 6) AS width FROM (SELECT page_num, ord::BIGINT AS number, greatest(least((y2 - y1) / 999.0::DOUBLE * 842, 48.0::DOUBLE), 3.0::DOUBLE) AS font, {_POINTS} FROM dv_boxes WHERE block_type = 'text' AND trim(text) <> '') WHERE y + 0.5::DOUBLE * h - font * (0.766::DOUBLE - 0.5::DOUBLE) >= 0")
 def l18_positions_alone(boxes):
     placed = pages.without_text(pages.place_blocks(boxes.where("block_type = 'text'"), KEYS, 595.0, 842.0))

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from quirefold.functions import values as V
-from quirefold.plans import derived, grid_queries, page_queries, registry  # noqa: F401  (importing registers)
+from quirefold.plans import derived, grid_queries, page_queries, registry, text_queries  # noqa: F401  (importing registers)
 
 SF = "/root/testdata/sf0.001"
 
