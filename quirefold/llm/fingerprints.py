@@ -31,7 +31,8 @@ _STOPS = (
     r"\u1AA8-\u1AAB\u1B5A\u1B5B\u1B5E\u1B5F\u1C3B\u1C3C\u1C7E\u1C7F\u203C\u203D\u2047-\u2049\u2E2E\u2E3C\u3002\uA4FF\uA60E\uA60F\uA6F3\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F\uA9C8\uA9C9"
     r"\uAA5D-\uAA5F\uAAF0\uAAF1\uABEB\uFE52\uFE56\uFE57\uFF01\uFF0E\uFF1F\uFF61"
 )
-_SENTENCE_END = rf"([.!?\u2026]+{_CLOSERS}){_SPACE}+|([{_STOPS}][{_STOPS}.!?\u2026]*{_CLOSERS}){_SPACE}*"
+#: The first look spares the characters before all of these stops, most of most texts, the long class.
+_SENTENCE_END = rf"([.!?\u2026]+{_CLOSERS}){_SPACE}+|((?=[\u0589-\uFF61])[{_STOPS}][{_STOPS}.!?\u2026]*{_CLOSERS}){_SPACE}*"
 #: A character of a script without spaces, a word of at most 64 characters, or a character of a longer one; with the white space after it.
 _SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
 _WORD = rf"[{_SPACELESS}]\s*|(?<![^\s{_SPACELESS}])[^\s{_SPACELESS}]{{1,64}}(?![^\s{_SPACELESS}])\s*|\S\s*|\s+"
