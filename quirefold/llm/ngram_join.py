@@ -93,14 +93,18 @@ def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     return (np.concatenate(out), min(need)) if out else (shingles[:0], 1)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of few rows, so that few texts at once are Python strings."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        n, one, two = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-        for i, s in enumerate(shingle_sets(texts, k)):
-            n[i] = len(s)
-            one[i], two[i] = np.sum(mix(s, 3), dtype=np.uint64), np.sum(mix(s, 4), dtype=np.uint64)
-        yield pa.record_batch([ids, pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=_KEYS.names)
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        sets = shingle_sets(batch.column(1).to_pylist(), k)
+        n, one, two = zip(*[(len(s), np.sum(mix(s, 3), dtype=np.uint64), np.sum(mix(s, 4), dtype=np.uint64)) for s in sets], strict=True)
+        yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]], names=_KEYS.names)
 
 
 def _longs(lists: list[np.ndarray]) -> pa.ListArray:
@@ -110,30 +114,23 @@ def _longs(lists: list[np.ndarray]) -> pa.ListArray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        step = 256
-        for first in range(0, len(texts), step):
-            lists, need = zip(*[signatures(s, percent) for s in shingle_sets(texts[first : first + step], k)], strict=True)
-            yield pa.record_batch([batch.column(0).slice(first, step), pa.array(need, pa.int64()), _longs(lists)], names=_SIGNED.names)
+    for batch in _slices(batches):
+        lists, need = zip(*[signatures(s, percent) for s in shingle_sets(batch.column(1).to_pylist(), k)], strict=True)
+        yield pa.record_batch([batch.column(0), pa.array(need, pa.int64()), _longs(lists)], names=_SIGNED.names)
 
 
 def _listed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        step = 256
-        for first in range(0, len(texts), step):
-            lists = list(shingle_sets(texts[first : first + step], k))
-            counts = [np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).tolist() for s in lists]
-            yield pa.record_batch([batch.column(0).slice(first, step), pa.array(counts, pa.list_(pa.int32())), _longs(lists)], names=_LISTED.names)
+    for batch in _slices(batches):
+        lists = list(shingle_sets(batch.column(1).to_pylist(), k))
+        counts = [np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).tolist() for s in lists]
+        yield pa.record_batch([batch.column(0), pa.array(counts, pa.list_(pa.int32())), _longs(lists)], names=_LISTED.names)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = np.zeros(len(left), bool)
-        last, s = "", np.zeros(0, np.uint64)
-        for i, (x, y) in enumerate(zip(left, right, strict=True)):
+    last, s = None, np.zeros(0, np.uint64)
+    for batch in _slices(batches):
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             if x != last:
                 last, s = x, next(shingle_sets([x], k))
             t = next(shingle_sets([y], k))
