@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -48,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does so when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the counted rows keep the limit; otherwise leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df

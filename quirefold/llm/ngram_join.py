@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_broadcast, cut, keep_where
+from .common import bounded_broadcast, cut, free_shuffles, keep_where
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -151,6 +151,7 @@ def shared_signatures(nodes: DataFrame, k: int, percent: int, **limit) -> DataFr
     signed = nodes.select("doc_id", "text").mapInArrow(partial(_signed, k=k, percent=percent), _SIGNED).where(F.size("signatures") > 0)
     rows = signed.select("doc_id", "need", F.explode("signatures").alias("signature"))
     again = cut(rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("need").alias("least")).where("n > 1"))
+    free_shuffles(nodes.sparkSession)
     shared = rows.join(bounded_broadcast(again, again.count(), **limit), "signature")
     # a pair shares as many as the lesser need of its two sets
     by_doc = shared.groupBy("doc_id", "need").agg(F.count("*").alias("own"), F.min("least").alias("least"), F.sum(F.col("n") - 1).alias("company"), F.collect_list("signature").alias("signatures"))
@@ -225,7 +226,9 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broa
         return cut(right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(partial(_linked, k=k, percent=percent), _PAIRS).distinct())
 
     shared = shared_signatures(nodes, k, percent, **limit)
+    free_shuffles(docs.sparkSession)
     links = verify(hubs(shared, **limit))
+    free_shuffles(docs.sparkSession)
     several = cut(sizes.where("several").select("doc_id"))
     if not several.isEmpty():
         # the sets of one document are one node
@@ -234,8 +237,10 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broa
         links = cut(links.unionByName(own.select("a", F.col("first_id").alias("b"))))
     component = connected_components(links)
     apart = cut(_still_apart(shared, component, **limit))
+    free_shuffles(docs.sparkSession)
     crowded = apart.where("members > 2")
-    facts = _bounds(crowded, texts, k, **limit).join(sizes.where("NOT several").select("doc_id", "size"), "doc_id")
+    facts = cut(_bounds(crowded, texts, k, **limit).join(sizes.where("NOT several").select("doc_id", "size"), "doc_id"))
+    free_shuffles(docs.sparkSession)
     apart = apart.join(facts, "doc_id", "left")
     # one document alone that holds more shingles of its own than a link allows has none
     hopeless = 100 * F.col("alone") > (100 - percent) * F.col("size")
