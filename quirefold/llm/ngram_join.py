@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_broadcast, cut, free_shuffles, keep_where
+from .common import arrow_rows, bounded_broadcast, cut, free_shuffles, keep_where
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
 K, PERCENT = 4, 85
 #: Ratio of a band's largest set to its smallest; buckets by which the shingles of a set are counted.
 WIDEN, BUCKETS = 1.4, 32
+#: Texts of an Arrow batch where whole rows of a corpus are deduplicated.
+ARROW_ROWS = 1024
 #: Subparts of a part, of which all but one make a signature.
 SUBPARTS = 2
 
@@ -273,7 +275,8 @@ def keep_one_of_each_class(docs: DataFrame, **parameters) -> DataFrame:
 
     Repeated rows of a kept doc_id collapse to one of them.
     """
-    classes = cut(similarity_classes(docs, **parameters))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        classes = cut(similarity_classes(docs, **parameters))
     gone = cut(classes.where("doc_id != component_id").select("doc_id").distinct())
     kept = keep_where(docs, gone, gone.count(), anti=True)
     repeated = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
