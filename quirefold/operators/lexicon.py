@@ -6,6 +6,7 @@ leads to exactly one term is corrected to it. The tables grow with the dictionar
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,20 +150,51 @@ def known_words(words: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(terms.select(F.col("term").alias("_t")).distinct(), words["word"] == F.col("_t"), "left_semi")
 
 
-def term_hits(lines: DataFrame, keys: list[str], terms: DataFrame, line: str = "line") -> DataFrame:
+def term_hits(lines: DataFrame, keys: list[str], terms: DataFrame, line: str = "line", few: int = 500_000) -> DataFrame:
     """How many terms of two characters or more a line holds as substrings, by keys.
 
-    A term is found by its characters: every substring of a line of a term's length is looked up, so the join is on equality
-    and the terms aren't compared with every line.
+    Terms are looked up by equality at every place of a line: first the beginning, of four characters at most, which says how
+    long the terms that begin so are, then those lengths alone. Up to `few` terms go to the tasks, so that places are looked up
+    where they are read; more are joined.
     """
     long = terms.where(F.char_length("term") >= 2).select("term").distinct()
-    sizes = [r["n"] for r in long.select(F.char_length("term").alias("n")).distinct().collect()]  # as many as there are term lengths
-    n = F.char_length(line)
-    none = F.array().cast("array<string>")
-    parts = F.array_distinct(F.flatten(F.array(none, *[F.when(n >= s, _substrings(F.col(line), s)).otherwise(none) for s in sorted(sizes)])))
-    found = lines.select(*keys, F.explode(parts).alias("term")).join(long, "term").groupBy(*keys).agg(F.count("*").alias("hits"))
-    return lines.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("hits", F.lit(0)).alias("hits"))
+    known = [r["term"] for r in long.limit(few + 1).collect()]
+    counted = _hits_in_tasks(lines, keys, known, line) if len(known) <= few else _hits_by_join(lines, keys, long, line)
+    return counted.groupBy(*keys).agg(F.sum("hits").alias("hits"))
+
+
+def _hits_in_tasks(lines: DataFrame, keys: list[str], known: list[str], line: str) -> DataFrame:
+    every, sizes = frozenset(known), {}
+    for t in known:
+        sizes.setdefault(t[:4], set()).add(len(t))
+    heads = sorted({len(h) for h in sizes})
+
+    def held(text: str) -> int:
+        found = set()
+        for h in heads:
+            for i in range(len(text) - h + 1):
+                for n in sizes.get(text[i : i + h], ()):
+                    found.add(text[i : i + n])
+        return len(found & every)
 
+    @F.pandas_udf("long")
+    def hits(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: held(t) if t else 0)
 
-def _substrings(c: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - size + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(size)))
+    return lines.select(*keys, hits(F.col(line)).alias("hits"))
+
+
+def _hits_by_join(lines: DataFrame, keys: list[str], long: DataFrame, line: str, block: int = 64) -> DataFrame:
+    """Lines are read in blocks, as a place in a text is found from its start, and stand as two hashes of their text."""
+    heads = long.groupBy(F.substring("term", 1, 4).alias("_head")).agg(F.collect_set(F.char_length("term")).alias("_sizes"))
+    most = long.agg(F.max(F.char_length("term"))).first()[0]
+    n = F.char_length(line)
+    marks = [F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(1), line).alias("_h2")]
+    starts = F.transform(F.sequence(F.lit(1), n - 1, F.lit(block)), lambda k: F.substr(F.col(line), k, F.lit(block + most - 1)))
+    pieces = lines.where(n >= 2).select(*marks, F.explode(starts).alias("_piece"))
+    places = F.sequence(F.lit(1), F.least(F.char_length("_piece") - 1, F.lit(block)))
+    part = lambda size: F.substr(F.col("_piece"), F.col("_at"), size)
+    begun = pieces.select("_h1", "_h2", "_piece", F.explode(places).alias("_at")).select("*", F.explode(F.array(*[part(F.lit(h)) for h in (2, 3, 4)])).alias("_head"))
+    sized = begun.join(heads, "_head").select("_h1", "_h2", "_piece", "_at", F.explode("_sizes").alias("_size"))
+    found = sized.select("_h1", "_h2", part(F.col("_size")).alias("term")).join(long, "term").groupBy("_h1", "_h2").agg(F.count_distinct("term").alias("hits"))
+    return lines.select(*keys, *marks).join(found, ["_h1", "_h2"], "left").select(*keys, F.coalesce("hits", F.lit(0)).alias("hits"))
