@@ -42,15 +42,17 @@ def vote_lines(pages: DataFrame, keys: list[str], terms: DataFrame | None = None
     """Lines (keys..., i, line, source, content) of pages (keys..., original, v0, v1, v2)."""
     from .lexicon import term_hits
 
-    lines = zip_lines(pages, keys, ["original", "v0", "v1", "v2"]).join(pages.select(*keys, classify(F.col("original")).alias("content")), keys)
+    lines = zip_lines(pages.withColumn("content", classify(F.col("original"))), [*keys, "content"], ["original", "v0", "v1", "v2"])
     hits = None
     if terms is not None:
         candidates = ("v0", "v1", "v2")
-        long = lines.select(*keys, "i", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), strip(F.col(v)).alias("line")) for v in candidates])).alias("c")).select(*keys, "i", "c.*")
+        # where all candidates agree no dictionary is asked
+        open_lines = lines.where(~((strip(F.col("v0")) == strip(F.col("v1"))) & (strip(F.col("v1")) == strip(F.col("v2")))))
+        long = open_lines.select(*keys, "i", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), strip(F.col(v)).alias("line")) for v in candidates])).alias("c")).select(*keys, "i", "c.*")
         counted = long.join(term_hits(long.select("line").distinct(), ["line"], terms), "line")
         wide = counted.groupBy(*keys, "i").agg(*[F.max(F.when(F.col("v") == v, F.col("hits"))).alias(f"_h{v}") for v in candidates])
-        lines = lines.join(wide, [*keys, "i"])
-        hits = tuple(F.coalesce(f"_h{v}", F.lit(0)) for v in ("v0", "v1", "v2"))
+        lines = lines.join(wide, [*keys, "i"], "left")
+        hits = tuple(F.coalesce(f"_h{v}", F.lit(0)) for v in candidates)
     voted = vote(F.col("original"), F.col("v0"), F.col("v1"), F.col("v2"), F.col("content"), hits)
     return lines.select(*keys, "i", "content", voted.alias("_v")).select(*keys, "i", "content", "_v.line", "_v.source")
 

@@ -88,6 +88,31 @@ def test_corrections(spark):
     assert {r["line"]: r["hits"] for r in hits} == {"하둡 하둡 결과": 2, "none": 0}
 
 
+def test_term_hits_look_up_places(spark):
+    from quirefold.operators.lexicon import _hits_by_join, term_hits
+
+    words = ["ab", "abc", "abcd", "abcde", "cdefg", "b\U0001f600", "z z", "x"]
+    texts = ["", "a", "abcde abcde", "xabz z", "-" * 61 + "abcdefg", "-" * 130 + "cdefg b\U0001f600", None]
+    terms, lines = spark.createDataFrame([(w,) for w in [*words, "ab"]], "term string"), spark.createDataFrame([(t,) for t in texts], "line string")
+    expected = {t: sum(w in t for w in words if len(w) > 1) if t else 0 for t in texts}
+    counted = term_hits(lines, ["line"], terms)
+    # places are looked up where they are read: only whole lines are exchanged
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert {r["line"]: r["hits"] for r in counted.collect()} == expected
+    assert {r["line"]: r["hits"] for r in term_hits(lines, ["line"], terms, few=2).collect()} == expected
+    long = terms.where("length(term) >= 2").distinct()
+    assert {r["line"]: r["hits"] for r in _hits_by_join(lines, ["line"], long, "line", block=3).collect()} == expected
+    assert {r["hits"] for r in term_hits(lines, ["line"], terms.where("false")).collect()} == {0}
+
+
+def test_vote_asks_no_dictionary_where_candidates_agree(spark):
+    pages = spark.createDataFrame([(1, "o\np", "same\nq term", "same\nq", "same\nr"), (1, "o", "x", "y", "term")], "page int, original string, v0 string, v1 string, v2 string")
+    got = voting.vote_lines(pages.where("v0 <> 'x'"), ["page"], spark.createDataFrame([("term",)], "term string")).collect()
+    assert sorted((r["i"], r["line"], r["source"]) for r in got) == [(0, "same", "unanimous"), (1, "q term", "dictionary")]
+    # pages that share their key keep one row a line
+    assert voting.vote_lines(pages, ["page"]).count() == 3
+
+
 def test_votes(spark):
     rows = spark.createDataFrame([("english", "p", "q", "r"), ("korean", "p", "q", "r"), ("code", "p", "q", "r"), ("code", "x", "x", "y"), ("code", " ", "", "")], "k string, a string, b string, c string")
     got = rows.select(voting.vote(F.lit("o"), F.col("a"), F.col("b"), F.col("c"), F.col("k")).alias("v")).collect()
