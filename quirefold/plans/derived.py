@@ -95,6 +95,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "dv_gray":
         rows = read(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 120).alias("page_num"), (F.col("event_id") % 120).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))).alias("x"))
         return rows.select("page_num", "x", "y", F.expr(GRAY).alias("gray"))
+    if name == "dv_gray_rows":  # dv_gray with a row for each of an image's rows
+        rows = read(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 120).alias("page_num"), (F.col("event_id") % 120).alias("y"), F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long")).alias("xs"))
+        return rows.select("page_num", "y", F.col("xs").alias("x"), F.expr(f"transform(xs, x -> cast({GRAY} AS SMALLINT))").alias("gray"))
     if name == "dv_terms":
         return read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("term")).where("length(term) >= 4").distinct()
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

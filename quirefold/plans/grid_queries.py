@@ -36,7 +36,7 @@ def b02_table_regions(pixels):
 
 
 @query(
-    "dv_gray",
+    "dv_gray_rows",
     sql=ctes("dv_gray") + """, b AS (SELECT page_num, y // 100 AS k, avg(gray) AS m, stddev_pop(gray) AS s FROM dv_gray GROUP BY ALL),
   d AS (SELECT g.page_num, x, y FROM dv_gray g JOIN b ON b.page_num = g.page_num AND b.k = g.y // 100 WHERE s >= 10 AND gray < greatest(m - s * 0.8::DOUBLE, 80.0::DOUBLE)),
   n AS (SELECT r.page_num, r.y, count(d.x) AS n FROM (SELECT DISTINCT page_num, y FROM dv_gray) r LEFT JOIN d USING (page_num, y) GROUP BY ALL),

@@ -117,6 +117,17 @@ def test_quarter_takes_the_middle_pixels(spark, size):
     assert got == {(x, y) for x in range(nw) for y in range(nh)} and grids.quarter(pixels, ["page"], w, h).count() == nw * nh
 
 
+def test_text_lines_exchange_image_rows_once(spark):
+    r = random.Random(9)
+    shade = {(p, x, y): 230 if y % 11 > 6 or x > 50 - p else r.randint(0, 90) for p in range(3) for x in range(60) for y in range(130)}
+    pixels = spark.createDataFrame([(p, x, y, g) for (p, x, y), g in shade.items()], "page int, x int, y int, gray int")
+    rows = spark.createDataFrame([(p, y, list(range(60)), [shade[p, x, y] for x in range(60)]) for p in range(3) for y in range(130)], "page int, y int, x array<int>, gray array<int>")
+    found = grids.text_lines(rows, ["page"], 60, 130)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, grids.text_lines(pixels, ["page"], 60, 130).collect())) and found.count() > 9
+    plan = grids.text_lines(rows, ["page"], 60, 130)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_text_lines_on_grey_images(spark):
     r, w, h, rows = random.Random(5), 40, 230, []
     for p in range(4):
