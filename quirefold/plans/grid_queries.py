@@ -22,17 +22,17 @@ def _edges(runs: str) -> str:
 
 
 @query(
-    "dv_pixels",
+    "dv_strokes",
     sql=ctes("dv_pixels") + f"""SELECT p.page_num, coalesce(h.n, 0)::BIGINT AS h_lines, coalesce(v.n, 0)::BIGINT AS v_lines, coalesce(h.n, 0) >= 2 AND coalesce(v.n, 0) >= 2 AS has_grid
 FROM (SELECT DISTINCT page_num FROM dv_pixels) p LEFT JOIN {_edges(_runs('y', 'x', 5))} h USING (page_num) LEFT JOIN {_edges(_runs('x', 'y', 5))} v USING (page_num)""",
 )
-def b03_quick_table(pixels):
-    return grids.has_table(pixels, KEYS, 100, 100).withColumnRenamed("table", "has_grid")
+def b03_quick_table(strokes):
+    return grids.has_table(strokes, KEYS, 100, 100).withColumnRenamed("table", "has_grid")
 
 
-@query("dv_pixels")
-def b02_table_regions(pixels):
-    return grids.table_regions(pixels, KEYS, 100, 100)
+@query("dv_strokes")
+def b02_table_regions(strokes):
+    return grids.table_regions(strokes, KEYS, 100, 100)
 
 
 @query(

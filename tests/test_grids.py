@@ -108,6 +108,23 @@ def test_table_regions_on_random_grids(spark):
     assert grids.table_regions(pixels.limit(0), ["page"], w, h).collect() == []
 
 
+def test_strokes_stay_whole(spark):
+    r, strokes = random.Random(4), []
+    for p in range(12):
+        x, y, cell = r.randint(2, 12), r.randint(2, 12), r.randint(9, 14)
+        for i in range(4):
+            strokes += [(p, x, y + i * cell, x + 3 * cell - r.randint(0, 3), y + i * cell), (p, x + i * cell, y, x + i * cell, y + 3 * cell)]
+        strokes += [(p, a, b, a + r.randint(0, 5), b + r.randint(0, 3)) for a, b in ((r.randrange(55), r.randrange(55)) for _ in range(6))]
+    strokes += [(0, 5, 5, 4, 9)]
+    pixels = sorted({(p, x, y) for p, x1, y1, x2, y2 in strokes for x in range(x1, x2 + 1) for y in range(y1, y2 + 1)})
+    boxes, points = spark.createDataFrame(strokes, "page int, x1 int, y1 int, x2 int, y2 int"), spark.createDataFrame(pixels, "page int, x int, y int")
+    for found in (grids.table_regions, grids.has_table):
+        got = found(boxes, ["page"], 64, 60)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, found(points, ["page"], 64, 60).collect())) and got.count() > 5
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan and "Window" not in plan
+
+
 @pytest.mark.parametrize("size", [(100, 80), (101, 83), (3, 3)])
 def test_quarter_takes_the_middle_pixels(spark, size):
     w, h = size
