@@ -45,18 +45,18 @@ def polygon_boxes(polygons: DataFrame, keys: list[str], points: str = "points")
     least turned counts; without two different points the angle is 0. Other columns stay.
     """
     ps = F.transform(points, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    extent = lambda values: F.array_max(values) - F.array_min(values)
+    extent = lambda values: T.once(values, lambda v: F.array_max(v) - F.array_min(v))
 
     def rectangle(d: Column) -> Column:
         along, across = F.transform("_p", lambda p: p["x"] * d["c"] + p["y"] * d["s"]), F.transform("_p", lambda p: p["y"] * d["c"] - p["x"] * d["s"])
-        turned = F.degrees(F.atan2(d["s"], d["c"]))
-        turned = turned - F.round(turned / 90) * 90
-        turned = F.round(F.when(turned <= F.lit(-45 + 1e-9), turned + 90).otherwise(turned), 6)
-        return F.struct(F.round(extent(along) * extent(across), 6).alias("area"), F.abs(turned).alias("turned"), turned.alias("angle"))
+        upright = T.once(F.degrees(F.atan2(d["s"], d["c"])), lambda t: t - F.round(t / 90) * 90)
+        turned = T.once(upright, lambda t: F.round(F.when(t <= F.lit(-45 + 1e-9), t + 90).otherwise(t), 6))
+        area = F.round(extent(along) * extent(across), 6)
+        return T.once(turned, lambda t: F.struct(area.alias("area"), F.abs(t).alias("turned"), t.alias("angle")))
 
     def direction(p: Column, q: Column) -> Column:
         length = F.hypot(q["x"] - p["x"], q["y"] - p["y"])
-        return F.struct(((q["x"] - p["x"]) / length).alias("c"), ((q["y"] - p["y"]) / length).alias("s"))
+        return T.once(length, lambda n: F.struct(((q["x"] - p["x"]) / n).alias("c"), ((q["y"] - p["y"]) / n).alias("s")))
 
     differ = lambda p, q: (p["x"] != q["x"]) | (p["y"] != q["y"])
     directions = F.flatten(F.transform("_p", lambda p, i: F.transform(F.filter("_p", lambda q, j: (j > i) & differ(p, q)), lambda q: direction(p, q))))
@@ -64,7 +64,8 @@ def polygon_boxes(polygons: DataFrame, keys: list[str], points: str = "points")
     side = lambda f, c: f(F.transform("_p", lambda p: p[c])).cast("long")
     rest = [c for c in polygons.columns if c not in (*keys, points)]
     boxes = [side(F.array_min, "x").alias("x"), side(F.array_min, "y").alias("y"), side(F.array_max, "x").alias("x2"), side(F.array_max, "y").alias("y2")]
-    return polygons.withColumn("_p", ps).where(F.size("_p") > 0).select(*keys, *rest, *boxes, F.coalesce(best["angle"], F.lit(0.0)).alias("angle"))
+    # a polygon takes much more time than bytes, so polygons are dealt evenly over the tasks, however few files they come from
+    return polygons.where(F.size(points) > 0).repartition(*keys).withColumn("_p", ps).select(*keys, *rest, *boxes, F.coalesce(best["angle"], F.lit(0.0)).alias("angle"))
 
 
 def detected_regions(boxes: DataFrame, keys: list[str], img_w: int, img_h: int, words: DataFrame | None = None) -> DataFrame:

@@ -121,7 +121,7 @@ def test_strokes_stay_whole(spark):
     for found in (grids.table_regions, grids.has_table):
         got = found(boxes, ["page"], 64, 60)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, found(points, ["page"], 64, 60).collect())) and got.count() > 5
-        plan = got._jdf.queryExecution().executedPlan().toString()
+        plan = found(boxes, ["page"], 64, 60)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan and "Window" not in plan
 
 
@@ -339,3 +339,10 @@ def test_regions_of_pixels_without_the_empty_ones(spark):
     dark = [(1, x, y, 1) for x in (0, 1, 2, 20, 21) for y in (0, 1, 10)]
     got = profiles.text_regions(spark.createDataFrame(dark, "page int, x int, y int, dark int"), ["page"], 1, 1, 2).collect()
     assert sorted((r.x_min, r.y_min, r.x_max, r.y_max) for r in got) == [(0, 0, 2, 1), (0, 10, 2, 10), (20, 0, 21, 1), (20, 10, 21, 10)]
+
+
+def test_polygons_are_dealt_over_tasks(spark):
+    rows = spark.range(0, 50, 1, 1).select("id", F.expr("array(struct(0.0D AS x, 0.0D AS y), struct(4.0D AS x, 4.0D AS y), struct(2.0D AS x, 6.0D AS y), struct(-2.0D AS x, 2.0D AS y))").alias("points"))
+    found = pages.polygon_boxes(rows, ["id"])
+    assert "Exchange hashpartitioning(id" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.x, r.y, r.x2, r.y2, r.angle) for r in found.collect()} == {(-2, 0, 4, 6, 45.0)} and found.count() == 50
