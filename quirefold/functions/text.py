@@ -193,7 +193,8 @@ def over_math(c: Column, change, delimited: bool = True) -> Column:
     def whole(x: Column) -> Column:
         plain = F.split(x, MATH_REGION, -1)
         joined = lambda math: F.array_join(F.flatten(F.zip_with(plain, F.transform(math, lambda m: inside(m)), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-        return once(F.regexp_extract_all(x, F.lit(MATH_REGION), F.lit(0)), lambda math: F.when(F.size(math) > 0, joined(math)).otherwise(change(x) if delimited else x))
+        found = F.when(x.contains("$") | x.contains("\\"), F.regexp_extract_all(x, F.lit(MATH_REGION), F.lit(0))).when(x.isNotNull(), F.array().cast("array<string>"))
+        return once(found, lambda math: F.when(F.size(math) > 0, joined(math)).otherwise(change(x) if delimited else x))
 
     return once(c, whole)
 

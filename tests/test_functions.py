@@ -194,3 +194,44 @@ def test_display_of_small_and_large_numbers(spark):
     assert [r.s for r in got] == ["0 B", "1023 B", "1.0 KB", "5.1 GB"]
     got = spark.createDataFrame([(512, 3, 9), (1536, 0, 0)], "mb int, a int, b int").select(T.megabytes_text(F.col("mb")).alias("s"), T.percent_text(F.col("a"), F.col("b")).alias("p")).collect()
     assert [(r.s, r.p) for r in got] == [("512 MB", "33.3%"), ("1.5 GB", "0.0%")]
+
+
+ODD = ["", " ", "\\", "{", "a_{b", "\\frac12 \\sqrt3", "\\\\frac{1}{2}", "\\sum{i} xy{ab} x_ab ^", "{\\} {", "$ x_ab $ {", "$$\n x{a} $$", "no marks at all", "_ ", "a\\sqrt{2}}", None]
+
+
+def test_formula_steps_are_skipped_where_nothing_can_change(spark):
+    from pyspark.sql import functions as F
+
+    from quirefold.functions import latex
+    from quirefold.functions import values as V
+
+    c = F.col("t")
+    was = F.regexp_replace(F.regexp_replace(c, r"(?<=\\(?:" + "|".join(V.SUBSCRIPT_COMMANDS) + r"))(?=\{)", "_"), r"(?U)(?<=[^\\_][A-Za-z])(?=\{[A-Za-z0-9,\s]+\})", "_")
+    rows = spark.createDataFrame([(t,) for t in ODD], "t string").select("t", latex.missing_subscripts(c).alias("now"), was.alias("was"), latex.scripts(c).alias("s"), F.regexp_replace(F.regexp_replace(c, r"(?U)[\^_]\s*\z", ""), r"(?<!\\)([_^])(\p{Alnum}{2,}+)(?!\{)", "$1{$2}").alias("s0"))
+    assert all(r["now"] == r["was"] and r["s"] == r["s0"] for r in rows.collect())
+    assert "Contains" in spark.createDataFrame([("a",)], "t string").select(latex.clean_latex(c))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_without_marks_skip_the_cleaning_steps(spark):
+    from pyspark.sql import functions as F
+
+    from quirefold.functions import text as T
+
+    lines = ["plain", "  # head", "- item", "a - b", "> q", "```x", "**b** _i_ `c`", "|a|", " a | ", "<b>x</b>", "<|ref|>:x", "[[1, 2, 3, 4]]", "x \u2192 y", " \u00a0x\u3000", "", " ", "a_b"]
+    rows = spark.createDataFrame([(x,) for x in lines], "t string").select(F.transform(F.array("t"), T._clean_marked_line)[0].alias("now"), T.clean_line(F.col("t")).alias("was"))
+    assert all(r["now"] == r["was"] for r in rows.collect())
+
+
+def test_guards_look_once(spark):
+    from pyspark.sql import functions as F
+
+    from quirefold.functions import text as T
+    from quirefold.functions import values as V
+
+    texts = ["", " \n", "abcd", " abcd ", " abcde\u3000", "a   b", "ab\ncd", "\U0001f600bcd", "\U0001f600bcde", "x DO NOT USE y", "ocr with GROUNDING", "\ubc95 print only", "\uc0b0\uc5c5\uae30\uc0ac x", "\ub300\ud55c", None]
+    c, texts = F.col("t"), spark.createDataFrame([(x,) for x in texts], "t string")
+    was = F.when(T.is_blank(c) | (F.char_length(T.strip(c)) < 5) | T.is_leakage(c), "").otherwise(c)
+    rows = texts.select(T.guarded(c).alias("g"), was.alias("g0"), T.has_proper_nouns(c).alias("p"), c.rlike("|".join(V.PROPER_NOUNS)).alias("p0")).collect()
+    assert all(r["g"] == r["g0"] and r["p"] == r["p0"] for r in rows) and any(r["p"] for r in rows)
+    assert "RLIKE" not in texts.select(T.has_proper_nouns(c))._jdf.queryExecution().executedPlan().toString()
+    assert [r[0] for r in texts.select(T.has_proper_nouns(c, ("^ab", "x.D"))).collect()][2:4] == [True, False]
