@@ -162,6 +162,15 @@ def clean_line(c: Column, inline: bool = True) -> Column:
     return strip(c)
 
 
+#: Without a match a line has nothing that clean_line removes but its outer white space.
+_MARKED = r"(?U)^\s*[#`>\-]|[<\[*_`|]|" + V.SYMBOLS
+
+
+def _clean_marked_line(x: Column) -> Column:
+    """clean_line of a lambda's variable, with its steps only where a line has a mark."""
+    return F.when(x.rlike(_MARKED), clean_line(x)).otherwise(strip(x))
+
+
 def collapse_blank_lines(c: Column) -> Column:
     """X04."""
     return F.regexp_replace(c, r"\n{3,}", "\n\n")
@@ -204,7 +213,7 @@ def clean_text(c: Column, correct=None) -> Column:
     from .latex import clean_latex
 
     kept = F.filter(split_lines(tables_to_text(remove_repetition(c))), lambda x: ~is_leakage_line(x) & ~is_separator_line(x))
-    text = strip(collapse_blank_lines(F.array_join(F.transform(kept, lambda x: clean_line(x)), "\n")))
+    text = strip(collapse_blank_lines(F.array_join(F.transform(kept, _clean_marked_line), "\n")))
     text = once(text, lambda x: F.when(is_leakage(x), "").otherwise(x))
     if correct is not None:
         text = once(text, lambda x: over_plain_text(x, correct))
