@@ -20,7 +20,8 @@ from .common import BROADCAST_ROWS, bounded_broadcast, cut
 WIDTH, GRAM = 3, 2
 _FIRST = -(2**63)  # in place of a null id
 FLOOR = 50  # words from which fewer lines than WIDTH are a window; a character of a script without spaces counts as a word
-_SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+# these scripts begin at U+0E00; the range is looked at first, since a script is searched for anew in every character
+_SPACELESS = r"[\x{E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]]"
 _PIECE = r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*"
 
 
@@ -38,9 +39,9 @@ def _single_spaced(line: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    """Words of a line with single spaces."""
+    """Words of a line with single spaces. A character of a script without spaces has three bytes at least."""
     spaced = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return F.when(F.octet_length(line) == F.char_length(line), spaced).otherwise(spaced + F.regexp_count(line, F.lit(_SPACELESS)))
+    return F.when(F.octet_length(line) - F.char_length(line) < 2, spaced).otherwise(spaced + F.regexp_count(line, F.lit(_SPACELESS)))
 
 
 def _hashed(docs: DataFrame, width: int, floor: int) -> DataFrame:
@@ -54,7 +55,11 @@ def _hashed(docs: DataFrame, width: int, floor: int) -> DataFrame:
         held = lambda i: sum((F.get("words", i + j) for j in range(1, w)), F.get("words", i))
         return F.filter(F.transform("words", lambda _, i: F.when(held(i) >= floor, F.struct((i + 1).alias("start"), F.lit(w).alias("width")))), lambda x: x.isNotNull())
 
-    return rows.select("doc_id", "text_hash", "hashes", F.concat(*[few(w) for w in range(1, width)]).alias("few") if width > 1 else F.array().cast("array<struct<start:int,width:int>>").alias("few"))
+    found = F.array().cast("array<struct<start:int,width:int>>")
+    if width > 1:
+        # of fewer lines than width that hold floor words, one holds its share
+        found = F.when(F.array_max("words") * (width - 1) >= floor, F.concat(*[few(w) for w in range(1, width)])).otherwise(found)
+    return rows.select("doc_id", "text_hash", "hashes", found.alias("few"))
 
 
 def repeated_lines(rows: DataFrame, width: int = WIDTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

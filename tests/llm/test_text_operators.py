@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirefold.llm import decontaminate, fingerprints, licenses, line_dedup
 
@@ -232,3 +233,15 @@ def test_line_dedup_of_few_long_lines(spark):
     got = {x["doc_id"]: (x["n_deleted"], x["text"]) for x in line_dedup.line_dedup(frame(spark, rows)).collect()}
     assert got[2] == (1, "Second. Other end.") and got[4] == (2, "") and got[6] == (1, "")
     assert all(got[d] == (0, t) for d, t in rows if d not in (2, 4, 6))
+
+
+def test_words_of_scripts_without_spaces(spark):
+    """A range before the scripts spares most characters the search for their script; it counts the same characters."""
+    scripts = line_dedup._SPACELESS.partition("&&")[2].removesuffix("]")
+    assert line_dedup._SPACELESS == r"[\x{E00}-\x{10FFFF}&&" + scripts + "]" and "IsHan" in scripts
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and not chr(c).isspace()]
+    lines = ["".join(map(chr, points[i : i + 4096])) for i in range(0, len(points), 4096)] + ["", "a", "a b", "é ü", "漢", "a 漢字 b"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").repartition(4)
+    own, plain = line_dedup._words(F.col("line")), F.regexp_count("line", F.lit(scripts)) + 1
+    got = rows.select("line", own.alias("own"), (plain + F.regexp_count("line", F.lit(" "))).alias("plain")).collect()
+    assert all(x["own"] == x["plain"] for x in got) and {x["line"]: x["own"] for x in got}["a 漢字 b"] == 5
