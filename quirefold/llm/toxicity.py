@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, free_shuffles
 
 #: The classifier is fitted to at most this many labelled rows of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
@@ -73,6 +73,14 @@ def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
         first = last
 
 
+def _start(rng: np.random.Generator) -> np.ndarray:
+    """The embedding before training; drawn in blocks, so that the doubles of all rows are never there at once."""
+    e = np.empty((BUCKETS + 1, DIM), np.float32)
+    for first in range(0, len(e), 1 << 14):
+        e[first : first + (1 << 14)] = rng.normal(0, 0.05, e[first : first + (1 << 14)].shape)
+    return e
+
+
 @dataclass
 class Model:
     embedding: np.ndarray
@@ -82,13 +90,33 @@ class Model:
     offset: float
     scale: tuple[float, float] = (1.0, 0.0)
     thresholds: dict[str, float] = field(default_factory=dict)
+    #: Where given, the rows of the embedding that training saw; the others are as drawn from seed, but for their first dimension, 0.
+    seen: np.ndarray | None = None
+    seed: int = 5
 
     def __getstate__(self) -> dict:
-        """The embedding, most of the model, travels in half precision; what is scored anywhere has gone that way once."""
-        return self.__dict__ | {"embedding": self.embedding.astype(np.float16)}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state | {"embedding": state["embedding"].astype(np.float32)})
+        """The embedding, most of the model, travels in half precision, and only the rows that training saw; what is scored anywhere has gone that way once."""
+        state = dict(self.__dict__)
+        if "embedding" in state:
+            e = state.pop("embedding")
+            state["rows"] = (e if self.seen is None else e[self.seen]).astype(np.float16)
+        return state
+
+    def __getattr__(self, name: str):
+        """A model that has travelled builds its embedding when it first scores, which the driver's copy never does."""
+        if name != "embedding" or "rows" not in self.__dict__:
+            raise AttributeError(name)
+        rows = self.__dict__.pop("rows")
+        if self.seen is None:
+            self.embedding = rows.astype(np.float32)
+        else:
+            e = _start(np.random.default_rng(self.seed))
+            e[:, 0] = 0
+            for first in range(0, len(e), 1 << 14):
+                e[first : first + (1 << 14)] = e[first : first + (1 << 14)].astype(np.float16)
+            e[self.seen] = rows
+            self.embedding = e
+        return self.embedding
 
     def pooled(self, buckets: np.ndarray, begins: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Each text's maximum of each filter, and (if asked) at which word."""
@@ -138,14 +166,14 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 64,
     n = [max(1, (labels == y).sum()) for y in (0, 1)]
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     odds *= seen.sum(0) / (seen.sum(0) + 5)
-    e = rng.normal(0, 0.05, (BUCKETS + 1, DIM)).astype(np.float32)
+    e = _start(rng)
     e[:, 0] = np.clip(odds, -4, 4) / 4
     e[_PAD] = 0
     filters = {w: rng.normal(0, 0.2, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
     for w in WIDTHS:
         filters[w][0, 0] = np.abs(filters[w][0, 0]) + 0.5
     total = FILTERS * len(WIDTHS)
-    m = Model(e, filters, np.zeros(total, np.float32), np.full(total, 0.1, np.float32), -1.0)
+    m = Model(e, filters, np.zeros(total, np.float32), np.full(total, 0.1, np.float32), -1.0, seen=np.flatnonzero(seen.any(0)).astype(np.int32), seed=seed)
     squares = {"e": np.zeros(BUCKETS + 1, np.float32), "f": {w: np.full_like(f, 1e-3) for w, f in filters.items()}, "b": np.full(total, 1e-3, np.float32), "o": np.full(total, 1e-3, np.float32), "c": 1e-3}
     for _ in range(epochs):
         order = rng.permutation(len(docs))
@@ -262,8 +290,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     model = pickle.loads(done[0]["model"])
     fitted = docs.sparkSession.createDataFrame([(d,) for d in done[0]["fitted"]], "doc_id long")
     del done
+    free_shuffles(docs.sparkSession)
     others = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).join(F.broadcast(fitted), "doc_id", "left_anti")
     calibrate(model, _scored(docs, others, sum(counts.values()), model), counts)
+    free_shuffles(docs.sparkSession)
     return model
 
 
@@ -297,7 +327,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: BUCKETS * DIM floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of BUCKETS * DIM half floats at most
     return rows.mapInArrow(partial(_score, model=shared), SCORES)
 
 

@@ -1,5 +1,6 @@
 """The pipeline's stages in sequence, and the classifier against loops."""
 
+import pickle
 import random
 
 import numpy as np
@@ -83,6 +84,21 @@ def test_a_step_follows_the_gradient():
     assert loss(after) < loss(before)
 
 
+def test_model_travels_with_what_training_saw():
+    """Before, every copy, the driver's too, held and sent all rows of the embedding."""
+    r = random.Random(3)
+    texts = [" ".join([f"w{r.randrange(300)}" for _ in range(20)] + ["vile"] * (i % 2)) for i in range(200)]
+    model = toxicity.fit(texts, np.arange(200) % 2, epochs=1)
+    sent = pickle.dumps(model)
+    assert len(sent) < toxicity.BUCKETS * toxicity.DIM * 2 / 20
+    there = pickle.loads(sent)
+    assert pickle.dumps(there) == sent and "embedding" not in there.__dict__  # a copy that scores nothing builds no table
+    assert np.array_equal(there.embedding, model.embedding.astype(np.float16).astype(np.float32))
+    whole = toxicity.Model(model.embedding, model.filters, model.bias, model.out, model.offset)  # nothing known of training
+    more = [*texts, "words never seen", "", None]
+    assert np.array_equal(pickle.loads(pickle.dumps(whole)).score(more), there.score(more))
+
+
 # --- pipeline
 
 
