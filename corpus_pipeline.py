@@ -15,7 +15,7 @@ from quirefold.llm.common import shared_folder, table
 
 
 #: Rows that the second stage broadcasts at most; its driver has run the first stage before.
-NEAR_BROADCAST_ROWS = 1_000_000
+NEAR_BROADCAST_ROWS = 250_000
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

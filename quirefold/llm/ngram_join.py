@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import pair_blocks
 from .common import arrow_rows, bounded_broadcast, cut, free_shuffles, keep_where
 from .components import connected_components
 from .shingles import mix, shingle_sets
@@ -39,10 +40,14 @@ WIDEN, BUCKETS = 1.4, 32
 ARROW_ROWS = 1024
 #: Subparts of a part, of which all but one make a signature.
 SUBPARTS = 2
+#: Upper bits of a hash that are exchanged, and bits for the need of a set beside a signature. Hashes that agree in these bits are
+#: taken for equal, which adds candidates and weakens bounds, but loses no link.
+HASH_BITS, NEED_BITS = 44, 4
 
 _KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_shingles", "key1", "key2")])
-_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("need", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
-_LISTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("shingles", T.ArrayType(T.LongType()))])
+_SHARED = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "need", "signature", "n", "least")])
+_COUNTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+_ALONE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("alone", T.IntegerType()), T.StructField("by_bucket", T.ArrayType(T.IntegerType()))])
 _PAIRS = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
 
 
@@ -109,23 +114,78 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]], names=_KEYS.names)
 
 
-def _longs(lists: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).view(np.int64)))
+def _upper(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - HASH_BITS)).view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        lists, need = zip(*[signatures(s, percent) for s in shingle_sets(batch.column(1).to_pylist(), k)], strict=True)
-        yield pa.record_batch([batch.column(0), pa.array(need, pa.int64()), _longs(lists)], names=_SIGNED.names)
+def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of pairs (signature and need, doc_id)."""
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in _slices(batches):
+            lists, need = zip(*[signatures(s, percent) for s in shingle_sets(batch.column(1).to_pylist(), k)], strict=True)
+            n = [len(x) for x in lists]
+            # a need that is named too small loses nothing
+            least = np.minimum(np.array(need, np.int64), 2**NEED_BITS - 1)
+            yield _upper(np.concatenate(lists)) << NEED_BITS | np.repeat(least, n), np.repeat(batch.column(0).to_numpy(), n)
+
+    return pair_blocks.by_range(found(), buckets, HASH_BITS + NEED_BITS)
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of the blocks of a bucket, the rows of signatures that several have."""
+    x, doc = pair_blocks.pairs(table)
+    order = np.argsort(x)
+    x, doc = x[order], doc[order]
+    signature, need = x >> NEED_BITS, x & (2**NEED_BITS - 1)
+    first = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
+    n = np.diff(np.r_[first, len(x)])
+    # in order of x the first of a signature has the least need
+    n, least = np.repeat(n, n), np.repeat(need[first], n)
+    keep = n > 1
+    return pa.table([c[keep] for c in (doc, need, signature, n, least)], names=_SHARED.names)
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of pairs (shingle, doc_id); two of a shingle are enough to tell that it isn't alone."""
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in _slices(batches):
+            lists = list(shingle_sets(batch.column(1).to_pylist(), k))
+            yield _upper(np.concatenate(lists)), np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
+
+    return pair_blocks.by_range(found(), buckets, HASH_BITS, most=2)
 
 
-def _listed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _only_once(table: pa.Table, buckets: int) -> pa.Table:
+    """Of the blocks of a bucket of shingles, blocks of pairs (doc_id, bucket of 0 to BUCKETS - 1) for the shingles that come once; dealt by document."""
+    x, doc = pair_blocks.pairs(table)
+    order = np.argsort(x)
+    x, doc = x[order], doc[order]
+    new = np.r_[True, x[1:] != x[:-1]]
+    once = new & np.r_[new[1:], True]
+    x, doc = x[once], doc[once]
+    to = (mix(doc.view(np.uint64), 21) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, to))
+    return pa.Table.from_batches([pair_blocks.blocks(to[order], doc[order], x[order] & (BUCKETS - 1))])
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    """Of the blocks of a bucket of documents, how many shingles come once, in all and by bucket."""
+    doc, bucket = pair_blocks.pairs(table)
+    docs, at = np.unique(doc, return_inverse=True)
+    counts = np.bincount(at * BUCKETS + bucket, minlength=len(docs) * BUCKETS).reshape(-1, BUCKETS)
+    return pa.table([pa.array(docs), pa.array(counts.sum(axis=1).astype(np.int32)), _rows(counts)], names=_ALONE.names)
+
+
+def _rows(counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BUCKETS), pa.array(counts.astype(np.int32).ravel()))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        lists = list(shingle_sets(batch.column(1).to_pylist(), k))
-        counts = [np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).tolist() for s in lists]
-        yield pa.record_batch([batch.column(0), pa.array(counts, pa.list_(pa.int32())), _longs(lists)], names=_LISTED.names)
+        counts = [np.bincount(_upper(s) & (BUCKETS - 1), minlength=BUCKETS) for s in shingle_sets(batch.column(1).to_pylist(), k)]
+        yield pa.record_batch([batch.column(0), _rows(np.array(counts))], names=_COUNTED.names)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -143,18 +203,15 @@ def _linked(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
         yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=_PAIRS.names)
 
 
-def shared_signatures(nodes: DataFrame, k: int, percent: int, **limit) -> DataFrame:
+def shared_signatures(nodes: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     """Rows (doc_id, need, company, signatures): the signatures that several rows have, for documents with enough of them for a link.
 
-    Signatures are counted by partial aggregation, so a hot one moves one row a task. company is how many other rows the
-    signatures have in all. Texts are signed twice, to count signatures and to find the shared ones: kept, the signatures
-    would need more room than the texts.
+    Texts are signed once. All signatures are exchanged, in blocks of a few bytes each, by ranges of their hashes; only those that
+    several rows have become rows. company is how many other rows the signatures have in all. A task has all holders of a
+    signature at once, at some 30 bytes each.
     """
-    signed = nodes.select("doc_id", "text").mapInArrow(partial(_signed, k=k, percent=percent), _SIGNED).where(F.size("signatures") > 0)
-    rows = signed.select("doc_id", "need", F.explode("signatures").alias("signature"))
-    again = cut(rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("need").alias("least")).where("n > 1"))
-    free_shuffles(nodes.sparkSession)
-    shared = rows.join(bounded_broadcast(again, again.count(), **limit), "signature")
+    dealt = nodes.select("doc_id", "text").mapInArrow(partial(_signed, k=k, percent=percent, buckets=buckets), pair_blocks.BLOCKS)
+    shared = dealt.groupBy("bucket").applyInArrow(_shared, _SHARED)
     # a pair shares as many as the lesser need of its two sets
     by_doc = shared.groupBy("doc_id", "need").agg(F.count("*").alias("own"), F.min("least").alias("least"), F.sum(F.col("n") - 1).alias("company"), F.collect_list("signature").alias("signatures"))
     return cut(by_doc.where("own >= least").drop("own", "least"))
@@ -183,22 +240,24 @@ def _still_apart(docs: DataFrame, component: DataFrame, **limit) -> DataFrame:
     return rows.drop("least").join(bounded_broadcast(enough, enough.count(), **limit), "doc_id")
 
 
-def _bounds(rows: DataFrame, texts: DataFrame, k: int, **limit) -> DataFrame:
+def _bounds(rows: DataFrame, texts: DataFrame, k: int, buckets: int, **limit) -> DataFrame:
     """(doc_id, alone, counts): how many shingles no other document of rows has, and the others by bucket.
 
-    Only documents of rows are counted, so the bound holds between these.
+    Only documents of rows are counted, so the bound holds between these. Shingles are exchanged in blocks, and those that come
+    once go back to their documents in blocks.
     """
     ids = cut(rows.select("doc_id").distinct())
     # hashed once for the shingles and once for the counts: kept, the shingles would need more room than the texts
-    listed = texts.join(bounded_broadcast(ids, ids.count(), **limit), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_listed, k=k), _LISTED)
-    each = listed.select("doc_id", F.explode("shingles").alias("shingle"))
-    alone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    # the bucket of a hash without its sign
-    bucket = F.col("shingle").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-    alone = alone.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").cast("int").alias("n"))
-    alone = alone.groupBy("doc_id").agg(F.sum("n").cast("int").alias("alone"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("by_bucket"))  # BUCKETS entries at most
-    left = F.transform("counts", lambda c, i: (c - F.coalesce(F.element_at("by_bucket", i), F.lit(0))).cast("smallint"))
-    return listed.drop("shingles").join(alone, "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"), F.when(F.col("by_bucket").isNull(), F.col("counts").cast("array<smallint>")).otherwise(left).alias("counts"))
+    texts = texts.join(bounded_broadcast(ids, ids.count(), **limit), "doc_id", "left_semi").select("doc_id", "text")
+
+    def only_once(table: pa.Table) -> pa.Table:
+        return _only_once(table, buckets)
+
+    once = texts.mapInArrow(partial(_shingled, k=k, buckets=buckets), pair_blocks.BLOCKS).groupBy("bucket").applyInArrow(only_once, pair_blocks.BLOCKS)
+    alone = once.groupBy("bucket").applyInArrow(_alone, _ALONE)
+    counted = texts.mapInArrow(partial(_counted, k=k), _COUNTED)
+    left = F.coalesce(F.zip_with("counts", "by_bucket", lambda c, x: c - x), F.col("counts"))
+    return counted.join(alone, "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"), left.alias("counts"))
 
 
 def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broadcast_rows: int | None = None) -> DataFrame:
@@ -214,7 +273,7 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broa
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = cut(texts.mapInArrow(partial(_keys, k=k), _KEYS))
     some = keys.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = cut(some.groupBy("key1", "key2").agg(F.min("doc_id").alias("first_id")))
+    sets = cut(some.groupBy("key1", "key2").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles")))
     nodes = texts.join(bounded_broadcast(sets.select(F.col("first_id").alias("doc_id")).distinct(), sets.count(), **limit), "doc_id", "left_semi")
     sizes = some.groupBy("doc_id").agg(F.max("n_shingles").alias("size"), (F.min("key1") != F.max("key1")).alias("several"))
 
@@ -227,21 +286,23 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broa
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(firsts, "a", "left_semi")
         return cut(right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(partial(_linked, k=k, percent=percent), _PAIRS).distinct())
 
-    shared = shared_signatures(nodes, k, percent, **limit)
+    shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = pair_blocks.buckets_for(shingles)
+    shared = shared_signatures(nodes, k, percent, buckets)
     free_shuffles(docs.sparkSession)
     links = verify(hubs(shared, **limit))
     free_shuffles(docs.sparkSession)
     several = cut(sizes.where("several").select("doc_id"))
     if not several.isEmpty():
         # the sets of one document are one node
-        own = some.join(several, "doc_id", "left_semi").join(sets, ["key1", "key2"]).select("doc_id", "first_id")
+        own = some.join(several, "doc_id", "left_semi").join(sets.drop("n_shingles"), ["key1", "key2"]).select("doc_id", "first_id")
         own = own.join(own.groupBy("doc_id").agg(F.min("first_id").alias("a")), "doc_id").where("a != first_id")
         links = cut(links.unionByName(own.select("a", F.col("first_id").alias("b"))))
     component = connected_components(links)
     apart = cut(_still_apart(shared, component, **limit))
     free_shuffles(docs.sparkSession)
     crowded = apart.where("members > 2")
-    facts = cut(_bounds(crowded, texts, k, **limit).join(sizes.where("NOT several").select("doc_id", "size"), "doc_id"))
+    facts = cut(_bounds(crowded, texts, k, buckets, **limit).join(sizes.where("NOT several").select("doc_id", "size"), "doc_id"))
     free_shuffles(docs.sparkSession)
     apart = apart.join(facts, "doc_id", "left")
     # one document alone that holds more shingles of its own than a link allows has none

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quirefold.llm import ngram_join as N
+from quirefold.llm import pair_blocks
 from quirefold.llm.components import connected_components
 from quirefold.llm.shingles import shingle_sets
 
@@ -142,3 +143,48 @@ def test_words_that_polynomial_hashes_confuse_stay_apart():
         a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
         one, two, upper = shingle_sets([a, b, a.upper()], 4)
         assert one.tolist() != two.tolist() and one.tolist() == upper.tolist()
+
+
+def test_blocks_give_their_pairs_back_in_few_bytes():
+    """A row of Spark for each pair of longs took some 14 bytes in each shuffle, more than the texts in all."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    x, y = r.integers(0, 2**44, 700_000), r.integers(-5_000, 5_000, 700_000)
+    x[:1000], y[:3] = x[0], (-(2**63), 2**63 - 1, 0)
+    made = list(pair_blocks.by_range(iter([(x[:600_000], y[:600_000]), (x[600_000:], y[600_000:])]), 50, 44))
+    assert sum(b.num_rows for b in made) == 100
+    table = pa.Table.from_batches(made)
+    assert sorted(zip(*map(np.ndarray.tolist, pair_blocks.pairs(table)), strict=True)) == sorted(zip(x.tolist(), y.tolist(), strict=True))
+    # without the bucket of the extreme ids
+    assert sorted((len(a) + len(b)) / n for a, b, n in zip(table["x"].to_pylist(), table["y"].to_pylist(), table["n"].to_pylist(), strict=True))[90] <= 7
+    seen = set()
+    for bucket, n in zip(table["bucket"].to_pylist(), range(100), strict=True):
+        own = set(pair_blocks.pairs(table.slice(n, 1))[0].tolist())
+        seen.add((bucket, (min(own) >> 20) * 50 >> 24, (max(own) >> 20) * 50 >> 24))
+    assert all(b == low == high for b, low, high in seen)
+    (few,) = pair_blocks.by_range(iter([(np.full(900, 7), np.arange(900))]), 50, 44, most=2)
+    assert few["n"].to_pylist() == [2] and pair_blocks.blocks(x[:0], x[:0], y[:0]).num_rows == 0
+
+
+def test_shared_signatures_and_lone_shingles_are_those_of_whole_sets(spark):
+    texts = {i: " ".join(f"w{(j * j + (i // 3) * 7) % 97}" if (i + j) % 41 else f"x{i}" for j in range(60 + i % 3)) for i in range(40)} | {-(2**40): "a b", 2**62: "a c"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = dict(zip(texts, shingle_sets(list(texts.values()), 4), strict=True))
+    signed = {d: N.signatures(s, 85) for d, s in sets.items()}
+    holders = {}
+    for d, (found, _) in signed.items():
+        for x in found.tolist():
+            holders.setdefault(x, []).append(d)
+    want = {}
+    for d, (found, need) in signed.items():
+        many = [x for x in found.tolist() if len(holders[x]) > 1]
+        if many and len(many) >= min(signed[e][1] for x in many for e in holders[x]):
+            want[d] = (need, sum(len(holders[x]) - 1 for x in many), sorted(x >> 20 for x in many))
+    got = {r["doc_id"]: (r["need"], r["company"], sorted(r["signatures"])) for r in N.shared_signatures(docs, 4, 85, 5).collect()}
+    assert got == want and len(want) > 10
+
+    lone = {d: [x for x in s.tolist() if sum(x in set(o.tolist()) for o in sets.values()) == 1] for d, s in sets.items()}
+    for r in N._bounds(docs, docs, 4, 5).collect():
+        rest = np.bincount([x >> 20 & 31 for x in sets[r["doc_id"]].tolist() if x not in set(lone[r["doc_id"]])], minlength=32)
+        assert r["alone"] == len(lone[r["doc_id"]]) and r["counts"] == rest.tolist()
