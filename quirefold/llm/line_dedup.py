@@ -38,6 +38,15 @@ def _single_spaced(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
 
 
+def _spaced_lines(text: Column, lines: Column) -> Column:
+    """_single_spaced() of all lines of a text. What hardly a text has is looked for once in the text; without it only line breaks are to be replaced."""
+    rare = F.coalesce(text.contains("  "), F.lit(False))
+    for c in "\t\r\f\x0b":
+        rare = rare | F.coalesce(text.contains(c), F.lit(False))
+    broken = lambda line: F.trim(F.when(line.contains("\n"), F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+    return F.when(rare, F.transform(lines, _single_spaced)).otherwise(F.transform(lines, broken))
+
+
 def _words(line: Column) -> Column:
     """Words of a line with single spaces. A character of a script without spaces has three bytes at least."""
     spaced = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
@@ -46,7 +55,7 @@ def _words(line: Column) -> Column:
 
 def _hashed(docs: DataFrame, width: int, floor: int) -> DataFrame:
     """(doc_id, text_hash, hashes, few): the line hashes of each row, and the windows (start from 1, width) of fewer lines than width that hold floor words."""
-    lines = F.transform(lines_of(F.col("text")), _single_spaced)
+    lines = _spaced_lines(F.col("text"), lines_of(F.col("text")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines"))
     # two plain arrays: a field of an array of structs would be taken out anew for every element below
     rows = rows.select("doc_id", "text_hash", F.transform("lines", lambda p: F.xxhash64(F.lower(p))).alias("hashes"), F.transform("lines", _words).alias("words"))
@@ -84,7 +93,8 @@ def repeated_lines(rows: DataFrame, width: int = WIDTH, broadcast_rows: int = BR
     every = rows.select("doc", "text_hash", F.explode_outer(F.transform(starts, lambda _, i: F.struct(minimum(i).alias("fingerprint"), whole(i, width).alias("window")))).alias("x")).where("x IS NOT NULL").select("doc", "text_hash", "x.*")
     every = every.join(bounded_broadcast(again, again.count(), broadcast_rows), "fingerprint", "left_semi").select("doc", "text_hash", "window.*")
     short = rows.where(F.size("few") > 0).select("doc", "text_hash", "hashes", F.explode("few").alias("few")).select("doc", "text_hash", "few.*", F.xxhash64(F.slice("hashes", F.col("few.start"), F.col("few.width"))).alias("content"))
-    windows = every.unionByName(short)
+    # read twice: to count their contents and to find those that occur again
+    windows = cut(every.unionByName(short))
     # the least id by partial aggregation: a hot window moves one row a task
     first = cut(windows.groupBy("content").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1").select("content", "first_doc"))
     found = windows.join(bounded_broadcast(first, first.count(), broadcast_rows), "content").select("doc", "text_hash", "content", "start", "width", (F.col("doc") > F.col("first_doc")).alias("later"))

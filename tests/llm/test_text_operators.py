@@ -245,3 +245,15 @@ def test_words_of_scripts_without_spaces(spark):
     own, plain = line_dedup._words(F.col("line")), F.regexp_count("line", F.lit(scripts)) + 1
     got = rows.select("line", own.alias("own"), (plain + F.regexp_count("line", F.lit(" "))).alias("plain")).collect()
     assert all(x["own"] == x["plain"] for x in got) and {x["line"]: x["own"] for x in got}["a 漢字 b"] == 5
+
+
+def test_lines_are_spaced_by_one_look_at_a_text(spark):
+    """Five marks were looked for in every line; texts with and without them give what white space replaced in every line gives."""
+    texts = ["One two.\nThree\n. Four?\n\n five", "a  b.\tc\td. e", "x\r\ny. z\x0bw\f.", "plain. words here. ", " \n ", "", None, "\n.\n", "a\n \nb. \u00a0c"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    lines = line_dedup.lines_of(F.col("text"))
+    got = docs.select(line_dedup._spaced_lines(F.col("text"), lines).alias("own"), F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))).alias("plain"))
+    assert all(r["own"] == r["plain"] for r in got.collect())
+    # a line of a text without the rare marks is looked at once
+    plan = docs.select(line_dedup._spaced_lines(F.col("text"), lines))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Contains(text#") + plan.count("contains(text#") == 5
