@@ -2,18 +2,20 @@
 
 Sets are dealt into size bands. In a band whose largest set has u shingles, linked sets differ in at most
 d = floor(2u(100-p)/(100+p)) shingles. The feature domain is partitioned into n1 = floor(d/2) + 1 + spare parts, each of these
-into two, and of the two every subset of one is enumerated: each subset's shingles give one signature. At least 1 + spare of
-the n1 parts differ in no more than one shingle, so that one of their subparts is equal: linked sets of a band have 1 + spare
-signatures in common. (Three subparts and subsets of two make half as many signatures again.) A set that can be linked to one of the next band signs there as well. A signature without
-shingles is left out of a set that has no more than `spare` of them.
+into two, and of the two every subset of one is enumerated: each subset's shingles give one signature. A shingle that differs
+spoils one signature, so linked sets of a band have all others in common; how many can differ follows from the size of either
+set alone (`promised`). (Three subparts and subsets of two make half as many signatures again.) A set that can be linked to one
+of the next band signs there as well. Signatures without shingles tell nothing, and sets that have nothing in common share
+them: they are left out of a set that has fewer of them than are promised.
 
 Sets with a common signature are candidates. They are not listed as pairs:
 
 1. Each set is compared with one hub, the set with the most company among those that share its signatures. Groups of near
    copies collapse there, one comparison a set.
 2. Of the signatures whose sets are still apart, the shingles are counted: those that only one set has can't be common.
-   That and the numbers of the other shingles by buckets bound how much two sets differ from below. Only pairs of separate
-   classes that keep this bound leave the join on the signature.
+   That, the sizes, and a sketch of each set (for each of SKETCH_BITS places whether an odd number of shingles fall there) bound
+   how much two sets differ from below. Only pairs of separate classes that keep these bounds leave the join on the signature,
+   and a pair leaves it where none of the signatures just before is common to both, so once or a few times.
 3. Every pair that is left is verified on its whole shingle sets.
 """
 
@@ -38,6 +40,8 @@ K, PERCENT = 4, 85
 WIDEN, BUCKETS = 1.4, 32
 #: Texts of an Arrow batch where whole rows of a corpus are deduplicated.
 ARROW_ROWS = 1024
+#: Places of a set's sketch, and signatures of a set that are looked back at to tell that a pair has met before.
+SKETCH_BITS, BEFORE = 1024, 8
 #: Subparts of a part, of which all but one make a signature.
 SUBPARTS = 2
 #: Upper bits of a hash that are exchanged, and bits for the need of a set beside a signature. Hashes that agree in these bits are
@@ -46,7 +50,7 @@ HASH_BITS, NEED_BITS = 44, 4
 
 _KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_shingles", "key1", "key2")])
 _SHARED = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "need", "signature", "n", "least")])
-_COUNTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+_COUNTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 _ALONE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("alone", T.IntegerType()), T.StructField("by_bucket", T.ArrayType(T.IntegerType()))])
 _PAIRS = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
 
@@ -76,6 +80,13 @@ def plan_of(n: int, percent: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def promised(n: int, band: int, n1: int, spare: int, percent: int) -> int:
+    """Signatures in a band, of SUBPARTS * n1, that a set of n shingles and any linked one have in common at least, without shingles or with."""
+    largest = min(bands(2 * n + 2)[band + 1] - 1, 100 * n // percent)
+    differ = (100 - percent) * (n + largest) // (100 + percent)
+    return max(1 + spare, SUBPARTS * n1 - (SUBPARTS - 1) * differ)
+
+
 def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The signatures of a set, and how many of them it shares with every linked set at least."""
     n, out, need = len(shingles), [], []
@@ -90,12 +101,11 @@ def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
             sums = (sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums).ravel()
             held = (counts.sum(axis=1, keepdims=True) - counts).ravel() > 0
             found = mix(sums + mix(np.arange(SUBPARTS * n1, dtype=np.uint64), band), 77)
-        empty = SUBPARTS * n1 - int(held.sum())
-        if empty <= spare:
+        empty, common = SUBPARTS * n1 - int(held.sum()), promised(n, band, n1, spare, percent)
+        if empty < common:
             found = found[held]
-            need.append(1 + spare - empty)
-        else:
-            need.append(1 + spare)
+        # one that keeps its empty signatures shares them with others that do so alone
+        need.append(common - empty if empty < common else 1)
         out.append(found)
     return (np.concatenate(out), min(need)) if out else (shingles[:0], 1)
 
@@ -182,10 +192,18 @@ def _rows(counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BUCKETS), pa.array(counts.astype(np.int32).ravel()))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each place: whether an odd number of shingles fall there. Two sets differ in as many shingles as bits at least."""
+    odd = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        counts = [np.bincount(_upper(s) & (BUCKETS - 1), minlength=BUCKETS) for s in shingle_sets(batch.column(1).to_pylist(), k)]
-        yield pa.record_batch([batch.column(0), _rows(np.array(counts))], names=_COUNTED.names)
+        both = [(np.bincount(_upper(s) & (BUCKETS - 1), minlength=BUCKETS), sketch(s)) for s in shingle_sets(batch.column(1).to_pylist(), k)]
+        counts, sketches = (np.array(x) for x in zip(*both, strict=True))
+        words = np.arange(len(sketches) + 1, dtype=np.int32) * (SKETCH_BITS // 64)
+        yield pa.record_batch([batch.column(0), _rows(counts), pa.ListArray.from_arrays(pa.array(words), pa.array(sketches.ravel()))], names=_COUNTED.names)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -233,15 +251,15 @@ def _still_apart(docs: DataFrame, component: DataFrame, **limit) -> DataFrame:
     component = component.select(F.col("node").alias("doc_id"), "component")
     docs = docs.join(bounded_broadcast(component, component.count(), **limit), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = docs.select("doc_id", "need", "component", F.explode("signatures").alias("signature"))
-    groups = cut(rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.min("need").alias("least")).where("low != high").select("signature", "members", "least"))
+    groups = cut(rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high").select("signature", "members"))
     rows = rows.join(bounded_broadcast(groups, groups.count(), **limit), "signature")
-    # a link to another component shows in as many of these signatures as the lesser need
-    enough = cut(rows.groupBy("doc_id").agg(F.count("*").alias("own"), F.min("least").alias("least")).where("own >= least").select("doc_id"))
-    return rows.drop("least").join(bounded_broadcast(enough, enough.count(), **limit), "doc_id")
+    # a link to another component shows in as many of these signatures as the document needs
+    enough = cut(rows.groupBy("doc_id").agg(F.count("*").alias("own"), F.min("need").alias("need")).where("own >= need").select("doc_id"))
+    return rows.join(bounded_broadcast(enough, enough.count(), **limit), "doc_id")
 
 
 def _bounds(rows: DataFrame, texts: DataFrame, k: int, buckets: int, **limit) -> DataFrame:
-    """(doc_id, alone, counts): how many shingles no other document of rows has, and the others by bucket.
+    """(doc_id, alone, counts, sketch): how many shingles no other document of rows has, the others by bucket, and the sketch of all.
 
     Only documents of rows are counted, so the bound holds between these. Shingles are exchanged in blocks, and those that come
     once go back to their documents in blocks.
@@ -257,7 +275,29 @@ def _bounds(rows: DataFrame, texts: DataFrame, k: int, buckets: int, **limit) ->
     alone = once.groupBy("bucket").applyInArrow(_alone, _ALONE)
     counted = texts.mapInArrow(partial(_counted, k=k), _COUNTED)
     left = F.coalesce(F.zip_with("counts", "by_bucket", lambda c, x: c - x), F.col("counts"))
-    return counted.join(alone, "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"), left.alias("counts"))
+    return counted.join(alone, "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"), left.alias("counts"), "sketch")
+
+
+def _pairs_left(apart: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of separate components that have a signature in common and that the bounds of facts allow to link; some come again."""
+    facts = facts.select("doc_id", "alone", "size", "sketch")
+    # one document alone that holds more shingles of its own than a link allows has none
+    hopeless = 100 * F.col("alone") > (100 - percent) * F.col("size")
+    apart = apart.join(facts.drop("sketch"), "doc_id", "left").where((F.col("members") == 2) | F.coalesce(~hopeless, F.lit(True)))
+    by_doc = apart.groupBy("doc_id", "component").agg(F.sort_array(F.collect_set("signature")).alias("signatures"))
+    met = F.transform("signatures", lambda x, i: F.struct(x.alias("signature"), F.slice("signatures", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))).alias("before")))
+    rows = cut(by_doc.join(facts, "doc_id", "left")).withColumn("met", F.explode_outer(met)).select("met.*", "doc_id", "component", "alone", "size", "sketch")
+
+    def side(s: str) -> DataFrame:
+        return rows.select("signature", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns[1:]])
+
+    total = F.col("size_a") + F.col("size_b")
+    apart_by = lambda differ: F.coalesce((100 + percent) * differ <= (100 - percent) * total, F.lit(True))
+    bits = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    # unknown where a document has several texts or no crowded signature: then there is no bound
+    near: Column = apart_by(F.col("alone_a") + F.col("alone_b")) & apart_by(F.abs(F.col("size_a") - F.col("size_b"))) & apart_by(bits)
+    joined = side("a").join(side("b"), "signature").where(F.expr("doc_id_a < doc_id_b AND component_a != component_b") & near & ~F.arrays_overlap("before_a", "before_b"))
+    return joined.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
 
 
 def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broadcast_rows: int | None = None) -> DataFrame:
@@ -288,7 +328,7 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broa
 
     shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = pair_blocks.buckets_for(shingles)
-    shared = shared_signatures(nodes, k, percent, buckets)
+    shared = shared_signatures(nodes, k, percent, buckets).where(F.size("signatures") >= F.col("need"))
     free_shuffles(docs.sparkSession)
     links = verify(hubs(shared, **limit))
     free_shuffles(docs.sparkSession)
@@ -304,23 +344,7 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, broa
     crowded = apart.where("members > 2")
     facts = cut(_bounds(crowded, texts, k, buckets, **limit).join(sizes.where("NOT several").select("doc_id", "size"), "doc_id"))
     free_shuffles(docs.sparkSession)
-    apart = apart.join(facts, "doc_id", "left")
-    # one document alone that holds more shingles of its own than a link allows has none
-    hopeless = 100 * F.col("alone") > (100 - percent) * F.col("size")
-    apart = apart.where((F.col("members") == 2) | F.coalesce(~hopeless, F.lit(True))).select("signature", "doc_id", "component", "need", "alone", "size", "counts")
-
-    def side(s: str) -> DataFrame:
-        return apart.select("signature", *[F.col(c).alias(f"{c}_{s}") for c in apart.columns[1:]])
-
-    total = F.col("size_a") + F.col("size_b")
-    apart_by = lambda differ: (100 + percent) * differ <= (100 - percent) * total
-    both: Column = F.col("alone_a") + F.col("alone_b")
-    buckets = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
-    # unknown where a document has several texts or no crowded signature: then there is no bound
-    near = F.coalesce(apart_by(both), F.lit(True)) & F.coalesce(apart_by(both + buckets), F.lit(True))
-    joined = side("a").join(side("b"), "signature").where(F.expr("doc_id_a < doc_id_b AND component_a != component_b") & near)
-    pairs = joined.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("need_a", "need_b")).alias("need")).where("n >= need").select("a", "b")
-    more = verify(pairs)
+    more = verify(_pairs_left(apart, facts, percent).distinct())
     if not more.isEmpty():
         links = cut(links.unionByName(more).distinct())
         component = connected_components(links)

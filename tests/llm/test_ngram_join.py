@@ -188,3 +188,55 @@ def test_shared_signatures_and_lone_shingles_are_those_of_whole_sets(spark):
     for r in N._bounds(docs, docs, 4, 5).collect():
         rest = np.bincount([x >> 20 & 31 for x in sets[r["doc_id"]].tolist() if x not in set(lone[r["doc_id"]])], minlength=32)
         assert r["alone"] == len(lone[r["doc_id"]]) and r["counts"] == rest.tolist()
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_sets_with_nothing_in_common_share_no_signature(percent):
+    """They shared the signatures of empty subparts: large texts met in groups that grow with the corpus."""
+    r = np.random.default_rng(6)
+    for n in (450, 1000, 2300, 5000):
+        seen = set()
+        for _ in range(6):
+            found = set(N.signatures(np.unique(r.integers(0, 2**63, n, dtype=np.uint64)), percent)[0].tolist())
+            assert not found & seen
+            seen |= found
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_linked_pairs_share_what_either_set_needs(percent):
+    r = np.random.default_rng(7)
+    linked = 0
+    for n in (2, 5, 9, 30, 41, 57, 120, 400, 900):
+        for _ in range(60):
+            a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+            lost, changed = int(r.integers(0, n * (100 - percent) // 100 + 1)), int(r.integers(0, n // 8 + 1))
+            b = np.unique(np.r_[a[lost + changed :], r.integers(0, 2**63, changed, dtype=np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if not len(b) or 100 * both < percent * (len(a) + len(b) - both) or both == len(a) == len(b):
+                continue
+            (x, need_x), (y, need_y) = N.signatures(a, percent), N.signatures(b, percent)
+            assert len(np.intersect1d(x, y)) >= max(need_x, need_y) >= 1
+            assert sum(int(v).bit_count() for v in (N.sketch(a) ^ N.sketch(b)).view(np.uint64)) <= len(a) + len(b) - 2 * both
+            linked += 1
+    assert linked > 100
+
+
+def test_a_pair_leaves_the_join_once_or_a_few_times(spark):
+    """Near copies whose changes other copies share: a pair came out once for each of its signatures, and the bound by lone shingles let nearly all pass."""
+    r = random.Random(9)
+    base, other = ([f"{x}{i}" for i in range(400)] for x in "ab")
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in r.sample(range(400), 3 if i % 2 else 12):
+            w[at] = other[at]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = dict(enumerate(shingle_sets([t for _, t in rows], 4)))
+    shared = N.shared_signatures(docs, 4, 85, 5)
+    apart = N._still_apart(shared, spark.createDataFrame([], "node long, component long"))
+    facts = N._bounds(apart, docs, 4, 5).join(spark.createDataFrame([(d, len(s)) for d, s in sets.items()], "doc_id long, size int"), "doc_id")
+    got = [tuple(x) for x in N._pairs_left(apart, facts, 85).collect()]
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - n)}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 70 * (len(sets[a]) + len(sets[b]) - n)}
+    assert want <= set(got) <= near and 50 < len(want) and len(got) <= 3 * len(set(got))
